@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format
+from quillon.llm import chat_format, embedding_dedup, mixing, token_files
 
 _MODULES = {
+    "op2_token_files": token_files,
+    "op4_mixing": mixing,
+    "op8_embedding_dedup": embedding_dedup,
     "op10_chat_format": chat_format,
 }
 
