@@ -125,18 +125,19 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 # -- joins on keys of which one may be hot ---------------------------------------------------------
 
 
-def spread_join(rows: DataFrame, key: str, side: DataFrame, per: int = 2000) -> DataFrame:
+def spread_join(rows: DataFrame, key: str | list[str], side: DataFrame, per: int = 2000) -> DataFrame:
     """rows join side on key, where side has one row per key and rows may have any number.
 
     Keys with more than ``per`` rows are dealt over ceil(n / per) copies of their side row, so no
     task gets a whole hot key. Counts are pre-aggregated before they are shuffled.
     """
-    n = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(per)).cast("int").alias("_n"))
+    key = [key] if isinstance(key, str) else key
+    n = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(per)).cast("int").alias("_n"))
     hot = n.where("_n > 1")
-    names = [c for c in rows.columns if c != key]
+    names = [c for c in rows.columns if c not in key]
     dealt = rows.join(hot, key, "left").withColumn("_s", F.pmod(F.xxhash64(*names), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
     copies = side.join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
-    return dealt.join(copies, [key, "_s"]).drop("_s")
+    return dealt.join(copies, [*key, "_s"]).drop("_s")
 
 
 # -- hashing of words -----------------------------------------------------------------------------

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, embedding_dedup, mixing, token_files
+from quillon.llm import chat_format, decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality, suffix_dedup, token_files
 
 _MODULES = {
+    "op1_minhash_dedup": minhash_dedup,
     "op2_token_files": token_files,
+    "op3_line_dedup": line_dedup,
     "op4_mixing": mixing,
+    "op5_quality": quality,
+    "op6_license_scan": license_scan,
+    "op7_decontaminate": decontaminate,
     "op8_embedding_dedup": embedding_dedup,
+    "op9_suffix_dedup": suffix_dedup,
     "op10_chat_format": chat_format,
 }
 
