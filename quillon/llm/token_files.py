@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import clean_columns, materialize, new_path, partitions, table
 
-END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 2_000_000, 400_000
+END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 6_000_000, 700_000
 MAGIC = int.from_bytes(b"QTOKEF01", "little")
 _HEADER = 8
 
@@ -114,45 +114,98 @@ class EliasFano:
 # -- tokenizing -----------------------------------------------------------------------------------
 
 
+_MARKS = b".,;:!?"
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
 class Encoder:
     """Encodes text by its white-space separated pieces, each encoded once while it is in the cache.
 
-    Sound where a tokenizer never joins characters across ASCII white space and drops that space,
-    as the default one does; ``by_piece=False`` encodes whole texts.
+    Sound where a tokenizer ignores case, never joins characters across ASCII white space or across
+    a letter or digit and one final mark, and drops that space, as the default one does;
+    ``by_piece=False`` encodes whole texts. New pieces of letters alone are encoded many at once:
+    each is one run that ends in an id with the end-of-word suffix, which tells them apart again.
     """
 
     def __init__(self, path: str, by_piece: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.by_piece = by_piece
 
+    def _add(self, new: list[str]) -> None:
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(e.ids, self.dtype).tobytes()
+
+    def _add_words(self, new: list[str]) -> None:
+        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        width = self.dtype.itemsize
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = (np.flatnonzero(self.is_end[ids]) + 1) * width
+            if len(ends) != len(group):  # some piece is more than one run
+                self._add(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, to in zip(group, ends.tolist(), strict=True):
+                self.cache[p] = raw[at:to]
+                at = to
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         cache = self.cache
         if len(cache) > MAX_CACHE:
             cache.clear()
         new = [p for p in pieces if p not in cache]
+        if self.by_piece:
+            self._add_words([p for p in new if p.isalpha()])
+            new = [p for p in new if not p.isalpha()]
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, self.dtype).tobytes()
+            self._add(new[at : at + 20_000])
         return [cache[p] for p in pieces]
 
+    @staticmethod
+    def _pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct units, their numbers in order, units up to each text's end): a final mark after a letter or digit is a unit of its own."""
+        lists = pc.ascii_split_whitespace(texts)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        words = lists.flatten()
+        low = pc.ascii_lower(words)
+        named = pc.match_substring(words, "<|")  # may be a special token, where case counts
+        if pc.any(named).as_py():
+            low = pc.if_else(named, words, low)
+        _, off, data = low.buffers()
+        offsets = np.frombuffer(off, np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8) if data and data.size else np.zeros(1, np.uint8)
+        size = np.diff(offsets)
+        last = np.where(size > 1, raw[np.maximum(offsets[1:] - 1, 0)], 0)
+        marked = np.isin(last, list(_MARKS)) & _ALNUM[np.where(size > 1, raw[np.maximum(offsets[1:] - 2, 0)], 0)]
+        body = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(low, 0, -1), low) if len(low) else low
+        coded = body.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        upto = np.concatenate([[0], np.cumsum(1 + marked)])
+        code = np.empty(int(upto[-1]), np.int64)
+        code[upto[:-1]] = coded.indices.to_numpy(zero_copy_only=False)
+        place = np.zeros(256, np.int64)
+        place[list(_MARKS)] = np.arange(len(_MARKS))
+        code[upto[:-1][marked] + 1] = len(distinct) + place[last[marked]]
+        return distinct + [chr(c) for c in _MARKS], code, upto[ends.astype(np.int64)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); nulls are empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.by_piece:
-            lists = pc.ascii_split_whitespace(texts)
-            pieces, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            distinct, code, ends = self._pieces(texts)
         else:
-            pieces, ends = texts, np.arange(1, len(texts) + 1)
-        coded = pieces.dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            distinct, code, ends = texts.to_pylist(), np.arange(len(texts)), np.arange(1, len(texts) + 1)
+        ids = self._ids(distinct)
         flat = np.frombuffer(b"".join(ids), self.dtype)
-        n = np.fromiter((len(x) // self.dtype.itemsize for x in ids), np.int64, len(ids))
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         begin = np.cumsum(n) - n
         each = n[code]
         out_end = np.cumsum(each)
