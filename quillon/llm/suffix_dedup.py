@@ -104,9 +104,10 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod((a == b) & (a >= 0), axis=1).sum(axis=1)
 
 
-_OUT = "kind int, run long, doc long, pos int, first int, last int, key long, lft binary, rgt binary"
-_OUT_SCHEMA = pa.schema([("kind", pa.int32()), ("run", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("key", pa.int64()), ("lft", pa.binary()), ("rgt", pa.binary())])
-SPAN, FIRST, LAST, AGAIN = 0, 1, 2, 3
+_OUT = "kind int, run long, doc long, pos int, key long, lft binary, rgt binary, linked boolean, first int, last int, cut_first int, cut_last int"
+_OUT_SCHEMA = pa.schema([("kind", pa.int32()), ("run", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("key", pa.int64()), ("lft", pa.binary()), ("rgt", pa.binary()), ("linked", pa.bool_()), ("first", pa.int32()), ("last", pa.int32()), ("cut_first", pa.int32()), ("cut_last", pa.int32())])
+ROW, FIRST, LAST = 0, 1, 2
+_NONE = (1 << 30, -1, 1 << 30, -1)  # no span: first above last
 
 
 def _linked(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,79 +130,107 @@ def _linked(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np
     return same, ok, left, right
 
 
-def neighbours(sorted_: DataFrame, again: bool) -> DataFrame:
-    """Spans of neighbouring suffixes that match, each partition's first and last suffix, and with ``again`` the suffixes whose 25-gram occurs again."""
+def _plain(part: pa.Table, column: str) -> pa.Array:
+    c = part.column(column).combine_chunks()
+    return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+
+
+def _records(kind: int, part: pa.Table, runs: np.ndarray, linked=None, spans=None) -> pa.RecordBatch:
+    n = part.num_rows
+    linked = np.zeros(n, bool) if linked is None else linked
+    spans = [np.full(n, x) for x in _NONE] if spans is None else spans
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(runs), *[_plain(part, c) for c in ("doc", "pos", "key", "lft", "rgt")], pa.array(linked), *[pa.array(x.astype(np.int32)) for x in spans]]
+    return pa.RecordBatch.from_arrays(cols, schema=_OUT_SCHEMA)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        run, prev, prev_same, began = 0, None, True, False
 
-        def rows(kind: int, part, runs=None, first=None, last=None) -> pa.RecordBatch:
-            n = part.num_rows
-            fill = lambda x: pa.array(np.zeros(n, np.int32) if x is None else np.asarray(x).astype(np.int32))
-            runs = np.zeros(n, np.int64) if runs is None else runs
-            whole = [part.column(c).combine_chunks() for c in ("lft", "rgt")] if kind != SPAN else [pa.nulls(n, pa.binary())] * 2
-            whole = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in whole]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(runs + base), pa.array(part.column("doc").to_numpy()), pa.array(part.column("pos").to_numpy()), fill(first), fill(last), pa.array(part.column("key").to_numpy()), *whole], schema=_OUT_SCHEMA)
+def _pair_spans(doc: np.ndarray, pos: np.ndarray, ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each neighbouring pair, for its first and for its second row: (first, last, cut_first, cut_last)."""
+    cross = ok & (doc[1:] != doc[:-1])
+    out = []
+    for p, later in ((pos[:-1], doc[:-1] > doc[1:]), (pos[1:], doc[1:] > doc[:-1])):
+        p = p.astype(np.int64)
+        spans = [np.where(cross, p - left, _NONE[0]), np.where(cross, p + GRAM + right, _NONE[1])]
+        out.append([*spans, np.where(cross & later, spans[0], _NONE[2]), np.where(cross & later, spans[1], _NONE[3])])
+    return out[0], out[1]
 
+
+def neighbours(sorted_: DataFrame) -> DataFrame:
+    """The suffixes whose 25-gram a neighbour has too, with the spans they share with their neighbours; each partition's first and last suffix."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = TaskContext.get().partitionId() << 40
+        held = None  # the last row so far, whose next neighbour is to come
+        had = (True, False, _NONE)  # of it and the row before: (same 25-gram, match, spans)
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([prev, t]).combine_chunks() if prev is not None else t
+            if held is None:
+                yield _records(FIRST, t.slice(0, 1), np.array([run]))
+            else:
+                t = pa.concat_tables([held, t]).combine_chunks()
             same, ok, left, right = _linked(t)
             runs = run + np.concatenate([[0], np.cumsum(~ok)])
-            if not began:
-                yield rows(FIRST, t.slice(0, 1), runs[:1])
-                began = True
-            at = np.flatnonzero(ok)
-            if len(at):
-                for i in (at, at + 1):
-                    part = t.take(pa.array(i))
-                    pos = part.column("pos").to_numpy()
-                    yield rows(SPAN, part, runs[i], pos - left[at], pos + GRAM + right[at])
-            if again:
-                # the last row waits for its next neighbour, in ``prev``
-                has = np.concatenate([[prev_same], same]) | np.concatenate([same, [False]])
-                has[-1] = False
-                keep = np.flatnonzero(has)
-                if len(keep):
-                    yield rows(AGAIN, t.take(pa.array(keep)))
-                prev_same = bool(same[-1]) if len(same) else prev_same
-            prev, run = t.slice(t.num_rows - 1, 1), int(runs[-1])
-        if prev is not None:
-            yield rows(LAST, prev, np.array([run]))
-            if again:
-                yield rows(AGAIN, prev)
+            ahead, behind = _pair_spans(t.column("doc").to_numpy(), t.column("pos").to_numpy(), ok, left, right)
+            before = [np.concatenate([[h], x]) for h, x in zip(had[2], behind, strict=True)]
+            same_before, ok_before = np.concatenate([[had[0]], same]), np.concatenate([[had[1]], ok])
+            keep = np.flatnonzero(same_before[:-1] | same)
+            if len(keep):
+                spans = [(np.minimum if i % 2 == 0 else np.maximum)(x[:-1], y)[keep] for i, (x, y) in enumerate(zip(before, ahead, strict=True))]
+                yield _records(ROW, t.take(pa.array(keep)), runs[keep], (ok_before[:-1] | ok)[keep], spans)
+            held, run = t.slice(t.num_rows - 1, 1), int(runs[-1])
+            had = (bool(same_before[-1]), bool(ok_before[-1]), tuple(x[-1] for x in before))
+        if held is not None:
+            yield _records(ROW, held, np.array([run]), np.array([had[1]]), [np.array([x]) for x in had[2]])
+            yield _records(LAST, held, np.array([run]))
 
     return sorted_.mapInArrow(compare, _OUT)
 
 
 def _over_borders(found: DataFrame) -> tuple[list[tuple], dict[int, int]]:
-    """What the partitions' first and last suffixes - two rows a partition - link: (spans, run -> run it goes on from)."""
+    """What the partitions' first and last suffixes - two rows a partition - link: (records, run -> run it goes on from)."""
     ends = sorted(found.where(F.col("kind").isin(FIRST, LAST)).collect(), key=lambda r: (r.run >> 40, r.kind))
-    spans, merged = [], {}
+    records, merged = [], {}
     for a, b in zip(ends[1::2], ends[2::2], strict=False):
         pair = pa.Table.from_pylist([{c: x[c] for c in ("key", "doc", "pos", "lft", "rgt")} for x in (a, b)], schema=_SCHEMA)
         _, ok, left, right = _linked(pair)
         if ok[0]:
             merged[b.run] = merged.get(a.run, a.run)
-            spans += [(merged[b.run], x.doc, x.pos, x.pos - int(left[0]), x.pos + GRAM + int(right[0])) for x in (a, b)]
-    return spans, merged
+            sides = _pair_spans(pair.column("doc").to_numpy(), pair.column("pos").to_numpy(), ok, left, right)
+            records += [(merged[b.run], x.doc, x.pos, x.lft, x.rgt, *[int(v[0]) for v in spans]) for x, spans in zip((a, b), sides, strict=True)]
+    return records, merged
 
 
 def _spans(found: DataFrame) -> DataFrame:
-    """(doc, first, last, earlier) of the runs that two documents share."""
+    """(doc, first, last, cut): the spans shared with neighbours, and with the earliest document of a run of matching neighbours."""
     spark = found.sparkSession
     more, merged = _over_borders(found)
-    span = found.where(F.col("kind") == SPAN).select("run", "doc", "pos", "first", "last")
-    if merged:
-        to = spark.createDataFrame(list(merged.items()), "run long, goes_on long")
-        span = span.join(F.broadcast(to), "run", "left").withColumn("run", F.coalesce("goes_on", "run")).drop("goes_on")
+    names = ["run", "doc", "pos", "lft", "rgt", "first", "last", "cut_first", "cut_last"]
+    rows = found.where((F.col("kind") == ROW) & F.col("linked")).select(names)
     if more:
-        span = span.unionByName(spark.createDataFrame(more, "run long, doc long, pos int, first int, last int"))
-    shared = span.groupBy("run").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return spread_join(span, "run", shared.select("run", "least")).select("doc", "first", "last", (F.col("least") < F.col("doc")).alias("earlier"))
+        rows = rows.unionByName(spark.createDataFrame(more, "run long, doc long, pos int, lft binary, rgt binary, first int, last int, cut_first int, cut_last int"))
+    if merged:
+        to = spark.createDataFrame(list(merged.items()), "run long, goes_on long")  # at most one row a partition
+        rows = rows.join(F.broadcast(to), "run", "left").withColumn("run", F.coalesce("goes_on", "run")).drop("goes_on")
+    least = rows.groupBy("run").agg(F.min(F.struct("doc", "pos", "lft", "rgt")).alias("least"), F.max("doc").alias("most")).where("least.doc < most")
+    joined = spread_join(rows, "run", least.select("run", "least")).select(*names[1:], F.col("least.doc").alias("e_doc"), F.col("least.pos").alias("e_pos"), F.col("least.lft").alias("e_lft"), F.col("least.rgt").alias("e_rgt"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n) for n in batch.schema.names}
+            doc, pos, e_doc, e_pos = (c[n].to_numpy().astype(np.int64) for n in ("doc", "pos", "e_doc", "e_pos"))
+            left, right = (_common(_padded(c[n]), _padded(c["e_" + n])) for n in ("lft", "rgt"))
+            ok = (doc > e_doc) & (left + right + GRAM >= MIN_WORDS)
+            first, last, cut_first, cut_last = (c[n].to_numpy().astype(np.int64) for n in ("first", "last", "cut_first", "cut_last"))
+            out = [(doc, first, last, False), (doc, cut_first, cut_last, True)]
+            out += [(d[ok], (p - left)[ok], (p + GRAM + right)[ok], cut) for d, p, cut in ((doc, pos, True), (e_doc, e_pos, False))]
+            for d, i, j, cut in out:
+                some = np.flatnonzero(i < j)
+                table_ = pa.table({"doc": d[some], "first": i[some].astype(np.int32), "last": j[some].astype(np.int32)}).group_by(["doc", "first", "last"]).aggregate([])
+                if len(table_):
+                    yield pa.RecordBatch.from_arrays([*[_plain(table_, n) for n in ("doc", "first", "last")], pa.array(np.full(len(table_), cut))], names=["doc", "first", "last", "cut"])
+
+    return joined.mapInArrow(compare, "doc long, first int, last int, cut boolean")
 
 
 def _merge(spans):
@@ -221,15 +250,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, cut): the passages of 50 words or more that other documents have too."""
     n = partitions(docs.sparkSession)
     by_right = ["key", "rgt", "doc", "pos"]
-    right = materialize(neighbours(suffixes(docs).repartitionByRange(n, *by_right).sortWithinPartitions(*by_right), again=True), "suffix-right")
+    right = materialize(neighbours(suffixes(docs).repartitionByRange(n, *by_right).sortWithinPartitions(*by_right)), "suffix-right")
     by_left = ["key", "lft", "doc", "pos"]
-    rest = right.where(F.col("kind") == AGAIN).select("key", "doc", "pos", "lft", "rgt")
-    left = materialize(neighbours(rest.repartitionByRange(n, *by_left).sortWithinPartitions(*by_left), again=False), "suffix-left")
-    both = _spans(right).unionByName(_spans(left)).groupBy("doc", "first", "last").agg(F.max("earlier").alias("earlier"))
+    again = right.where(F.col("kind") == ROW).select("key", "doc", "pos", "lft", "rgt")
+    left = materialize(neighbours(again.repartitionByRange(n, *by_left).sortWithinPartitions(*by_left)), "suffix-left")
+    both = _spans(right).unionByName(_spans(left)).groupBy("doc", "first", "last").agg(F.max("cut").alias("cut"))
     span = F.struct("first", "last")
     return (
         both.groupBy("doc")
-        .agg(_merge(F.collect_list(span)).alias("spans"), _merge(F.collect_list(F.when(F.col("earlier"), span))).alias("cut"))
+        .agg(_merge(F.collect_list(span)).alias("spans"), _merge(F.collect_list(F.when(F.col("cut"), span))).alias("cut"))
         .select(F.col("doc").alias("doc_id"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"]).alias("n_words"), "spans", "cut")
     )
 
