@@ -1 +1 @@
-"""functions."""
+"""Column functions: text kernel, identifiers, tool results, token hashing."""
