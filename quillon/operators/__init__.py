@@ -1 +1 @@
-"""operators."""
+"""Events to entries, retrieval, the hashed store, compaction, rendering."""

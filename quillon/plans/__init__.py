@@ -1 +1 @@
-"""plans."""
+"""Settings, and the registered queries with their DuckDB counterparts."""
