@@ -79,7 +79,7 @@ def scan(store: DataFrame, queries: DataFrame, settings: Hashed) -> DataFrame:
     """For each query the newest rows of its scope, at most scan_rows, then without repeated texts, newest kept."""
     same = ["app_name", "user_id"] + ([] if settings.cross_session else ["session_id"])
     newest = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), "id")
-    kept = queries.join(store if settings.cross_session else store, same)
+    kept = queries.drop("session_id").join(store, same) if settings.cross_session else queries.join(store, same)
     kept = kept.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= settings.scan_rows)
     repeat = Window.partitionBy("query_id", "key").orderBy("n")
     return kept.withColumn("key", tx.text_key("text")).where(F.length("key") > 0).withColumn("_r", F.row_number().over(repeat)).where("_r = 1").drop("_r", "key")

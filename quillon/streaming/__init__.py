@@ -1 +1 @@
-"""streaming."""
+"""Streaming ingest of events."""
