@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A first scan counts in how many documents each n-gram of the benchmark occurs. Of each item the
-rarest half of its n-grams are its seeds: rarity ranks an item's n-grams against each other, so a
-passage that is in a third of all documents keeps its seeds too. A second scan finds seeds in whole
-texts and aligns the words around them with the item (match 2, mismatch -1, gap -1); a document is
-contaminated by an item if the best local score is at least ``threshold`` of a full match. That
-finds edited copies up to some third of the words changed.
+A first scan counts in how many documents each n-gram of the benchmark occurs. An n-gram is a seed
+if it is rare - in at most RARE of the documents, or RARE_LEAST of them - or if it is not more than
+twice as frequent as the rarest n-gram near it in its item that occurs at all. The second rule keeps
+seeds all over a passage that is in a third of all documents, the first all n-grams of edited copies
+whatever else is copied. A second scan finds seeds in whole texts and aligns the words around them
+with the item (match 2, mismatch -1, gap -1); a document is contaminated by an item if the best
+local score is at least ``threshold`` of a full match. That finds edited copies up to some third of
+the words changed.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_GRAMS n-grams (one block for usual
 sizes; each block means two scans), so what is broadcast is bounded whatever the benchmark's size.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Words, clean_columns, grams, materialize, release, table, text_buffers, word_chunks
 
 SEED_WORDS, MIN_WORDS, THRESHOLD, BLOCK_GRAMS = 3, 5, 0.5, 500_000
+RARE, RARE_LEAST, NEAR = 1e-3, 8, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 _SHIFT = 32
 
@@ -59,14 +62,19 @@ class Index:
         ok = self.unique[place] == g[at] if len(self.unique) else np.zeros(len(at), bool)
         return at[ok], place[ok]
 
-    def seeded(self, frequency: np.ndarray) -> Index:
-        """An index of the rarest half of each item's n-grams."""
-        of = np.searchsorted(self.unique, self.gram)
-        order = np.lexsort((self.place, frequency[of], self.item))
+    def seeded(self, frequency: np.ndarray, n_docs: int) -> Index:
+        """An index of the n-grams that are rare, or rare among those near them in their item."""
+        df = frequency[np.searchsorted(self.unique, self.gram)]
+        order = np.lexsort((self.place, self.item))
+        around = np.where(df > 0, df, np.iinfo(np.int64).max)[order]
         item = self.item[order]
-        rank = np.arange(len(item)) - np.searchsorted(item, item)
-        size = np.bincount(item, minlength=len(self.words))[item] if len(item) else rank
-        keep = order[rank < (size + 1) // 2]
+        least = around.copy()
+        for step in range(1, NEAR + 1):
+            same = item[step:] == item[:-step]
+            least[step:] = np.where(same, np.minimum(least[step:], around[:-step]), least[step:])
+            least[:-step] = np.where(same, np.minimum(least[:-step], around[step:]), least[:-step])
+        seed = (df[order] > 0) & ((df[order] <= max(RARE_LEAST, RARE * n_docs)) | (df[order] // 2 <= least))
+        keep = np.sort(order[seed])
         out = object.__new__(Index)
         out.item_ids, out.words, out.n = self.item_ids, self.words, self.n
         out._use(self.gram[keep], self.item[keep], self.place[keep])
@@ -100,14 +108,16 @@ def _inside(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g, of[: len(g)] == of[n - 1 :] if len(g) else np.zeros(0, bool)
 
 
-def document_frequency(docs: DataFrame, index: Index) -> np.ndarray:
-    """In how many documents each distinct n-gram of the index occurs."""
+def document_frequency(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
+    """(in how many documents each distinct n-gram of the index occurs, number of documents)."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         total = np.zeros(len(index.unique), np.int64)
+        n_docs = 0
         for batch in batches:
+            n_docs += batch.num_rows
             for _, _, w in word_chunks(batch.column(0)):
                 g, ok = _inside(w, index.n)
                 at, gram = index.find(g)
@@ -115,12 +125,12 @@ def document_frequency(docs: DataFrame, index: Index) -> np.ndarray:
                 pair = np.unique(w.of()[at] * len(total) + gram)
                 total += np.bincount(pair % len(total), minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n_docs], total[some]]))], names=["gram", "n"])
 
-    out = np.zeros(len(index.unique), np.int64)
+    out = np.zeros(len(index.unique) + 1, np.int64)  # the last is the number of documents
     for r in clean_columns(docs, "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[r.gram] = r.n
-    return out
+    return out[:-1], int(out[-1])
 
 
 def align(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +211,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     slim = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index.seeded(document_frequency(docs, index)))
+        shared = spark.sparkContext.broadcast(index.seeded(*document_frequency(docs, index)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -225,7 +235,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     columns = docs.columns
     out = docs
     for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index.seeded(document_frequency(docs, index)))
+        shared = spark.sparkContext.broadcast(index.seeded(*document_frequency(docs, index)))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
