@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,14 +14,32 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
+def _archive() -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, str(Path(PACKAGE.name) / f.relative_to(PACKAGE)))
+    return out.getvalue()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Add the package to the workers' import path, once per Spark context."""
+    """Add the package to the workers' import path, once per Spark context.
+
+    The archive lies in the shared folder named by spark.checkpoint.dir; where that is unset, as in
+    tests, in a temporary one.
+    """
     context = spark.sparkContext
     if getattr(context, "_quillon_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="quillon-"), "quillon-src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(PACKAGE.rglob("*.py")):
-            z.write(f, str(Path(PACKAGE.name) / f.relative_to(PACKAGE)))
-    context.addPyFile(path)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        jvm, name = spark._jvm, f"{folder}/quillon/src-{uuid.uuid4().hex}.zip"
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(_archive())
+        out.close()
+    else:
+        name = os.path.join(tempfile.mkdtemp(prefix="quillon-"), "src.zip")
+        Path(name).write_bytes(_archive())
+    context.addPyFile(name)
     context._quillon_shipped = True
