@@ -44,3 +44,16 @@ def hashed_vector(tokens: str | Column, dimensions: int) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of two map<int, double>, null as empty."""
     return F.aggregate(F.map_entries(F.coalesce(a, F.create_map().cast("map<int,double>"))), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+
+
+def vector_json(vector: str | Column) -> Column:
+    """map<int, double> as JSON text with keys in numeric order."""
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(vector))))
+
+
+def load_vector(text: str | Column) -> Column:
+    """JSON text as map<int, double>; what is no object is empty, items that are no numbers are left out."""
+    read = F.from_json(text, "map<string,string>")
+    items = F.transform(F.map_entries(F.coalesce(read, F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].try_cast("int").alias("i"), e["value"].try_cast("double").alias("v")))
+    return F.map_from_entries(F.filter(items, lambda e: e["i"].isNotNull() & e["v"].isNotNull()))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
+from quillon.operators import events as ev
 from quillon.plans.settings import MODES, Retrieval
 
 SCOPE = ["app_name", "user_id"]
@@ -144,15 +145,20 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
         rows = _lexical_only(entries, q, settings)
     else:
         e = entries.withColumn("e_keys", tx.identifier_keys("text")) if settings.guard_identifiers else entries
-        candidates = e.join(_sized(q), SCOPE).where(_admitted(settings)).withColumn("dense", F.lit(0.0) if mode == "bm25" else cosine("embedding", "q_embedding"))
+        candidates = (
+            e.join(_sized(q), SCOPE)
+            .where(_admitted(settings))
+            .select("query_id", *SCOPE, "doc_id", "created_at", "importance", "w", F.size("tokens").alias("dl"), (F.lit(0.0) if mode == "bm25" else cosine("embedding", "q_embedding")).alias("dense"))
+        )
         if mode == "dense":
             candidates = candidates.withColumn("bm25", F.lit(0.0))
         else:
-            lengths = candidates.groupBy("query_id").agg(F.greatest(F.lit(1.0), F.avg(F.size("tokens"))).alias("avgdl"))
+            lengths = candidates.groupBy("query_id").agg(F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"))
             hits = lexical(entries, q, lengths, settings)
             candidates = candidates.join(hits, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
         rows = scored(candidates, mode, settings)
-    return selected(rows, mode, settings, k).select(
+    shown = entries.select(*SCOPE, "doc_id", "text", "source_kind", "session_id")  # texts join the few rows that are returned
+    return selected(rows, mode, settings, k).join(shown, [*SCOPE, "doc_id"]).select(
         "query_id", "position", "text", "score", F.col("dense").alias("dense_score"), F.col("bm25").alias("sparse_score"), "source_kind", "session_id", "created_at",
         "importance", "doc_id", "dense_rank", "sparse_rank", F.lit(mode).alias("retrieval_mode"), "dense_eligible", "sparse_eligible", F.lit(True).alias("retrieved"),
     )
@@ -163,7 +169,7 @@ def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval) -> Data
     per = entries.groupBy(*SCOPE).agg(F.greatest(F.lit(1.0), F.avg(F.size("tokens"))).alias("avgdl"))
     lengths = q.select("query_id", *SCOPE).join(per, SCOPE).select("query_id", "avgdl")
     hits = lexical(entries, q, lengths, settings).join(q.select("query_id", *SCOPE), "query_id")
-    rows = hits.join(entries.drop("tokens"), [*SCOPE, "doc_id"])
+    rows = hits.join(entries.select(*SCOPE, "doc_id", "created_at", "importance"), [*SCOPE, "doc_id"])
     return (
         rows.withColumn("dense", F.lit(0.0))
         .withColumn("dense_rank", F.col("doc_id"))
@@ -174,6 +180,17 @@ def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval) -> Data
     )
 
 
+def entries_by_policy(events_: DataFrame, policies: dict[tuple[str, int], Retrieval], **options) -> DataFrame:
+    """Index entries of the same events under each (policy, budget), with its own settings."""
+    out = None
+    for (policy, budget), settings in policies.items():
+        part = ev.entries(events_, settings, **options).withColumn("policy", F.lit(policy)).withColumn("budget", F.lit(budget))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no policies given")
+    return out
+
+
 def retrieve_by_policy(entries: DataFrame, queries: DataFrame, policies: dict[tuple[str, int], Retrieval], mode: str, top_k: int) -> DataFrame:
     """Retrieval where entries and queries carry ``policy`` and ``budget``: one separate index for each pair.
 

@@ -1,5 +1,4 @@
 import re
-import unicodedata  # noqa: F401
 
 from hypothesis import given, settings
 from hypothesis import strategies as st

@@ -53,6 +53,13 @@ def test_hashed_vector(spark):
     assert got[1].v == {} and got[2].v is None
 
 
+def test_vector_json(spark):
+    df = spark.createDataFrame([({10: 0.5, 2: -1.0}, '{"2": -1.0, "x": 1, "7": "a", "10": 0.5}'), ({}, "[1]"), ({}, "no json")], "v map<int,double>, t string")
+    got = df.select(hashing.vector_json("v").alias("j"), hashing.load_vector("t").alias("m")).collect()
+    assert got[0].j == '{"2":-1.0,"10":0.5}' and got[0].m == {2: -1.0, 10: 0.5}
+    assert [r.m for r in got[1:]] == [{}, {}]
+
+
 def _events(spark, rows):
     df = spark.createDataFrame(rows, "user_id string, session_id string, event_id string, t string, timestamp double")
     return df.withColumn("app_name", F.lit("app")).withColumn("author", F.lit("user")).withColumn("role", F.lit("user")).withColumn("parts", ev.text_part("t"))
