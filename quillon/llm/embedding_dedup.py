@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clean_columns, components, materialize, mix, partitions, release, spread_join, table
+from quillon.llm.common import clean_columns, components, materialize, mix, partitions, spread_join, table
 
 THRESHOLD, WIDTH, MISS, BLOCK = 0.98, 2.0, 1e-3, 512
 

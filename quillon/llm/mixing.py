@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import clean_columns, materialize, release, spread_join, table
+from quillon.llm.common import clean_columns, materialize, spread_join, table
 
 WEIGHTS, CAP, SEED, MAX_BROADCAST = (5, 2, 1), 3, "mix-1", 10_000
 _BITS = 52  # a draw is exact in a double

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, clean_columns, grams, materialize, partitions, release, spread_join, table, text_buffers, word_chunks
+from quillon.llm.common import Words, clean_columns, grams, materialize, partitions, spread_join, table, text_buffers, word_chunks
 
 MIN_WORDS, GRAM = 50, 25
 WINDOW = MIN_WORDS - GRAM + 1
