@@ -55,6 +55,7 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_quillon_path", None)
         if path:
+            df._quillon_path = None
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
@@ -71,13 +72,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- connected components -------------------------------------------------------------------------
 
 
+def _follow(point: DataFrame) -> DataFrame:
+    """Pointers (id, to) followed once more; a target without a pointer of its own is a root."""
+    return point.join(point.select(F.col("id").alias("to"), F.col("to").alias("on")), "to", "left").select("id", F.coalesce("on", "to").alias("to"))
+
+
+LOCAL_EDGES = 200_000
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """(id, to) of at most LOCAL_EDGES edges in one task: to = smallest id reachable."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        i, j = at[: len(a)], at[len(a) :]
+        root = np.arange(len(ids))
+        while True:
+            before = root.copy()
+            low = np.minimum(root[i], root[j])
+            for side in (root[i], root[j], i, j):
+                np.minimum.at(root, side, low)
+            root = root[root]
+            if np.array_equal(root, before):
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "to"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(join, "id long, to long")
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long) -> (id, component), component = smallest id.
 
-    Every round points each node at the neighbour that is least in a per-round hash order and
-    contracts; the hash order makes the expected number of rounds logarithmic even on sorted
-    chains. Hub nodes only meet partially aggregated minima and two-column rows. Nodes without
-    edges are not returned. Rows with nulls and loops are ignored.
+    Every round points each node at the neighbour that is least in a per-round hash order, follows
+    four pointers at once and contracts; the hash order makes the expected number of rounds
+    logarithmic even on sorted chains. Once at most LOCAL_EDGES edges are left - counted, a few
+    megabytes whatever the input - one task joins them. Hub nodes only meet partially aggregated minima and
+    two-column rows. Nodes without edges are not returned. Rows with nulls and loops are ignored.
     """
     spark = edges.sparkSession
     live = materialize(
@@ -88,7 +122,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     )
     maps: list[DataFrame] = []
     turn = 0
-    while live.limit(1).count():
+    while (left := live.count()) > LOCAL_EDGES:
         rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = (
@@ -97,6 +131,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             .select(F.col("a").alias("id"), F.least(F.struct(rank("a").alias("r"), F.col("a").alias("v")), F.col("m"))["v"].alias("to"))
         )
         point = materialize(point, name + "-point")
+        point = materialize(_follow(_follow(point)), name + "-point")
         maps.append(point)
         nxt = (
             live.join(point.select(F.col("id").alias("a"), F.col("to").alias("ra")), "a")
@@ -109,12 +144,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         release(live)
         live = nxt
         turn += 1
+    if left:
+        maps.append(materialize(_finish(live), name + "-point"))
     if not maps:
         return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
     full = maps[-1]
     for point in reversed(maps[:-1]):
         later = full.select(F.col("id").alias("to"), F.col("to").alias("root"))
         full = point.join(later, "to", "left").select("id", F.coalesce("root", "to").alias("to"))
+    if len(maps) == 1 and left:
+        return full.select("id", F.col("to").alias("component"))
     full = materialize(full, name + "-roots") if len(maps) > 1 else full
     least = full.groupBy("to").agg(F.min("id").alias("component"))
     out = materialize(full.join(least, "to").select("id", "component"), name)
@@ -125,15 +164,20 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 # -- joins on keys of which one may be hot ---------------------------------------------------------
 
 
+MAX_HOT = 10_000
+
+
 def spread_join(rows: DataFrame, key: str | list[str], side: DataFrame, per: int = 2000) -> DataFrame:
     """rows join side on key, where side has one row per key and rows may have any number.
 
-    Keys with more than ``per`` rows are dealt over ceil(n / per) copies of their side row, so no
-    task gets a whole hot key. Counts are pre-aggregated before they are shuffled.
+    Of the keys with more than ``per`` rows, the MAX_HOT with the most are dealt over ceil(n / per)
+    copies of their side row, so no task gets a whole hot key; any other key has ``per`` rows or at
+    most one in MAX_HOT of all. Counts are pre-aggregated before they are shuffled, and the table of
+    hot keys, MAX_HOT rows at most, is broadcast, so rows are not shuffled by the bare key.
     """
     key = [key] if isinstance(key, str) else key
     n = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(per)).cast("int").alias("_n"))
-    hot = n.where("_n > 1")
+    hot = F.broadcast(n.where("_n > 1").orderBy(F.col("_n").desc(), *key).limit(MAX_HOT))
     names = [c for c in rows.columns if c not in key]
     dealt = rows.join(hot, key, "left").withColumn("_s", F.pmod(F.xxhash64(*names), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
     copies = side.join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")

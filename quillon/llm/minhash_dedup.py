@@ -9,10 +9,13 @@ probability Jaccard similarity of the weights. BANDS x ROWS registers give a pai
 of 1 - (1 - 0.8**5)**24 > 0.9999 to share a band; pairs that do are verified by exact J_P >= 0.8.
 
 Texts with equal words are one class before anything else. In each bucket every member is held
-against three hub members first; after components of the links so found, only pairs between
-different components of a bucket are left, and all of those are tried, those whose 120 one-bit
-registers agree too little for 0.8 excepted (a pair at 0.8 is lost there with probability 2e-4).
-So no link between different texts is lost to a cap, and groups of copies make no pairs of pairs.
+against three hub members first, which links nearly all of a group of copies with pairs linear in
+its size. What may be left are pairs between different components of a bucket. Buckets that have
+such pairs are joined to families, and the documents outside a family's largest component meet all
+of the family in blocks of bounded size: a task holds two blocks, compares signatures, verifies
+pairs of different components whose registers agree enough for 0.8 (a pair at 0.8 is lost there with
+probability 0.005), best first, and returns the links that join components, not pairs. So no link
+between different texts is lost to a cap, and no pairs within a group are emitted.
 
 Defined cases. Null, empty and wordless texts resemble nothing and are kept. Null doc_id: component
 null, kept. Equal doc_ids are one document to the components. An empty table gives an empty result.
@@ -34,6 +37,8 @@ from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, ma
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
 MAX_DIFFERENT_BITS = 27  # of 120; at 0.8 they are 12 on average with a standard deviation of 3.3
+MIN_AGREEMENT = 0.705  # of the registers, which at 0.8 have a standard deviation of 0.037
+LEFT, RIGHT = (512, 4_000_000), (2048, 8_000_000)  # documents and bytes of a block
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -76,7 +81,7 @@ def prob_min_hash(hashes: np.ndarray, docs: np.ndarray, weights: np.ndarray, n_d
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, keys, s1, s2) of documents with words; null h1 marks those without."""
+    """(doc_id, h1, h2, keys, s1, s2) of documents; null h1 marks those without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +95,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     for i in (0, 1):
                         ident[i][some] = np.add.reduceat(mix(w.hash + pos * _C[i]), w.first[some])
                 z = prob_min_hash(*weighted(*valid_grams(w, SHINGLE, short=True)), n)
-                keys = np.zeros((n, BANDS), np.uint64)
+                keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
                 for r in range(ROWS):
                     keys = mix(keys * _C[0] + z[:, r::ROWS][:, :BANDS])
                 bit = (mix(z) >> np.uint64(63)).astype(np.int64)
@@ -171,12 +176,144 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     return out
 
 
-def _alike(x: str, y: str):
-    return F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2"))) <= MAX_DIFFERENT_BITS
+def _alike():
+    return F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= MAX_DIFFERENT_BITS
+
+
+class _Bags:
+    """Weighted shingles of texts: sorted distinct hashes and counts of each."""
+
+    def __init__(self, texts: pa.Array):
+        self.hashes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        for at, to, w in word_chunks(texts):
+            h, d = valid_grams(w, SHINGLE, short=True)
+            cut = np.searchsorted(d, np.arange(to - at + 1))
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                u, c = np.unique(h[i:j], return_counts=True)
+                self.hashes.append(u)
+                self.counts.append(c)
+
+    def similarity(self, i: int, other: _Bags, j: int) -> float:
+        a, b = self.hashes[i], other.hashes[j]
+        if min(len(a), len(b)) == 0:
+            return 0.0
+        place = np.searchsorted(b, a)
+        place[place == len(b)] = 0
+        shared = b[place] == a
+        n = int(shared.sum())
+        ca, cb = self.counts[i], other.counts[j]
+        if ca.max() == 1 and cb.max() == 1:
+            return n / (len(a) + len(b) - n)
+        rest = np.ones(len(b), bool)
+        rest[place[shared]] = False
+        return probability_jaccard(np.concatenate([ca, np.zeros(rest.sum(), np.int64)]), np.concatenate([np.where(shared, cb[place], 0), cb[rest]]))
+
+
+def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tuple[int, int, float]]:
+    """Links that join different components among the pairs of two blocks (rep, component, z, text)."""
+    one = lambda t, c: t.column(c).combine_chunks()
+    z = [np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in one(t, "z")]) for t in (left, right)]
+    rep, comp = ([t.column(c).to_numpy() for t in (left, right)] for c in ("rep", "component"))
+    found_i, found_j, found_s = [], [], []
+    step = max(1, 4_000_000 // (REGISTERS * len(z[1])))
+    for at in range(0, len(z[0]), step):
+        agree = np.zeros((len(z[0][at : at + step]), len(z[1])), np.int16)
+        agree += (z[0][at : at + step, None, :] == z[1][None, :, :]).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero((agree >= MIN_AGREEMENT * REGISTERS) & (comp[0][at : at + step, None] != comp[1][None, :]))
+        found_i.append(i + at)
+        found_j.append(j)
+        found_s.append(agree[i, j])
+    i, j, s = map(np.concatenate, (found_i, found_j, found_s))
+    if not len(i):
+        return []
+    order = np.lexsort((j, i, -s))
+    bags = [_Bags(one(t, "text")) for t in (left, right)]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.setdefault(c, c)) != c:
+            root[c] = root.setdefault(up, up)
+            c = up
+        return c
+
+    out = []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = find(int(comp[0][x])), find(int(comp[1][y]))
+        if a != b and (sim := bags[0].similarity(x, bags[1], y)) >= threshold:
+            root[max(a, b)] = min(a, b)
+            out.append((int(rep[0][x]), int(rep[1][y]), sim))
+    return out
+
 
+def _family_links(docs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between documents of different components that share a bucket; placed: (key, rep, component) of all shared buckets."""
+    per = placed.groupBy("key", "component").agg(F.min("rep").alias("rep"))
+    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("rep").alias("hub")).where("kinds > 1").select("key", "hub")
+    open_ = materialize(placed.join(mixed, "key").select("rep", "component", "hub"), "dedup-open")
+    family = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    sized = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").alias("rep"), "text")
+    everyone = open_.select("rep", "component").distinct().join(family.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep")
+    rows = materialize(everyone.join(sized, "rep").dropDuplicates(["rep"]), "dedup-families")
+    release(open_)
+    if not rows.limit(1).count():
+        return None
+    load = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = lambda n, size, most: F.greatest(F.ceil(n / most[0]), F.ceil(size / most[1])).cast("int")
+    plan = (
+        load.groupBy("family")
+        .agg(F.max(F.struct("n", "component", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        .where("n > top.n")
+        .select("family", F.col("top.component").alias("top"), parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"), LEFT).alias("nl"), parts(F.col("n"), F.col("bytes"), RIGHT).alias("nr"))
+    )
+    every = spread_join(rows, "family", plan)
+    spot = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["family", "l", "r", "side", "rep", "component", "text"]
+    left = every.where("component <> top").withColumn("l", spot("nl", 1)).withColumn("r", each("nr")).withColumn("side", F.lit(0))
+    right = every.withColumn("r", spot("nr", 2)).withColumn("l", each("nl")).withColumn("side", F.lit(1))
+    dealt = left.select(names).unionByName(right.select(names)).repartition("family", "l", "r").sortWithinPartitions("family", "l", "r", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(block: pa.Table) -> pa.RecordBatch | None:
+            side = block.column("side").to_numpy()
+            n = int((side == 0).sum())
+            if n == 0 or n == len(side):
+                return None
+            z = _registers(block.column("text"))
+            block = block.append_column("z", z)
+            links = _block_links(block.slice(0, n), block.slice(n), threshold)
+            if not links:
+                return None
+            a, b, sim = zip(*links, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
+
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            ids = [held.column(c).to_numpy() for c in ("family", "l", "r")]
+            at = 0
+            for to in np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1:
+                if (out := done(held.slice(at, to - at).combine_chunks())) is not None:
+                    yield out
+                at = int(to)
+            held = held.slice(at)
+        if held is not None and len(held) and (out := done(held.combine_chunks())) is not None:
+            yield out
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = materialize(dealt.mapInArrow(compare, "a long, b long, similarity double"), "dedup-edges")
+    release(rows)
+    return links
+
+
+def _registers(texts: pa.ChunkedArray) -> pa.Array:
+    """16 bits of each register of each text."""
+    out = []
+    for at, to, w in word_chunks(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts):
+        z = prob_min_hash(*weighted(*valid_grams(w, SHINGLE, short=True)), to - at)
+        out += [row.tobytes() for row in (mix(z + _C[3]) >> np.uint64(48)).astype("<u2")]
+    return pa.array(out, pa.binary())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -187,30 +324,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("s1").alias("s1"), F.first("s2").alias("s2")),
         "dedup-classes",
     )
-    entries = reps.select("rep", "s1", "s2", F.posexplode("keys").alias("band", "key"))
-    shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "s1", "s2")).alias(f"hub{i}") for i in (0, 1, 2)]).where("n > 1").drop("n")
-    hubs = materialize(shared, "dedup-hubs")
-    members = materialize(entries.join(hubs.select("band", "key"), ["band", "key"]), "dedup-members")
-    tries = (
-        spread_join(members, ["band", "key"], hubs)
-        .select(F.struct("rep", "s1", "s2").alias("x"), F.explode(F.array("hub0", "hub1", "hub2")).alias("y"))
-        .where(_alike("x", "y"))
-        .select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
-    )
-    first = materialize(_ordered(tries), "dedup-pairs")
+    entries = reps.select("rep", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = materialize(entries.join(shared, "key", "left_semi"), "dedup-members")
+    hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep")).alias(f"hub{i}") for i in (0, 1, 2)])
+    tried = spread_join(members, "key", hubs).select(F.col("rep").alias("x"), F.explode(F.array_distinct(F.array("hub0.rep", "hub1.rep", "hub2.rep"))).alias("y"))
+    pairs = tried.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sketch = lambda c, v: reps.groupBy(F.col("rep").alias(c)).agg(F.first("s1").alias(f"{v}1"), F.first("s2").alias(f"{v}2"))
+    first = spread_join(spread_join(pairs, "a", sketch("a", "x")), "b", sketch("b", "y")).where(_alike()).select("a", "b")
+    first = materialize(first, "dedup-pairs")
     edges = verified(first, docs, threshold)
     comp = components(edges)
-
     placed = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    per = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("band", "key", F.col("top.component").alias("top"))
-    open_ = materialize(placed.join(mixed, ["band", "key"]), "dedup-open")
-    x, y = open_.where("component <> top").alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y"))
-    second = materialize(_ordered(rest.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))).join(first, ["a", "b"], "left_anti"), "dedup-pairs")
-    if second.limit(1).count():
-        comp = components(edges.unionByName(verified(second, docs, threshold)))
-    release(hubs, members, open_, first, second)
+    more = _family_links(docs, placed, threshold)
+    if more is not None and more.limit(1).count():
+        comp = components(edges.unionByName(more))
+    release(members, first)
     rows = spread_join(known.select("doc_id", "h1", "h2"), ["h1", "h2"], reps.select("h1", "h2", "rep"))
     linked = rows.select("doc_id", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("h1 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"))

@@ -2,6 +2,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from quillon.llm import common
 from quillon.llm import minhash_dedup as mh
@@ -85,7 +86,9 @@ def test_register_agreement_estimates_probability_jaccard():
     assert abs((z[0] == z[1]).mean() - mh.probability_jaccard(wa, wb)) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 150, 10**6])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000), (None, 3)]
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1300)}
