@@ -5,7 +5,9 @@ documents. Sources in code point order, null last, get the weights in turn and s
 of sizes; a target stops at ``cap`` times its source's size, and what is over goes to the other
 sources by weight until no target is above its cap (water filling, in closed form over sources
 sorted by cap / weight). A document is emitted floor(rate) times, rate = target / size of its
-source, and once more if a hash of seed and doc_id falls below the fraction.
+source, and once more if a hash of seed and doc_id falls below the fraction. Such copies are
+independent, so in a small source a few long documents can carry it far from its target; of TRIES
+seeds each source therefore uses the one that brings its words nearest, tried in one aggregation.
 
 Defined cases. Null source: a source of its own. Sources without words: target 0, no copies.
 Null doc_id: drawn as the text "null". Rows of equal doc_id share their draw, so repeated rows get
@@ -26,7 +28,7 @@ from pyspark.sql.window import Window
 
 from quillon.llm.common import clean_columns, materialize, spread_join, table
 
-WEIGHTS, CAP, SEED, MAX_BROADCAST = (5, 2, 1), 3, "mix-1", 10_000
+WEIGHTS, CAP, SEED, TRIES, MAX_BROADCAST = (5, 2, 1), 3, "mix-1", 16, 10_000
 _BITS = 52  # a draw is exact in a double
 
 
@@ -61,31 +63,46 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     return ranked.select("source", source_key().alias("_key"), "source_size", F.when(F.col("is_capped"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
-def _with_copies(rows: DataFrame, per_source: DataFrame, n_sources: int, seed: str) -> DataFrame:
-    """rows with _key and doc_id gain source_size, target and copies."""
-    side = per_source.select("_key", "source_size", "target")
-    joined = rows.join(F.broadcast(side), "_key") if n_sources <= MAX_BROADCAST else spread_join(rows, "_key", side)
-    digits = _BITS // 4
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    draw = F.conv(F.substring(drawn, 1, digits), 16, 10).cast("long").cast("double") / F.lit(float(1 << _BITS))
+def _joined(rows: DataFrame, per_source: DataFrame, n_sources: int) -> DataFrame:
+    return rows.join(F.broadcast(per_source), "_key") if n_sources <= MAX_BROADCAST else spread_join(rows, "_key", per_source)
+
+
+def _copies(seed: str, attempt):
+    """How often a document is taken, by a hash of seed, attempt and doc_id."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return joined.withColumn("_rate", rate).withColumn("copies", (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")).drop("_rate")
+    drawn = F.md5(F.concat(F.lit(f"{seed}-"), attempt.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    draw = F.conv(F.substring(drawn, 1, _BITS // 4), 16, 10).cast("long").cast("double") / F.lit(float(1 << _BITS))
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def sources(slim: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> tuple[DataFrame, int]:
+    """((_key, source_size, target, attempt) of each source, number of sources) of rows (doc_id, source, size)."""
+    wanted = materialize(targets(slim, weights, cap).select("_key", "source_size", "target"), "mix-targets")
+    n = wanted.count()
+    tried = _joined(slim.select("doc_id", "size", source_key().alias("_key")), wanted, n)
+    sums = tried.groupBy("_key").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * _copies(seed, F.lit(i))).alias(f"t{i}") for i in range(TRIES)])
+    off = F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), F.lit(i).alias("attempt")) for i in range(TRIES)])
+    best = sums.select("_key", F.array_min(off)["attempt"].alias("attempt"))
+    return materialize(wanted.join(best, "_key"), "mix-sources"), n
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return materialize(clean_columns(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size")), "mix-sizes")
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every document."""
-    slim = materialize(clean_columns(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size")), "mix-sizes")
-    per_source = materialize(targets(slim, weights, cap), "mix-targets")
-    return _with_copies(slim.withColumn("_key", source_key()), per_source, per_source.count(), seed).drop("_key")
+    slim = _slim(docs)
+    per_source, n = sources(slim, weights, cap, seed)
+    return _joined(slim.withColumn("_key", source_key()), per_source, n).withColumn("copies", _copies(seed, F.col("attempt"))).drop("_key", "attempt")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    sizes = clean_columns(docs, "source", "text").select("source", words().alias("size"))
-    per_source = materialize(targets(sizes, weights, cap), "mix-targets")
+    per_source, n = sources(_slim(docs), weights, cap, seed)
     whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key().alias("_key"))
-    taken = _with_copies(whole, per_source, per_source.count(), seed).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+    taken = _joined(whole, per_source, n).withColumn("_n", _copies(seed, F.col("attempt"))).where("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +120,10 @@ l as (select *, sum(source_size) over ()::bigint as total,
 c as (select *, (total - capped_before) * w >= most * w_from as is_capped from l),
 t as (select source, source_size, case when is_capped then most::double
   else ((total - sum(case when is_capped then most else 0 end) over ())::bigint * w)::double / (sum(case when is_capped then 0 else w end) over ())::double end as target from c),
-m as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as rate,
-  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null')), 1, {_BITS // 4}))::bigint::double / {1 << _BITS}::double as draw
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, (size * (floor(rate)::bigint + (draw < rate - floor(rate))::bigint))::bigint as taken from m
+m as (select doc_id, size, t.source, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as rate
+  from d join t on d.source is not distinct from t.source),
+x as (select m.*, a, size * (floor(rate)::bigint + (('0x' || substr(md5('{SEED}-' || a || ':' || coalesce(doc_id::varchar, 'null')), 1, {_BITS // 4}))::bigint::double / {1 << _BITS}::double
+  < rate - floor(rate))::bigint) as taken from m, range({TRIES}) as r(a)),
+b as (select source, a from (select source, a, row_number() over (partition by source order by abs(sum(taken) - any_value(target)), a) as n from x group by source, a) where n = 1)
+select doc_id, size, source_size, target, taken::bigint as taken from x join b on x.source is not distinct from b.source and x.a = b.a
 """
