@@ -13,8 +13,8 @@ against three hub members first, which links nearly all of a group of copies wit
 its size. What may be left are pairs between different components of a bucket. Buckets that have
 such pairs are joined to families, and the documents outside a family's largest component meet all
 of the family in blocks of bounded size: a task holds two blocks, compares signatures, verifies
-pairs of different components whose registers agree enough for 0.8 (a pair at 0.8 is lost there with
-probability 0.005), best first, and returns the links that join components, not pairs. So no link
+pairs of different components whose registers, and then four times as many, agree enough for 0.8 (a
+pair at 0.8 is lost there with probability 0.01), best first, and returns the links that join components, not pairs. So no link
 between different texts is lost to a cap, and no pairs within a group are emitted.
 
 Defined cases. Null, empty and wordless texts resemble nothing and are kept. Null doc_id: component
@@ -37,8 +37,9 @@ from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, ma
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
 MAX_DIFFERENT_BITS = 27  # of 120; at 0.8 they are 12 on average with a standard deviation of 3.3
-MIN_AGREEMENT = 0.705  # of the registers, which at 0.8 have a standard deviation of 0.037
-LEFT, RIGHT = (512, 4_000_000), (2048, 8_000_000)  # documents and bytes of a block
+MORE_REGISTERS = 480
+MIN_AGREEMENT, MIN_MORE_AGREEMENT = 0.705, 0.7525  # 2.6 standard deviations below 0.8 for 120 and 480 registers
+LEFT, RIGHT = (1024, 8_000_000), (4096, 16_000_000)  # documents and bytes of a block
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -211,9 +212,9 @@ class _Bags:
 
 
 def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tuple[int, int, float]]:
-    """Links that join different components among the pairs of two blocks (rep, component, z, text)."""
-    one = lambda t, c: t.column(c).combine_chunks()
-    z = [np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in one(t, "z")]) for t in (left, right)]
+    """Links that join different components among the pairs of two blocks (rep, component, text)."""
+    texts = [t.column("text").combine_chunks() for t in (left, right)]
+    z = [_registers(t, REGISTERS) for t in texts]
     rep, comp = ([t.column(c).to_numpy() for t in (left, right)] for c in ("rep", "component"))
     found_i, found_j, found_s = [], [], []
     step = max(1, 4_000_000 // (REGISTERS * len(z[1])))
@@ -227,8 +228,13 @@ def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tupl
     i, j, s = map(np.concatenate, (found_i, found_j, found_s))
     if not len(i):
         return []
+    more = [_registers(t, MORE_REGISTERS) for t in texts]
+    parts = np.array_split(np.arange(len(i)), max(1, len(i) * MORE_REGISTERS // 4_000_000))
+    s = np.concatenate([(more[0][i[p]] == more[1][j[p]]).sum(axis=1) for p in parts])
+    good = s >= MIN_MORE_AGREEMENT * MORE_REGISTERS
+    i, j, s = i[good], j[good], s[good]
     order = np.lexsort((j, i, -s))
-    bags = [_Bags(one(t, "text")) for t in (left, right)]
+    bags = [_Bags(t) for t in texts]
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -280,8 +286,6 @@ def _family_links(docs: DataFrame, placed: DataFrame, threshold: float) -> DataF
             n = int((side == 0).sum())
             if n == 0 or n == len(side):
                 return None
-            z = _registers(block.column("text"))
-            block = block.append_column("z", z)
             links = _block_links(block.slice(0, n), block.slice(n), threshold)
             if not links:
                 return None
@@ -307,13 +311,13 @@ def _family_links(docs: DataFrame, placed: DataFrame, threshold: float) -> DataF
     return links
 
 
-def _registers(texts: pa.ChunkedArray) -> pa.Array:
-    """16 bits of each register of each text."""
+def _registers(texts: pa.Array | pa.ChunkedArray, m: int) -> np.ndarray:
+    """16 bits of each of m registers of each text."""
     out = []
     for at, to, w in word_chunks(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts):
-        z = prob_min_hash(*weighted(*valid_grams(w, SHINGLE, short=True)), to - at)
-        out += [row.tobytes() for row in (mix(z + _C[3]) >> np.uint64(48)).astype("<u2")]
-    return pa.array(out, pa.binary())
+        z = prob_min_hash(*weighted(*valid_grams(w, SHINGLE, short=True)), to - at, m)
+        out.append((mix(z + _C[3]) >> np.uint64(48)).astype(np.uint16))
+    return np.concatenate(out)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -326,16 +330,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     entries = reps.select("rep", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(entries.join(shared, "key", "left_semi"), "dedup-members")
-    hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep")).alias(f"hub{i}") for i in (0, 1, 2)])
-    tried = spread_join(members, "key", hubs).select(F.col("rep").alias("x"), F.explode(F.array_distinct(F.array("hub0.rep", "hub1.rep", "hub2.rep"))).alias("y"))
-    pairs = tried.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sketch = lambda c, v: reps.groupBy(F.col("rep").alias(c)).agg(F.first("s1").alias(f"{v}1"), F.first("s2").alias(f"{v}2"))
-    first = spread_join(spread_join(pairs, "a", sketch("a", "x")), "b", sketch("b", "y")).where(_alike()).select("a", "b")
-    first = materialize(first, "dedup-pairs")
+    members = materialize(entries.join(shared, "key", "left_semi").join(reps.select("rep", "s1", "s2"), "rep"), "dedup-members")
+    hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "s1", "s2")).alias(f"hub{i}") for i in (0, 1, 2)])
+    tried = spread_join(members, "key", hubs).select(F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.explode(F.array("hub0", "hub1", "hub2")).alias("hub"))
+    tried = tried.select("x", "x1", "x2", F.col("hub.rep").alias("y"), F.col("hub.s1").alias("y1"), F.col("hub.s2").alias("y2")).where(_alike() & (F.col("x") != F.col("y")))
+    first = materialize(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dedup-pairs")
     edges = verified(first, docs, threshold)
     comp = components(edges)
-    placed = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.select("key", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     more = _family_links(docs, placed, threshold)
     if more is not None and more.limit(1).count():
         comp = components(edges.unionByName(more))
