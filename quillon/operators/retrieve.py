@@ -57,8 +57,15 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def _lengths(entries: DataFrame, q: DataFrame, candidates: DataFrame | None) -> DataFrame:
+    """(query_id, n, avgdl): entries of the scope, and average length of the candidates, which are the whole scope if None."""
+    average = lambda c: F.greatest(F.lit(1.0), F.avg(c)).alias("avgdl")
+    scope = q.select("query_id", *SCOPE).join(entries.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"), average(F.size("tokens"))), SCOPE).select("query_id", "n", "avgdl")
+    return scope if candidates is None else scope.drop("avgdl").join(candidates.groupBy("query_id").agg(average(F.col("dl"))), "query_id")
+
+
 def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings: Retrieval) -> DataFrame:
-    """(query_id, doc_id, bm25) of all pairs that share a term; lengths: (query_id, avgdl) of the candidates."""
+    """(query_id, doc_id, bm25) of all pairs that share a term; lengths: (query_id, n, avgdl) as ``_lengths`` has them."""
     q_terms = queries.select("query_id", *SCOPE, F.explode("q_terms").alias("term"))
     known = q_terms.select(*SCOPE, "term").distinct()
     e_terms = (
@@ -68,8 +75,7 @@ def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     df = e_terms.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = entries.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"))
-    weights = q_terms.join(df, [*SCOPE, "term"]).join(n, SCOPE).withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).join(lengths, "query_id")
+    weights = q_terms.join(df, [*SCOPE, "term"]).join(lengths, "query_id").withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     share = F.lit(1.0 - settings.b) + F.lit(settings.b) * (F.col("dl") / F.col("avgdl"))
     one = F.col("idf") * (F.col("tf") * (settings.k1 + 1.0)) / (F.col("tf") + F.lit(settings.k1) * share)
     parts = e_terms.join(weights, [*SCOPE, "term"]).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", one.alias("x")))).alias("parts"))
@@ -153,8 +159,7 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
         if mode == "dense":
             candidates = candidates.withColumn("bm25", F.lit(0.0))
         else:
-            lengths = candidates.groupBy("query_id").agg(F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"))
-            hits = lexical(entries, q, lengths, settings)
+            hits = lexical(entries, q, _lengths(entries, q, candidates if filtered else None), settings)
             candidates = candidates.join(hits, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
         rows = scored(candidates, mode, settings)
     shown = entries.select(*SCOPE, "doc_id", "text", "source_kind", "session_id")  # texts join the few rows that are returned
@@ -166,9 +171,7 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
 
 def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval) -> DataFrame:
     """The bm25 mode's rows with a shared term; no other can pass its threshold. dense_rank is the place in the scope."""
-    per = entries.groupBy(*SCOPE).agg(F.greatest(F.lit(1.0), F.avg(F.size("tokens"))).alias("avgdl"))
-    lengths = q.select("query_id", *SCOPE).join(per, SCOPE).select("query_id", "avgdl")
-    hits = lexical(entries, q, lengths, settings).join(q.select("query_id", *SCOPE), "query_id")
+    hits = lexical(entries, q, _lengths(entries, q, None), settings).join(q.select("query_id", *SCOPE), "query_id")
     rows = hits.join(entries.select(*SCOPE, "doc_id", "created_at", "importance"), [*SCOPE, "doc_id"])
     return (
         rows.withColumn("dense", F.lit(0.0))
