@@ -154,10 +154,13 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids, one row each. Both sides are shuffled at every size: ids grow with the data."""
+    return materialize(clean_columns(docs, "doc_id", "text").join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "dedup-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts have J_P >= threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(clean_columns(docs, "doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]), "dedup-texts")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     both = spread_join(spread_join(pairs, "a", side("a")).select("a", "b", "ta"), "b", side("b")).select("a", "b", "ta", "tb")
 
@@ -172,9 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
                 yield part.select(["a", "b"]).append_column("similarity", pa.array(sim)).filter(pa.array(sim >= threshold))
                 at = to
 
-    out = materialize(both.mapInArrow(check, "a long, b long, similarity double"), "dedup-edges")
-    release(texts)
-    return out
+    return materialize(both.mapInArrow(check, "a long, b long, similarity double"), "dedup-edges")
 
 
 def _alike():
@@ -252,15 +253,15 @@ def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tupl
     return out
 
 
-def _family_links(docs: DataFrame, placed: DataFrame, threshold: float) -> DataFrame | None:
+def _family_links(texts: DataFrame, placed: DataFrame, threshold: float) -> DataFrame | None:
     """Links between documents of different components that share a bucket; placed: (key, rep, component) of all shared buckets."""
     per = placed.groupBy("key", "component").agg(F.min("rep").alias("rep"))
     mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("rep").alias("hub")).where("kinds > 1").select("key", "hub")
     open_ = materialize(placed.join(mixed, "key").select("rep", "component", "hub"), "dedup-open")
     family = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    sized = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").alias("rep"), "text")
+    sized = texts.select(F.col("doc_id").alias("rep"), "text")
     everyone = open_.select("rep", "component").distinct().join(family.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep")
-    rows = materialize(everyone.join(sized, "rep").dropDuplicates(["rep"]), "dedup-families")
+    rows = materialize(everyone.join(sized.hint("merge"), "rep").dropDuplicates(["rep"]), "dedup-families")
     release(open_)
     if not rows.limit(1).count():
         return None
@@ -330,18 +331,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     entries = reps.select("rep", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(entries.join(shared, "key", "left_semi").join(reps.select("rep", "s1", "s2"), "rep"), "dedup-members")
+    members = materialize(entries.join(shared.hint("merge"), "key", "left_semi").join(reps.select("rep", "s1", "s2"), "rep"), "dedup-members")
     hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "s1", "s2")).alias(f"hub{i}") for i in (0, 1, 2)])
     tried = spread_join(members, "key", hubs).select(F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.explode(F.array("hub0", "hub1", "hub2")).alias("hub"))
     tried = tried.select("x", "x1", "x2", F.col("hub.rep").alias("y"), F.col("hub.s1").alias("y1"), F.col("hub.s2").alias("y2")).where(_alike() & (F.col("x") != F.col("y")))
     first = materialize(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dedup-pairs")
-    edges = verified(first, docs, threshold)
+    texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+    edges = verified(first, texts, threshold)
     comp = components(edges)
     placed = members.select("key", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = _family_links(docs, placed, threshold)
+    more = _family_links(texts, placed, threshold)
     if more is not None and more.limit(1).count():
         comp = components(edges.unionByName(more))
-    release(members, first)
+    release(members, first, texts)
     rows = spread_join(known.select("doc_id", "h1", "h2"), ["h1", "h2"], reps.select("h1", "h2", "rep"))
     linked = rows.select("doc_id", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("h1 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"))
@@ -352,7 +354,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group; equal rows of a kept doc_id are one document."""
     found = materialize(near_duplicates(docs, threshold), "dedup-result")
     drop = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # drop grows with the data: never broadcast
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if again else out
 
