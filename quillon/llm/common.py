@@ -277,13 +277,13 @@ def text_buffers(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.n
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def word_chunks(column: pa.Array, lower: bool = True, is_word: np.ndarray = _IS_WORD) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, Words) over slices of a text column, each of some CHUNK_BYTES or of one text."""
+def word_chunks(column: pa.Array, lower: bool = True, is_word: np.ndarray = _IS_WORD, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, Words) over slices of a text column, each of at most ``most`` bytes or of one text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     at, n = 0, len(sizes)
     ends = np.cumsum(sizes)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         data, offsets = text_buffers(column.slice(at, to - at), lower)
         yield at, to, Words(data, offsets, is_word)
         at = to

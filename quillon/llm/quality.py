@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import _NOT_SPACE, Words, clean_columns, mix, table, word_chunks
 
 PASSAGE, MAX_LABELLED, HASHED, HIDDEN, ATTENTION, EPOCHS, BATCH, SEED = 128, 4000, 32, 32, 16, 60, 64, 5
+CHUNK = 1_000_000  # bytes of text worked on at once; features take some 60 times as much
 _LINE = np.ones(256, bool)
 _LINE[10] = False
 N_FEATURES = 129 + HASHED + 6
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, w in word_chunks(batch.column(2), lower=False, is_word=_NOT_SPACE):
+            for at, to, w in word_chunks(batch.column(2), lower=False, is_word=_NOT_SPACE, most=CHUNK):
                 x, first = features(w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "y", "x"])
 
@@ -182,7 +183,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, w in word_chunks(batch.column(1), lower=False, is_word=_NOT_SPACE):
+            for at, to, w in word_chunks(batch.column(1), lower=False, is_word=_NOT_SPACE, most=CHUNK):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(shared.value.score(*features(w)))], names=["doc_id", "score"])
 
     return clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, score double")
@@ -195,7 +196,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, w in word_chunks(batch.column(text), lower=False, is_word=_NOT_SPACE):
+            for at, to, w in word_chunks(batch.column(text), lower=False, is_word=_NOT_SPACE, most=CHUNK):
                 yield batch.slice(at, to - at).filter(pa.array(shared.value.score(*features(w)) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import clean_columns, materialize, new_path, partitions, table
 
-END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 6_000_000, 700_000
+END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 6_000_000, 400_000
 MAGIC = int.from_bytes(b"QTOKEF01", "little")
 _HEADER = 8
 
