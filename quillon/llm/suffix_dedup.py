@@ -1,15 +1,17 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes and the windows that hold them.
 
 Of all suffixes (at word starts) only those at minimisers are retained: the least 25-gram hash in
-each window of 26 places. Any passage of MIN_WORDS = 50 words holds one whole such 25-gram, at the
-same place in each of its copies. Suffixes are sorted - by the 25-gram, then by the words right of
-it - with Spark's range partitioning, so a passage that a third of all documents share is dealt
-over tasks too; neighbours are compared, also over partition borders, and matches are extended to
-the right and left. The suffixes whose 25-gram occurs again are sorted once more by the words left
-of it, so copies that differ soon to the right are neighbours there. A suffix carries one byte a
-word of the 26 words on either side: enough to reach 50 words, and the next minimiser's suffix
-carries on from there; spans of one document are merged. A byte that agrees by chance makes a
-span a word longer in 1 of 256 cases.
+each window of 26 places. Any window of MIN_WORDS = 50 words holds one whole such 25-gram, at the
+same place in each of its copies, so it belongs to one suffix, and equal windows to suffixes of
+equal 25-grams. A suffix carries 5 hash bytes of each window that belongs to it, 13 on average: two
+windows are equal if 25-gram and hash are, 104 bits. Suffixes are sorted by the 25-gram with Spark's
+range partitioning down to (document, place), so a passage that a third of all documents share is
+dealt over tasks too. The windows of each run of equal 25-grams are compared at once, in pieces of
+at most about HELD_ROWS suffixes where a run is longer or touches a partition's border. In such a
+piece all but the least document of a window are settled, as that one is earlier; what the least
+ones share with other pieces is found by an aggregation of (25-gram, window), joined back. So every
+window that two documents have is found, whatever else shares its 25-gram, and its least document is
+known.
 
 Result, one row per document with a passage of 50 or more words that another document has too:
 ``spans`` are word ranges [begin, end) of all such passages, ``cut`` those which a document with a
@@ -26,24 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, clean_columns, grams, materialize, partitions, spread_join, table, text_buffers, word_chunks
+from quillon.llm.common import Words, clean_columns, grams, materialize, mix, partitions, spread_join, table, text_buffers, word_chunks
 
 MIN_WORDS, GRAM = 50, 25
 WINDOW = MIN_WORDS - GRAM + 1
-SUFFIX = "key long, doc long, pos int, lft binary, rgt binary"
-_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("lft", pa.binary()), ("rgt", pa.binary())])
+BYTES, HELD_ROWS = 5, 5_000
+_JOIN = np.uint64(0x9E3779B97F4A7C15)
+SUFFIX = "key long, doc long, pos int, windows binary"
+_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("windows", pa.binary())])
 
 
-def minimisers(w: Words, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the selected n-grams; a window lies in one text."""
+def minimisers(w: Words, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, n-gram selected, hash) of each window of ``window`` n-grams; a window lies in one text."""
     g = grams(w.hash, gram)
     n = len(g) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), g[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), g[:0]
     low = np.uint64((1 << 24) - 1)
     if len(g) > int(low):
         raise ValueError("a chunk holds fewer than 2**24 words")
@@ -55,182 +58,115 @@ def minimisers(w: Words, gram: int = GRAM, window: int = WINDOW) -> tuple[np.nda
     if width < window:
         m = np.minimum(m[: len(m) - (window - width)], m[window - width :])
     of = w.of()
-    m = m[:n][of[:n] == of[gram + window - 2 :][:n]]
-    at = (m & low).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, g[at]
-
-
-def _ragged(first: np.ndarray, count: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, indexes) of count[i] indexes from first[i] on."""
-    end = np.cumsum(count)
-    total = int(end[-1]) if len(end) else 0
-    within = np.arange(total) - np.repeat(end - count, count)
-    return np.concatenate([[0], end]).astype(np.int32), np.repeat(first, count) + step * within
+    start = np.flatnonzero(of[:n] == of[gram + window - 2 :][:n])
+    at = (m[start] & low).astype(np.int64)
+    return start, at, g
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
+    """(key, doc, pos, windows): of each retained 25-gram the first word and the hashes of the windows it is selected in."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, w in word_chunks(batch.column(1)):
-                place, key = minimisers(w)
-                text = w.of()[place]
-                byte = (w.hash >> np.uint64(20)).astype(np.uint8)
-                sides = []
-                for first, count, step in (
-                    (place - 1, np.minimum(WINDOW, place - w.first[text]), -1),
-                    (place + GRAM, np.minimum(WINDOW, w.first[text + 1] - place - GRAM), 1),
-                ):
-                    offsets, index = _ragged(first, count, step)
-                    sides.append(pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(byte[index])]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(at, to - at).take(pa.array(text)), pa.array((place - w.first[text]).astype(np.int32)), *sides], schema=_SCHEMA)
+                start, place, g = minimisers(w)
+                if not len(start):
+                    continue
+                hash_ = mix(g[start] * _JOIN + g[start + MIN_WORDS - GRAM])
+                raw = np.ascontiguousarray(hash_.view(np.uint8).reshape(-1, 8)[:, -BYTES:])
+                run = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                offsets = (np.concatenate([run, [len(start)]]) * BYTES).astype(np.int32)
+                text = w.of()[start[run]]
+                windows = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(g[place[run]].view(np.int64)), batch.column(0).slice(at, to - at).take(pa.array(text)), pa.array((start[run] - w.first[text]).astype(np.int32)), windows], schema=_SCHEMA)
 
     known = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
     return known.mapInArrow(cut, SUFFIX)
 
 
-def _padded(column: pa.Array) -> np.ndarray:
-    """(n, WINDOW) of the bytes; -1 beyond each value's end."""
-    _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data else np.zeros(1, np.uint8)
-    index = offsets[:-1, None] + np.arange(WINDOW)
-    inside = index < offsets[1:, None]
-    return np.where(inside, raw[np.minimum(index, max(len(raw) - 1, 0))].astype(np.int16) if len(raw) else np.int16(0), np.int16(-1))
+def _exploded(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in the row, hash) of each window of suffixes."""
+    c = rows.column("windows")
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    _, off, data = c.buffers()
+    offsets = np.frombuffer(off, np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, BYTES)
+    hash_ = np.zeros(len(raw), np.int64)
+    for i in range(BYTES):
+        hash_ |= raw[:, i].astype(np.int64) << (8 * i)
+    n = np.diff(offsets) // BYTES
+    return np.repeat(np.arange(len(n)), n), np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n), hash_
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of rows of a and b."""
-    return np.cumprod((a == b) & (a >= 0), axis=1).sum(axis=1)
+_OUT = "doc long, first int, last int, cut boolean, key long, hash long, most long"
+_OUT_SCHEMA = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("cut", pa.bool_()), ("key", pa.int64()), ("hash", pa.int64()), ("most", pa.int64())])
 
 
-_OUT = "kind int, run long, doc long, pos int, key long, lft binary, rgt binary, linked boolean, first int, last int, cut_first int, cut_last int"
-_OUT_SCHEMA = pa.schema([("kind", pa.int32()), ("run", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("key", pa.int64()), ("lft", pa.binary()), ("rgt", pa.binary()), ("linked", pa.bool_()), ("first", pa.int32()), ("last", pa.int32()), ("cut_first", pa.int32()), ("cut_last", pa.int32())])
-ROW, FIRST, LAST = 0, 1, 2
-_NONE = (1 << 30, -1, 1 << 30, -1)  # no span: first above last
+def _ranges(row: np.ndarray, number: np.ndarray, some: np.ndarray, doc: np.ndarray, pos: np.ndarray, cut: bool) -> pa.RecordBatch:
+    """(doc, first, last, cut) of each run of marked windows of a suffix."""
+    go_on = np.zeros(len(some), bool)
+    go_on[1:] = some[1:] & some[:-1] & (row[1:] == row[:-1])
+    first = np.flatnonzero(some & ~go_on)
+    last = np.flatnonzero(some & ~np.concatenate([go_on[1:], [False]]))
+    r, none = row[first], pa.nulls(len(first), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((pos[r] + number[first]).astype(np.int32)), pa.array((pos[r] + number[last] + MIN_WORDS).astype(np.int32)), pa.array(np.full(len(r), cut)), none, none, none], schema=_OUT_SCHEMA)
 
 
-def _linked(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row and the next: (same 25-gram, match of MIN_WORDS, words in common left, and right)."""
+def _settled(rows: pa.Table, opens: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The ranges of suffixes sorted by (key, doc); of those that ``opens`` marks also the windows in their least document here."""
     key = rows.column("key").to_numpy()
     same = key[1:] == key[:-1]
-    ok = np.zeros(len(same), bool)
-    left, right = np.zeros(len(same), np.int64), np.zeros(len(same), np.int64)
-    at = np.flatnonzero(same)
-    if len(at):
-        sides = []
-        for c in ("lft", "rgt"):
-            column = rows.column(c)
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            p = _padded(column)
-            sides.append(_common(p[at], p[at + 1]))
-        left[at], right[at] = sides
-        ok[at] = left[at] + right[at] + GRAM >= MIN_WORDS
-    return same, ok, left, right
-
-
-def _plain(part: pa.Table, column: str) -> pa.Array:
-    c = part.column(column).combine_chunks()
-    return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-
-
-def _records(kind: int, part: pa.Table, runs: np.ndarray, linked=None, spans=None) -> pa.RecordBatch:
-    n = part.num_rows
-    linked = np.zeros(n, bool) if linked is None else linked
-    spans = [np.full(n, x) for x in _NONE] if spans is None else spans
-    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(runs), *[_plain(part, c) for c in ("doc", "pos", "key", "lft", "rgt")], pa.array(linked), *[pa.array(x.astype(np.int32)) for x in spans]]
-    return pa.RecordBatch.from_arrays(cols, schema=_OUT_SCHEMA)
-
-
-def _pair_spans(doc: np.ndarray, pos: np.ndarray, ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each neighbouring pair, for its first and for its second row: (first, last, cut_first, cut_last)."""
-    cross = ok & (doc[1:] != doc[:-1])
-    out = []
-    for p, later in ((pos[:-1], doc[:-1] > doc[1:]), (pos[1:], doc[1:] > doc[:-1])):
-        p = p.astype(np.int64)
-        spans = [np.where(cross, p - left, _NONE[0]), np.where(cross, p + GRAM + right, _NONE[1])]
-        out.append([*spans, np.where(cross & later, spans[0], _NONE[2]), np.where(cross & later, spans[1], _NONE[3])])
-    return out[0], out[1]
+    again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | opens
+    rows, opens = rows.filter(pa.array(again)), opens[again]
+    if not rows.num_rows:
+        return
+    key, doc, pos = (rows.column(c).to_numpy() for c in ("key", "doc", "pos"))
+    run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    row, number, hash_ = _exploded(rows)
+    # windows of one run meet, in order of the document: 23 bits of run and 8 * BYTES of hash
+    _, first, group = np.unique((run[row].astype(np.int64) << (8 * BYTES)) | hash_, return_index=True, return_inverse=True)
+    least = doc[row[first]]
+    most = least.copy()
+    np.maximum.at(most, group, doc[row])
+    later = least[group] < doc[row]
+    yield _ranges(row, number, (least < most)[group], doc, pos, False)
+    yield _ranges(row, number, later, doc, pos, True)
+    left = np.flatnonzero(opens[row] & ~later)
+    r, n = row[left], len(left)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((pos[r] + number[left]).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(key[r]), pa.array(hash_[left]), pa.array(most[group[left]])], schema=_OUT_SCHEMA)
 
 
 def neighbours(sorted_: DataFrame) -> DataFrame:
-    """The suffixes whose 25-gram a neighbour has too, with the spans they share with their neighbours; each partition's first and last suffix."""
+    """Ranges that equal 25-grams share in a piece of a run; with ``key`` and ``hash``, at ``first``, windows that other pieces may have too."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = TaskContext.get().partitionId() << 40
-        held = None  # the last row so far, whose next neighbour is to come
-        had = (True, False, _NONE)  # of it and the row before: (same 25-gram, match, spans)
+        held, open_key = None, None  # the suffixes of a run that may go on; the key of a run that has other pieces
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            if held is None:
-                yield _records(FIRST, t.slice(0, 1), np.array([run]))
-            else:
-                t = pa.concat_tables([held, t]).combine_chunks()
-            same, ok, left, right = _linked(t)
-            runs = run + np.concatenate([[0], np.cumsum(~ok)])
-            ahead, behind = _pair_spans(t.column("doc").to_numpy(), t.column("pos").to_numpy(), ok, left, right)
-            before = [np.concatenate([[h], x]) for h, x in zip(had[2], behind, strict=True)]
-            same_before, ok_before = np.concatenate([[had[0]], same]), np.concatenate([[had[1]], ok])
-            keep = np.flatnonzero(same_before[:-1] | same)
-            if len(keep):
-                spans = [(np.minimum if i % 2 == 0 else np.maximum)(x[:-1], y)[keep] for i, (x, y) in enumerate(zip(before, ahead, strict=True))]
-                yield _records(ROW, t.take(pa.array(keep)), runs[keep], (ok_before[:-1] | ok)[keep], spans)
-            held, run = t.slice(t.num_rows - 1, 1), int(runs[-1])
-            had = (bool(same_before[-1]), bool(ok_before[-1]), tuple(x[-1] for x in before))
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            key = t.column("key").to_numpy()
+            open_key = key[0] if open_key is None else open_key  # the partition's first run may begin in another
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield from _settled(t.slice(0, last), key[:last] == open_key)
+            held = t.slice(last)
+            if held.num_rows > HELD_ROWS:
+                yield from _settled(held, np.ones(held.num_rows, bool))
+                held, open_key = None, key[-1]
         if held is not None:
-            yield _records(ROW, held, np.array([run]), np.array([had[1]]), [np.array([x]) for x in had[2]])
-            yield _records(LAST, held, np.array([run]))
+            yield from _settled(held, np.ones(held.num_rows, bool))
 
     return sorted_.mapInArrow(compare, _OUT)
 
 
-def _over_borders(found: DataFrame) -> tuple[list[tuple], dict[int, int]]:
-    """What the partitions' first and last suffixes - two rows a partition - link: (records, run -> run it goes on from)."""
-    ends = sorted(found.where(F.col("kind").isin(FIRST, LAST)).collect(), key=lambda r: (r.run >> 40, r.kind))
-    records, merged = [], {}
-    for a, b in zip(ends[1::2], ends[2::2], strict=False):
-        pair = pa.Table.from_pylist([{c: x[c] for c in ("key", "doc", "pos", "lft", "rgt")} for x in (a, b)], schema=_SCHEMA)
-        _, ok, left, right = _linked(pair)
-        if ok[0]:
-            merged[b.run] = merged.get(a.run, a.run)
-            sides = _pair_spans(pair.column("doc").to_numpy(), pair.column("pos").to_numpy(), ok, left, right)
-            records += [(merged[b.run], x.doc, x.pos, x.lft, x.rgt, *[int(v[0]) for v in spans]) for x, spans in zip((a, b), sides, strict=True)]
-    return records, merged
-
-
-def _spans(found: DataFrame) -> DataFrame:
-    """(doc, first, last, cut): the spans shared with neighbours, and with the earliest document of a run of matching neighbours."""
-    spark = found.sparkSession
-    more, merged = _over_borders(found)
-    names = ["run", "doc", "pos", "lft", "rgt", "first", "last", "cut_first", "cut_last"]
-    rows = found.where((F.col("kind") == ROW) & F.col("linked")).select(names)
-    if more:
-        rows = rows.unionByName(spark.createDataFrame(more, "run long, doc long, pos int, lft binary, rgt binary, first int, last int, cut_first int, cut_last int"))
-    if merged:
-        to = spark.createDataFrame(list(merged.items()), "run long, goes_on long")  # at most one row a partition
-        rows = rows.join(F.broadcast(to), "run", "left").withColumn("run", F.coalesce("goes_on", "run")).drop("goes_on")
-    least = rows.groupBy("run").agg(F.min(F.struct("doc", "pos", "lft", "rgt")).alias("least"), F.max("doc").alias("most")).where("least.doc < most")
-    joined = spread_join(rows, "run", least.select("run", "least")).select(*names[1:], F.col("least.doc").alias("e_doc"), F.col("least.pos").alias("e_pos"), F.col("least.lft").alias("e_lft"), F.col("least.rgt").alias("e_rgt"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(n) for n in batch.schema.names}
-            doc, pos, e_doc, e_pos = (c[n].to_numpy().astype(np.int64) for n in ("doc", "pos", "e_doc", "e_pos"))
-            left, right = (_common(_padded(c[n]), _padded(c["e_" + n])) for n in ("lft", "rgt"))
-            ok = (doc > e_doc) & (left + right + GRAM >= MIN_WORDS)
-            first, last, cut_first, cut_last = (c[n].to_numpy().astype(np.int64) for n in ("first", "last", "cut_first", "cut_last"))
-            out = [(doc, first, last, False), (doc, cut_first, cut_last, True)]
-            out += [(d[ok], (p - left)[ok], (p + GRAM + right)[ok], cut) for d, p, cut in ((doc, pos, True), (e_doc, e_pos, False))]
-            for d, i, j, cut in out:
-                some = np.flatnonzero(i < j)
-                table_ = pa.table({"doc": d[some], "first": i[some].astype(np.int32), "last": j[some].astype(np.int32)}).group_by(["doc", "first", "last"]).aggregate([])
-                if len(table_):
-                    yield pa.RecordBatch.from_arrays([*[_plain(table_, n) for n in ("doc", "first", "last")], pa.array(np.full(len(table_), cut))], names=["doc", "first", "last", "cut"])
-
-    return joined.mapInArrow(compare, "doc long, first int, last int, cut boolean")
+def _left_open(windows: DataFrame) -> DataFrame:
+    """(doc, first, last, cut) of the windows (key, hash, doc, first, most) that two documents have; most: the piece's greatest document of it."""
+    shared = windows.groupBy("key", "hash").agg(F.min("doc").alias("least"), F.max("most").alias("most")).where("least < most").drop("most")
+    found = spread_join(windows.drop("most"), ["key", "hash"], shared)
+    return found.select("doc", "first", (F.col("first") + MIN_WORDS).alias("last"), (F.col("least") < F.col("doc")).alias("cut"))
 
 
 def _merge(spans):
@@ -248,13 +184,11 @@ def _merge(spans):
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, cut): the passages of 50 words or more that other documents have too."""
-    n = partitions(docs.sparkSession)
-    by_right = ["key", "rgt", "doc", "pos"]
-    right = materialize(neighbours(suffixes(docs).repartitionByRange(n, *by_right).sortWithinPartitions(*by_right)), "suffix-right")
-    by_left = ["key", "lft", "doc", "pos"]
-    again = right.where(F.col("kind") == ROW).select("key", "doc", "pos", "lft", "rgt")
-    left = materialize(neighbours(again.repartitionByRange(n, *by_left).sortWithinPartitions(*by_left)), "suffix-left")
-    both = _spans(right).unionByName(_spans(left)).groupBy("doc", "first", "last").agg(F.max("cut").alias("cut"))
+    order = ["key", "doc", "pos"]
+    found = materialize(neighbours(suffixes(docs).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)), "suffix-ranges")
+    rest = _left_open(found.where("key is not null").select("key", "hash", "doc", "first", "most"))
+    ranges = found.where("key is null").select("doc", "first", "last", "cut").unionByName(rest)
+    both = ranges.groupBy("doc", "first", "last").agg(F.max("cut").alias("cut"))
     span = F.struct("first", "last")
     return (
         both.groupBy("doc")

@@ -98,6 +98,23 @@ def test_passages_equal_brute_force(docs, prose, n_docs):
         assert cut.get(i, set()) <= cover(x.cut) and len(cover(x.cut) - cut.get(i, set())) <= 3
 
 
+@pytest.mark.parametrize("held", [5_000, 20])
+def test_passages_of_edited_copies_equal_brute_force(docs, prose, monkeypatch, held):
+    """1,000 copies of one text, each with a few words changed, some twice in a document: many windows share each 25-gram."""
+    monkeypatch.setattr(suffix_dedup, "HELD_ROWS", held, raising=False)
+    r, base, rows = random.Random(9), prose(1, 200), []
+    for i in range(1000):
+        w = list(base)
+        for at in r.sample(range(200), r.choice([2, 3, 4, 5])):
+            w[at] = f"edit{r.randrange(40)}"
+        rows.append((i, " ".join(w * r.choice([1, 1, 2]))))
+    r.shuffle(rows)
+    every, cut = brute_spans(rows)
+    got = {x.doc_id: x for x in suffix_dedup.repeats(docs(rows)).collect()}
+    assert {i: cover(x.spans) for i, x in got.items()} == every
+    assert {i: cover(x.cut) for i, x in got.items() if x.cut} == cut
+
+
 def test_cut_repeats_keeps_one_copy(docs, prose):
     p = " ".join(prose(1, 80))
     rows = [(1, "Alpha beta, " + p + " gamma."), (2, "Delta " + p + " epsilon."), (3, "É zeta  eta")]
