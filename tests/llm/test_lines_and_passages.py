@@ -58,6 +58,32 @@ def test_lines_odd(docs, odd):
     assert line_dedup.summary(docs([])).collect() == []
 
 
+def test_short_lines_repeat_too(docs, prose):
+    """With shortest=1 exact repeats of any line with words go; only lines of MIN_WORDS words meet with an edit."""
+    r, rows = random.Random(5), []
+    pool = [prose(300 + k, r.choice([1, 2, 3, 4, 4, 5, 6])) for k in range(25)]
+    pool += [w[:-1] for w in pool if len(w) > 1]
+    for i in range(30):
+        rows.append((i, "\n".join("" if r.random() < 0.1 else " ".join(r.choice(pool)) for _ in range(8))))
+    seen, want, texts = [], {}, {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            w = x.split()
+            near = len(w) >= 5 and any(len(s) >= 5 and abs(len(w) - len(s)) < 2 and distance(w, s) <= 1 for s in seen)
+            if not w or not (near or w in seen):
+                kept.append(x)
+            want[i] = want.get(i, 0) + (bool(w) and w in seen)
+            if w and w not in seen:
+                seen.append(w)
+        texts[i] = "\n".join(kept)
+    got = {x.doc_id: x.n_exact for x in line_dedup.summary(docs(rows), shortest=1).collect()}
+    assert got == want and sum(want.values()) > 100
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(rows), shortest=1).collect()} == texts
+    with pytest.raises(ValueError):
+        line_dedup.summary(docs(rows), shortest=0)
+
+
 def brute_spans(rows):
     at = {}
     texts = {i: t.lower().split() for i, t in rows}
