@@ -54,7 +54,7 @@ _RECORD = "concat('Note PMID: ', doc_id % 5, ' of Patient/SYN-', doc_id % 7, ',
 
 def _record():
     part = lambda n: (F.col("doc_id") % n).cast("string")
-    return F.concat(F.lit("Note PMID: "), part(5), F.lit(" of Patient/SYN-"), part(7), F.lit(", topic  T"), part(3), F.lit(" FHIR. "), F.substring("text", 1, 200))
+    return F.concat(F.lit("Note PMID: "), part(5), F.lit(" of Patient/SYN-"), part(7), F.lit(", topic  T"), part(3), F.lit(" FHIR. "), F.col("text"))
 
 
 @query("identifiers", f"select doc_id, {sql.count_identifiers(_RECORD)} as n, " + ", ".join(f"array_to_string({sql.keys(_RECORD, k)}, '|') as {k}" for k in tx.NAMESPACES) + " from documents")

@@ -1,6 +1,7 @@
 """Retrieval through small in-memory indexes: guards, isolation, ties, populations."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.operators import events as ev
 from quillon.operators import retrieve as rt
+from quillon.plans.queries import QUERIES
 from quillon.plans.settings import MODES, Retrieval
 
 
@@ -107,3 +109,17 @@ def test_distinct_texts_are_encoded_once(spark):
     df = spark.createDataFrame([("a",), ("a",), ("bb",), (None,)], "text string")
     out = rt.embedded(df, lambda s: s.map(lambda t: [float(len(t))]), prefix="x").collect()
     assert sorted((r.text or "", r.embedding[0]) for r in out) == [("", 1.0), ("a", 2.0), ("a", 2.0), ("bb", 3.0)]
+
+
+def test_identifiers_query_reads_whole_texts(spark, tmp_path):
+    """Identifiers after the 200th character of a document count, as by brute force over the whole record."""
+    late = "filler words " * 40 + "PMID: 98765 of Patient/ZZ-9 in FHIR"
+    rows = [(1, late), (2, "short PMID: 11"), (3, "x " * 300), (4, "word " * 5000 + "Patient/END-1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["identifiers"][0](spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        record = f"Note PMID: {i % 5} of Patient/SYN-{i % 7}, topic  T{i % 3} FHIR. {text}"
+        assert got[i].n == len(re.findall("(?i)" + tx.IDENTIFIERS, record))
+        for name, pattern in tx.NAMESPACES.items():
+            found = {" ".join(m.group(0).lower().split()) for m in re.finditer(f"(?i){pattern}", record)}
+            assert getattr(got[i], name) == "|".join(sorted(found)), (i, name)
