@@ -356,7 +356,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     drop = found.where("not kept").select("doc_id").distinct()
     out = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # drop grows with the data: never broadcast
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null")) if again else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

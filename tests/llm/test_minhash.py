@@ -104,3 +104,10 @@ def test_word_hashes_do_not_depend_on_the_chunk():
         one = common.Words(*common.text_buffers(pa.array([t], pa.string())))
         assert (whole.hash[whole.first[i] : whole.first[i + 1]] == one.hash).all()
     assert whole.count.tolist() == [3, 0, 0, 2, 1] * 3
+
+
+def test_null_ids_of_equal_texts_are_kept_beside_a_repeated_id(docs, prose):
+    a, b = " ".join(prose(1, 40)), " ".join(prose(2, 40))
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, None), (None, None), (None, ""), (None, "")]
+    got = [(r.doc_id, r.text) for r in mh.dedup(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), *rows[3:]], key=str)
