@@ -2,7 +2,9 @@
 
 Templates are cut into GRAM-word shingles and winnowed: of each WINDOW neighbouring hashes the
 least is kept, so any run of GRAM + WINDOW - 1 template words holds a kept one. An inverted index
-from kept hashes to (template, place) is probed with every shingle of the whole texts. Hits of a
+from kept hashes to (template, place) is probed with every shingle of the whole texts. A template of
+up to SHORT words is found by single words instead: what reaches the threshold lacks at most a few
+of its words, so it has one of any few and one; the longest, which are rare, are taken. Hits of a
 template on near diagonals are one candidate; the words around it are aligned with the template in
 a band about the diagonal (match 16, mismatch and gap -1), carrying the number of matched words and
 the place where the alignment began. Coverage is matched words / template words; what reaches
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Words, clean_columns, grams, table, text_buffers, word_chunks
 
 GRAM, WINDOW, THRESHOLD, MAX_TEMPLATE_WORDS = 3, 3, 0.8, 1_000_000
+SHORT = 20
 MATCH = 16
 
 #: Usual short notices (public texts).
@@ -75,10 +78,48 @@ def winnow(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.array(kept, np.int64))
 
 
+def seed_words(text: str, threshold: float) -> np.ndarray:
+    """Places of the longest words, one more than an alignment of this coverage may lack."""
+    data, offsets = text_buffers(pa.array([text]))
+    w = Words(data, offsets)
+    n = len(w.hash)
+    least = max(1, int(np.ceil(threshold * n - 1e-9)))
+    return np.sort(np.argsort(w.start - w.end, kind="stable")[: max(1, n - least + 1)])
+
+
+class Seeds:
+    """Inverted index from the hash of ``size`` words to (template, place)."""
+
+    def __init__(self, size: int, seeds: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.size = size
+        h = np.concatenate([x for _, _, x in seeds]) if seeds else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.which = np.concatenate([np.full(len(at), i) for i, at, _ in seeds])[order] if seeds else np.zeros(0, np.int64)
+        self.place = np.concatenate([at for _, at, _ in seeds])[order] if seeds else np.zeros(0, np.int64)
+        self.unique, self.first = np.unique(h[order], return_index=True)
+        self.many = np.diff(np.concatenate([self.first, [len(h)]]))
+        self.bits = np.zeros(1 << 16, bool)
+        self.bits[(self.unique >> np.uint64(48)).astype(np.int64)] = True
+
+    def hits(self, w: Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, template, begin of the template in the text) of each seed found."""
+        g = grams(w.hash, self.size) if self.size > 1 else w.hash
+        at = np.flatnonzero(self.bits[(g >> np.uint64(48)).astype(np.int64)])
+        at = at[of[at] == of[at + self.size - 1]]
+        place = np.searchsorted(self.unique, g[at])
+        place[place == len(self.unique)] = 0
+        ok = self.unique[place] == g[at] if len(self.unique) else np.zeros(len(at), bool)
+        at, place = at[ok], place[ok]
+        reps = self.many[place]
+        entry = np.repeat(self.first[place] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        text = np.repeat(of[at], reps)
+        return text, self.which[entry], np.repeat(at, reps) - w.first[text] - self.place[entry]
+
+
 class Templates:
-    """Inverted index of the winnowed fingerprints."""
+    """Words of the templates and the inverted indexes of their seeds."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], threshold: float = THRESHOLD):
         self.names = sorted(texts)
         self.words = [words_of(texts[n]) for n in self.names]
         self.length = np.array([len(w) for w in self.words], np.int64)
@@ -88,21 +129,16 @@ class Templates:
             raise ValueError("a template may have 30,000 words")
         if self.length.sum() > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates may have {MAX_TEMPLATE_WORDS} words in all")
-        hashes, which, place = [], [], []
+        single, shingles = [], []
         for i, w in enumerate(self.words):
-            g = grams(w, GRAM)
-            at = winnow(g)
-            hashes.append(g[at])
-            which.append(np.full(len(at), i))
-            place.append(at)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.which = np.concatenate(which)[order] if hashes else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if hashes else np.zeros(0, np.int64)
-        self.unique, self.first = np.unique(h[order], return_index=True)
-        self.many = np.diff(np.concatenate([self.first, [len(h)]]))
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(self.unique >> np.uint64(48)).astype(np.int64)] = True
+            if len(w) <= SHORT:
+                at = seed_words(texts[self.names[i]], threshold)
+                single.append((i, at, w[at]))
+            else:
+                g = grams(w, GRAM)
+                at = winnow(g)
+                shingles.append((i, at, g[at]))
+        self.seeds = [Seeds(1, single), Seeds(GRAM, shingles)]
 
 
 def band_of(length: np.ndarray) -> np.ndarray:
@@ -155,21 +191,10 @@ def mix_free(template: np.ndarray) -> np.uint64:
 
 def scan(w: Words, index: Templates, threshold: float = THRESHOLD):
     """Rows (text, template, coverage, first word, end word)."""
-    g = grams(w.hash, GRAM)
     of = w.of()
-    at = np.flatnonzero(index.bits[(g >> np.uint64(48)).astype(np.int64)])
-    at = at[of[at] == of[at + GRAM - 1]]
-    place = np.searchsorted(index.unique, g[at])
-    place[place == len(index.unique)] = 0
-    ok = index.unique[place] == g[at] if len(index.unique) else np.zeros(len(at), bool)
-    at, place = at[ok], place[ok]
-    if not len(at):
+    text, which, begin = (np.concatenate(x) for x in zip(*(seeds.hits(w, of) for seeds in index.seeds), strict=True))
+    if not len(text):
         return []
-    reps = index.many[place]
-    entry = np.repeat(index.first[place] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-    which = index.which[entry]
-    text = np.repeat(of[at], reps)
-    begin = np.repeat(at, reps) - w.first[text] - index.place[entry]
     half = band_of(index.length[which])
     candidates = np.unique(np.stack([text, which, begin // half], 1), axis=0)
     out = []
@@ -196,7 +221,7 @@ def scan(w: Words, index: Templates, threshold: float = THRESHOLD):
 
 def find(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, coverage, first_word, end_word), words counted from 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, threshold))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

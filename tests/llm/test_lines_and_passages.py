@@ -174,6 +174,24 @@ def test_licenses(docs, prose, odd):
         license_scan.find(docs(rows), {"short": "two words"})
 
 
+def test_one_edit_at_each_place_of_short_licenses(docs, prose):
+    around, rows, want = " ".join(prose(3, 30)), [], {}
+    for name, text in license_scan.TEMPLATES.items():
+        w = text.split()
+        if not 5 <= len(license_scan.words_of(text)) <= 20:
+            continue
+        for at in range(len(w)):
+            for edited in (w[:at] + ["zzz"] + w[at + 1 :], w[:at] + ["zzz"] + w[at:]):
+                n, kept = len(license_scan.words_of(text)), len(license_scan.words_of(text)) - (len(license_scan.words_of(w[at])) if len(edited) == len(w) else 0)
+                if kept / n >= license_scan.THRESHOLD:
+                    want[len(rows)] = name
+                    rows.append((len(rows), f"{around} {' '.join(edited)} {around}"))
+    rows.append((len(rows), around + " Released under the terms of the MIT License. " + around))
+    want[len(rows) - 1] = "MIT"
+    got = {(r.doc_id, r.license) for r in license_scan.find(docs(rows)).collect()}
+    assert set(want.items()) <= got and len(want) > 80
+
+
 def test_banded_alignment_against_brute_force():
     """Matched words equal those of a full local alignment where the band does not bind."""
     import numpy as np
