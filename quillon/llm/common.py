@@ -7,9 +7,11 @@ non-ASCII bytes of the lower-cased text; everything else separates.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
+SEGMENT = 1 << 18
 
 
 # -- tables in the shared folder ------------------------------------------------------------------
@@ -69,6 +72,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# -- memory of Python workers -----------------------------------------------------------------------
+
+
+@functools.cache
+def _libc():
+    try:
+        c = ctypes.CDLL("libc.so.6")
+        c.mallopt, c.malloc_trim  # noqa: B018
+        return c
+    except (OSError, AttributeError):
+        return None
+
+
+@functools.cache
+def _frugal() -> None:
+    """Once a process: large arrays are mapped one by one, so that they go back to the system when they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if _libc():
+        _libc().mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD; setting it also stops its growth
+        _libc().mallopt(-1, 1 << 23)  # M_TRIM_THRESHOLD
+
+
+def lean(f: Callable) -> Callable:
+    """f, a generator over Arrow batches, in a worker that keeps nothing from one task to the next."""
+
+    @functools.wraps(f)
+    def run(batches):
+        _frugal()
+        try:
+            yield from f(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            if _libc():
+                _libc().malloc_trim(0)
+
+    return run
+
+
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
+def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in lean workers; the session's batches become at most BATCH bytes, or one row, whatever a row's size."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH[0]).rstrip("b") != str(BATCH[1]):
+        conf.set(BATCH[0], str(BATCH[1]))
+    return df.mapInArrow(lean(f), schema)
+
+
 # -- connected components -------------------------------------------------------------------------
 
 
@@ -101,7 +154,7 @@ def _finish(edges: DataFrame) -> DataFrame:
                 break
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "to"])
 
-    return edges.select("a", "b").repartition(1).mapInArrow(join, "id long, to long")
+    return edges.select("a", "b").repartition(1).transform(in_arrow, join, "id long, to long")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -201,7 +254,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("b", ())) < n:
-        size = max(n, 1 << 16) * 5 // 4
+        size = max(n, SEGMENT + 4096)
         for k, base in (("b", _BASE), ("i", _INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -222,13 +275,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a few texts: ``hash`` per word, byte ``start``/``end`` in the buffer, ``first`` word of each text.
 
-    ``first`` has one entry more than there are texts.
+    ``first`` has one entry more than there are texts. The bytes are worked on in segments of about
+    SEGMENT bytes that end between words, so what is held beside the words does not grow with a text.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD):
         base = int(offsets[0])
         data = data[base : int(offsets[-1])]
         self.data, self.offsets = data, offsets = data, (offsets - base).astype(np.int64)
+        n, lo, parts = len(data), 0, []
+        while lo < n:
+            hi = lo + SEGMENT
+            while hi < n:  # on to the next end of a word or text
+                rest = data[hi - 1 : hi + SEGMENT]
+                gap = np.flatnonzero(~is_word[rest])
+                text = int(offsets[np.searchsorted(offsets, hi)])
+                hi = min(text, hi - 1 + int(gap[0]) if len(gap) else hi + SEGMENT)
+                if len(gap) or hi == text:
+                    break
+            hi = max(min(hi, n), lo + 1)
+            parts.append(self._segment(data[lo:hi], offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo, is_word, lo))
+            lo = hi
+        none = np.zeros(0, np.int64)
+        self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none.astype(np.uint64))
+        self.first = np.searchsorted(self.start, offsets)
+        self.count = np.diff(self.first)
+
+    @staticmethod
+    def _segment(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
         flag = np.zeros(n + 1, bool)
         flag[:n] = is_word[data]
@@ -237,16 +311,12 @@ class Words:
         before[1:] = flag[:n]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
-        starts = flag & (~before | cut)
-        ends = before & (~flag | cut)
-        self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends)
+        start, end = np.flatnonzero(flag & (~before | cut)), np.flatnonzero(before & (~flag | cut))
         up, down = _powers(n + 1)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(_TABLE[data] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        self.first = np.searchsorted(self.start, offsets)
-        self.count = np.diff(self.first)
+        return start + base, end + base, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
     def of(self) -> np.ndarray:
         """The text of each word."""

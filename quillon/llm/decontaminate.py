@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, clean_columns, grams, table, text_buffers, word_chunks
+from quillon.llm.common import Words, clean_columns, grams, in_arrow, lean, table, text_buffers, word_chunks
 
 SEED_WORDS, MIN_WORDS, THRESHOLD, BLOCK_GRAMS = 3, 5, 0.5, 500_000
 RARE, RARE_LEAST, NEAR = 1e-3, 8, 8
@@ -128,7 +128,7 @@ def document_frequency(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n_docs], total[some]]))], names=["gram", "n"])
 
     out = np.zeros(len(index.unique) + 1, np.int64)  # the last is the number of documents
-    for r in clean_columns(docs, "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in clean_columns(docs, "text").transform(in_arrow, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[r.gram] = r.n
     return out[:-1], int(out[-1])
 
@@ -221,7 +221,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
                     text, item, score, first, end = hits(w, index, threshold)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(text)), pa.array(ids[item]), pa.array(score), pa.array(first), pa.array(end)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        found = slim.mapInArrow(scan, "doc_id long, item_id long, score double, first_word long, end_word long")
+        found = slim.transform(in_arrow, scan, "doc_id long, item_id long, score double, first_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
@@ -245,7 +245,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                     good[at + hits(w, index, threshold)[0]] = False
                 yield batch.filter(pa.array(good))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.transform(in_arrow, keep, docs.schema)
     return out
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clean_columns, components, materialize, mix, partitions, spread_join, table
+from quillon.llm.common import clean_columns, components, in_arrow, materialize, mix, partitions, spread_join, table
 
 THRESHOLD, WIDTH, MISS, BLOCK = 0.98, 2.0, 1e-3, 512
 
@@ -71,7 +71,7 @@ def _keyed(vectors: DataFrame, tables: int, hashes: int, seed: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "keys"])
 
     schema = ", ".join(f"{n} {t}" for n, t in vectors.dtypes) + ", keys array<bigint>"
-    return vectors.mapInArrow(add, schema)
+    return vectors.transform(in_arrow, add, schema)
 
 
 def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 8, block:
         if held is not None and len(held) and (out := done(held)) is not None:
             yield out
 
-    found = materialize(dealt.mapInArrow(compare, "k string, rep long, links long, near long"), "vec-links")
+    found = materialize(dealt.transform(in_arrow, compare, "k string, rep long, links long, near long"), "vec-links")
     counts = found.groupBy("k").agg(F.sum("links").alias("links"))
     comp = components(found.where("rep <> near").select(F.col("rep").alias("a"), F.col("near").alias("b")).unionByName(
         keyed.where("k is not null").join(reps.select("k", "rep"), "k").where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")) if _repeats(keyed) else found.where("false").select(F.col("rep").alias("a"), F.col("near").alias("b"))

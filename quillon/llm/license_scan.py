@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, clean_columns, grams, table, text_buffers, word_chunks
+from quillon.llm.common import Words, clean_columns, grams, in_arrow, table, text_buffers, word_chunks
 
 GRAM, WINDOW, THRESHOLD, MAX_TEMPLATE_WORDS = 3, 3, 0.8, 1_000_000
 SHORT = 20
@@ -235,7 +235,7 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 )
 
     slim = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(search, "doc_id long, license string, coverage double, first_word long, end_word long")
+    return slim.transform(in_arrow, search, "doc_id long, license string, coverage double, first_word long, end_word long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

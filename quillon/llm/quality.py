@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _NOT_SPACE, Words, clean_columns, mix, table, word_chunks
+from quillon.llm.common import _NOT_SPACE, Words, clean_columns, in_arrow, mix, table, word_chunks
 
 PASSAGE, MAX_LABELLED, HASHED, HIDDEN, ATTENTION, EPOCHS, BATCH, SEED = 128, 4000, 32, 32, 16, 60, 64, 5
 CHUNK = 1_000_000  # bytes of text worked on at once; features take some 60 times as much
@@ -54,16 +54,20 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     later = np.flatnonzero(nth > 0)
     begin[later] = w.start[w.first[doc[later]] + nth[later] * PASSAGE]
     size = np.diff(np.concatenate([begin, [len(w.data)]]))
-    kind = np.minimum(w.data, 128).astype(np.int64)
-    byte = np.bincount(np.repeat(np.arange(n), size) * 129 + kind, minlength=n * 129).reshape(n, 129)
+    x = np.empty((n, N_FEATURES), np.float32)
+    upto, at = np.cumsum(size), 0
+    while at < n:  # the bytes of some passages at once
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + CHUNK, side="right")))
+        kind = np.minimum(w.data[begin[at] : upto[to - 1]], 128)
+        byte = np.bincount(np.repeat(np.arange(to - at) * 129, size[at:to]) + kind, minlength=(to - at) * 129).reshape(to - at, 129)
+        x[at:to, :129] = np.sqrt(byte / np.maximum(size[at:to], 1)[:, None])
+        at = to
     of = w.of()
     passage = first[of] + (np.arange(len(of)) - w.first[of]) // PASSAGE
     words = np.bincount(passage, minlength=n)
     hashed = np.bincount(passage * HASHED + (w.hash % np.uint64(HASHED)).astype(np.int64), minlength=n * HASHED).reshape(n, HASHED)
     length = np.bincount(passage, weights=w.end - w.start, minlength=n)
     lines = Words(w.data, w.offsets, _LINE)
-    x = np.empty((n, N_FEATURES), np.float32)
-    x[:, :129] = np.sqrt(byte / np.maximum(size, 1)[:, None])
     x[:, 129 : 129 + HASHED] = np.sqrt(hashed / np.maximum(words, 1)[:, None])
     tail = x[:, 129 + HASHED :]
     tail[:, 0] = np.log1p(words)
@@ -170,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "y", "x"])
 
     # max_labelled rows at most, so this side is small by construction
-    rows = clean_columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]).mapInArrow(encode, "doc_id long, y long, x binary").collect()
+    rows = clean_columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]).transform(in_arrow, encode, "doc_id long, y long, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     bags = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
@@ -186,7 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for at, to, w in word_chunks(batch.column(1), lower=False, is_word=_NOT_SPACE, most=CHUNK):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(shared.value.score(*features(w)))], names=["doc_id", "score"])
 
-    return clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, score double")
+    return clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, rate, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -199,7 +203,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
             for at, to, w in word_chunks(batch.column(text), lower=False, is_word=_NOT_SPACE, most=CHUNK):
                 yield batch.slice(at, to - at).filter(pa.array(shared.value.score(*features(w)) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(in_arrow, keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

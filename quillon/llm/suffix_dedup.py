@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, clean_columns, grams, materialize, mix, partitions, spread_join, table, text_buffers, word_chunks
+from quillon.llm.common import Words, clean_columns, grams, in_arrow, materialize, mix, partitions, spread_join, table, text_buffers, word_chunks
 
 MIN_WORDS, GRAM = 50, 25
 WINDOW = MIN_WORDS - GRAM + 1
@@ -81,7 +81,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(g[place[run]].view(np.int64)), batch.column(0).slice(at, to - at).take(pa.array(text)), pa.array((start[run] - w.first[text]).astype(np.int32)), windows], schema=_SCHEMA)
 
     known = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
-    return known.mapInArrow(cut, SUFFIX)
+    return known.transform(in_arrow, cut, SUFFIX)
 
 
 def _exploded(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def neighbours(sorted_: DataFrame) -> DataFrame:
         if held is not None:
             yield from _settled(held, np.ones(held.num_rows, bool))
 
-    return sorted_.mapInArrow(compare, _OUT)
+    return sorted_.transform(in_arrow, compare, _OUT)
 
 
 def _left_open(windows: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                     texts[i] = (b"".join(keep) + raw[done:]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if c == at else batch.column(c) for c in range(len(columns))], names=columns)
 
-    return joined.mapInArrow(apply, docs.schema)
+    return joined.transform(in_arrow, apply, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ An empty table: an empty manifest. Other columns play no part.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,9 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clean_columns, materialize, new_path, partitions, table
+from quillon.llm.common import clean_columns, in_arrow, lean, materialize, new_path, partitions, table
 
-END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 6_000_000, 400_000
+END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 3_000_000, 32_000_000  # the last two in bytes
+_ENTRY = 200  # bytes of a cached piece besides its characters and ids
 MAGIC = int.from_bytes(b"QTOKEF01", "little")
 _HEADER = 8
 
@@ -119,26 +121,48 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
+def sound_by_piece(path: str) -> bool:
+    """Whether the tokenizer ignores case and drops white space before it cuts words, which it marks at their end.
+
+    Only the form that the default tokenizer has is known to be so; any other counts as unsound.
+    """
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal = [n["type"] for n in ((made.get("normalizer") or {}).get("normalizers") or [])]
+    cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    drops = cuts[0].get("type") == "Split" and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True and str(cuts[0].get("pattern", {}).get("Regex", "")).endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return drops and normal == ["NFC", "Replace", "Lowercase"] and made["model"].get("end_of_word_suffix") == "</w>"
+
+
 class Encoder:
     """Encodes text by its white-space separated pieces, each encoded once while it is in the cache.
 
     Sound where a tokenizer ignores case, never joins characters across ASCII white space or across
-    a letter or digit and one final mark, and drops that space, as the default one does;
-    ``by_piece=False`` encodes whole texts. New pieces of letters alone are encoded many at once:
-    each is one run that ends in an id with the end-of-word suffix, which tells them apart again.
+    a letter or digit and one final mark, and drops that space, as ``sound_by_piece`` tells; others
+    encode whole texts. New pieces of letters alone are encoded many at once: each is one run that
+    ends in an id with the end-of-word suffix, which tells them apart again.
     """
 
-    def __init__(self, path: str, by_piece: bool = True):
+    def __init__(self, path: str, by_piece: bool | None = None):
         from tokenizers import Tokenizer
 
+        sound = sound_by_piece(path)
+        if by_piece and not sound:
+            raise ValueError(f"this tokenizer cannot encode by piece: {path}")
+        by_piece = sound if by_piece is None else by_piece
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # bytes
         self.by_piece = by_piece
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.held = 0
+
     def _add(self, new: list[str]) -> None:
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.cache[p] = np.array(e.ids, self.dtype).tobytes()
@@ -159,9 +183,10 @@ class Encoder:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         cache = self.cache
-        if len(cache) > MAX_CACHE:
-            cache.clear()
+        if self.held > MAX_CACHE:
+            self.forget()
         new = [p for p in pieces if p not in cache]
+        self.held += sum(map(len, new)) * 2 + len(new) * _ENTRY
         if self.by_piece:
             self._add_words([p for p in new if p.isalpha()])
             new = [p for p in new if not p.isalpha()]
@@ -218,7 +243,7 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, by_piece: bool = True) -> Encoder:
+def encoder(path: str, by_piece: bool | None = None) -> Encoder:
     key = (path, by_piece)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, by_piece)
@@ -252,7 +277,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shards: int | None = None, by_piece: bool = True) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shards: int | None = None, by_piece: bool | None = None) -> DataFrame:
     """Write docs (doc_id, text) as token files under folder; the committed manifest, one row a file."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
@@ -300,7 +325,13 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shar
         uri = f"{folder}/{name}"
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": len(offsets) - 1, "n_ids": n_ids, "n_bytes": size}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    return materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    def write_and_forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from write(batches)
+        finally:
+            _ENCODERS.clear()
+
+    return materialize(ordered.transform(in_arrow, write_and_forget, MANIFEST), "token-manifest")
 
 
 class TokenFile:
@@ -368,7 +399,7 @@ def read_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     out = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:
         return spark.createDataFrame([], out)
-    return spark.createDataFrame(rows, "path string, base long").repartition(len(rows), "path").mapInPandas(read, out)
+    return spark.createDataFrame(rows, "path string, base long").repartition(len(rows), "path").mapInPandas(lean(read), out)
 
 
 def run(docs: DataFrame, folder: str | None = None) -> DataFrame:
