@@ -13,13 +13,17 @@ against three hub members first, which links nearly all of a group of copies wit
 its size. What may be left are pairs between different components of a bucket. Buckets that have
 such pairs are joined to families, and the documents outside a family's largest component meet all
 of the family in blocks of bounded size: a task holds two blocks, compares signatures, verifies
-pairs of different components whose registers, and then four times as many, agree enough for 0.8 (a
-pair at 0.8 is lost there with probability 0.01), best first, and returns the links that join components, not pairs. So no link
-between different texts is lost to a cap, and no pairs within a group are emitted.
+pairs of different components whose registers, and then four times as many, agree enough for 0.8 (by
+4.3 standard deviations: a pair at 0.8 is lost there with probability 0.00002), best first, and
+returns the links that join components, not pairs. So no link between different texts is lost to a
+cap, and no pairs within a group are emitted.
 
 Defined cases. Null, empty and wordless texts resemble nothing and are kept. Null doc_id: component
-null, kept. Equal doc_ids are one document to the components. An empty table gives an empty result.
-Other columns play no part.
+null, kept. Equal doc_ids are one document to the components, each of its rows is judged by its own
+text; ``dedup`` keeps one row of each kept (doc_id, text) and every row of null doc_id. Ties: the
+smallest doc_id stays. A text of any length is compared whole; its shingles are held in memory, some
+100 bytes a word. An empty table gives an empty result. Other columns, whatever their names, play no
+part and pass ``dedup`` unchanged.
 """
 
 from __future__ import annotations
@@ -32,14 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, materialize, mix, release, spread_join, table, text_buffers, valid_grams, word_chunks
+from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, in_arrow, materialize, mix, release, spread_join, table, text_buffers, valid_grams, word_chunks
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
 MAX_DIFFERENT_BITS = 27  # of 120; at 0.8 they are 12 on average with a standard deviation of 3.3
 MORE_REGISTERS = 480
-MIN_AGREEMENT, MIN_MORE_AGREEMENT = 0.705, 0.7525  # 2.6 standard deviations below 0.8 for 120 and 480 registers
-LEFT, RIGHT = (1024, 8_000_000), (4096, 16_000_000)  # documents and bytes of a block
+MIN_AGREEMENT, MIN_MORE_AGREEMENT = 0.643, 0.7215  # 4.3 standard deviations below 0.8 for 120 and 480 registers
+LEFT, RIGHT = (512, 4_000_000), (2048, 8_000_000)  # documents and bytes of a block
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -81,12 +85,16 @@ def prob_min_hash(hashes: np.ndarray, docs: np.ndarray, weights: np.ndarray, n_d
     return z.reshape(n_docs, m)
 
 
+def _digest():
+    return F.xxhash64(F.col("text").isNull(), F.col("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, keys, s1, s2) of documents; null h1 marks those without words."""
+    """(doc_id, t, h1, h2, keys, s1, s2) of documents; t is a hash of the text, null h1 marks those without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, w in word_chunks(batch.column(1)):
+            for at, to, w in word_chunks(batch.column(2)):
                 n = to - at
                 of = w.of()
                 pos = (np.arange(len(of)) - w.first[of]).astype(np.uint64)
@@ -105,9 +113,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
                 none = pa.array(w.count == 0)
                 h1 = pc.if_else(none, None, pa.array(ident[0].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), h1, pa.array(ident[1].view(np.int64)), lists, pa.array(sketch[0]), pa.array(sketch[1])], names=["doc_id", "h1", "h2", "keys", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), h1, pa.array(ident[1].view(np.int64)), lists, pa.array(sketch[0]), pa.array(sketch[1])], names=["doc_id", "t", "h1", "h2", "keys", "s1", "s2"])
 
-    return clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, h1 long, h2 long, keys array<long>, s1 long, s2 long")
+    slim = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("t"), "text")
+    return slim.transform(in_arrow, sign, "doc_id long, t long, h1 long, h2 long, keys array<long>, s1 long, s2 long")
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -175,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
                 yield part.select(["a", "b"]).append_column("similarity", pa.array(sim)).filter(pa.array(sim >= threshold))
                 at = to
 
-    return materialize(both.mapInArrow(check, "a long, b long, similarity double"), "dedup-edges")
+    return materialize(both.transform(in_arrow, check, "a long, b long, similarity double"), "dedup-edges")
 
 
 def _alike():
@@ -212,6 +221,12 @@ class _Bags:
         return probability_jaccard(np.concatenate([ca, np.zeros(rest.sum(), np.int64)]), np.concatenate([np.where(shared, cb[place], 0), cb[rest]]))
 
 
+def _some(texts: pa.Array, at: np.ndarray, make) -> tuple[object, np.ndarray]:
+    """(make of the texts at ``at``, place of each of them in it)."""
+    which, place = np.unique(at, return_inverse=True)
+    return make(texts.take(pa.array(which))), place
+
+
 def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tuple[int, int, float]]:
     """Links that join different components among the pairs of two blocks (rep, component, text)."""
     texts = [t.column("text").combine_chunks() for t in (left, right)]
@@ -220,8 +235,7 @@ def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tupl
     found_i, found_j, found_s = [], [], []
     step = max(1, 4_000_000 // (REGISTERS * len(z[1])))
     for at in range(0, len(z[0]), step):
-        agree = np.zeros((len(z[0][at : at + step]), len(z[1])), np.int16)
-        agree += (z[0][at : at + step, None, :] == z[1][None, :, :]).sum(axis=2, dtype=np.int16)
+        agree = (z[0][at : at + step, None, :] == z[1][None, :, :]).sum(axis=2, dtype=np.int16)
         i, j = np.nonzero((agree >= MIN_AGREEMENT * REGISTERS) & (comp[0][at : at + step, None] != comp[1][None, :]))
         found_i.append(i + at)
         found_j.append(j)
@@ -229,13 +243,16 @@ def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tupl
     i, j, s = map(np.concatenate, (found_i, found_j, found_s))
     if not len(i):
         return []
-    more = [_registers(t, MORE_REGISTERS) for t in texts]
+    (more_i, at_i), (more_j, at_j) = (_some(t, k, lambda t: _registers(t, MORE_REGISTERS)) for t, k in zip(texts, (i, j), strict=True))
     parts = np.array_split(np.arange(len(i)), max(1, len(i) * MORE_REGISTERS // 4_000_000))
-    s = np.concatenate([(more[0][i[p]] == more[1][j[p]]).sum(axis=1) for p in parts])
+    s = np.concatenate([(more_i[at_i[p]] == more_j[at_j[p]]).sum(axis=1) for p in parts])
     good = s >= MIN_MORE_AGREEMENT * MORE_REGISTERS
     i, j, s = i[good], j[good], s[good]
+    if not len(i):
+        return []
     order = np.lexsort((j, i, -s))
-    bags = [_Bags(t) for t in texts]
+    i, j = i[order], j[order]
+    (bags_i, at_i), (bags_j, at_j) = (_some(t, k, _Bags) for t, k in zip(texts, (i, j), strict=True))
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -245,9 +262,9 @@ def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tupl
         return c
 
     out = []
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+    for x, y, p, q in zip(i.tolist(), j.tolist(), at_i.tolist(), at_j.tolist(), strict=True):
         a, b = find(int(comp[0][x])), find(int(comp[1][y]))
-        if a != b and (sim := bags[0].similarity(x, bags[1], y)) >= threshold:
+        if a != b and (sim := bags_i.similarity(p, bags_j, q)) >= threshold:
             root[max(a, b)] = min(a, b)
             out.append((int(rep[0][x]), int(rep[1][y]), sim))
     return out
@@ -307,7 +324,7 @@ def _family_links(texts: DataFrame, placed: DataFrame, threshold: float) -> Data
         if held is not None and len(held) and (out := done(held.combine_chunks())) is not None:
             yield out
 
-    links = materialize(dealt.mapInArrow(compare, "a long, b long, similarity double"), "dedup-edges")
+    links = materialize(dealt.transform(in_arrow, compare, "a long, b long, similarity double"), "dedup-edges")
     release(rows)
     return links
 
@@ -321,8 +338,8 @@ def _registers(texts: pa.Array | pa.ChunkedArray, m: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, component_id, kept) of every row; component_id is the smallest doc_id of its group."""
+def _judged(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, t, component_id, kept) of every row."""
     signed = materialize(signatures(docs), "dedup-signatures")
     known = signed.where("h1 is not null and doc_id is not null")
     reps = materialize(
@@ -344,19 +361,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if more is not None and more.limit(1).count():
         comp = components(edges.unionByName(more))
     release(members, first, texts)
-    rows = spread_join(known.select("doc_id", "h1", "h2"), ["h1", "h2"], reps.select("h1", "h2", "rep"))
-    linked = rows.select("doc_id", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    alone = signed.where("h1 is null or doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rows = spread_join(known.select("doc_id", "t", "h1", "h2"), ["h1", "h2"], reps.select("h1", "h2", "rep"))
+    linked = rows.select("doc_id", "t", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "t", F.coalesce("component", "rep").alias("component_id"))
+    alone = signed.where("h1 is null or doc_id is null").select("doc_id", "t", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "t", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, component_id, kept) of every row; component_id is the smallest doc_id of its group."""
+    return _judged(docs, threshold).drop("t")
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group; equal rows of a kept doc_id are one document."""
-    found = materialize(near_duplicates(docs, threshold), "dedup-result")
-    drop = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(drop.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # drop grows with the data: never broadcast
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null")) if again else out
+    """docs with one document of each group; of rows with equal doc_id and text one, with null doc_id all."""
+    found = materialize(_judged(docs, threshold).where("doc_id is not null"), "dedup-result")
+    drop = found.where("not kept").select("doc_id", "t").distinct()
+    # one struct holds the row, so no column's name matters
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(drop.hint("merge"), ["doc_id", "t"], "left_anti")  # drop grows with the data: never broadcast
+    if found.where("kept").groupBy("doc_id", "t").count().where("count > 1").limit(1).count():
+        once = out.where("doc_id is not null").groupBy("doc_id", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = once.unionByName(out.where("doc_id is null"))
+    return out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

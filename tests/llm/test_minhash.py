@@ -111,3 +111,42 @@ def test_null_ids_of_equal_texts_are_kept_beside_a_repeated_id(docs, prose):
     rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, None), (None, None), (None, ""), (None, "")]
     got = [(r.doc_id, r.text) for r in mh.dedup(docs(rows)).collect()]
     assert sorted(got, key=str) == sorted([(1, a), *rows[3:]], key=str)
+
+
+def test_a_repeated_id_keeps_its_unique_text(docs, prose):
+    a, b = " ".join(prose(1, 40)), " ".join(prose(2, 40))
+    rows = [(3, a), (9, a), (9, b), (9, b)]
+    assert sorted((r.doc_id, r.text) for r in mh.dedup(docs(rows)).collect()) == sorted([(3, a), (9, b)])
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in mh.near_duplicates(docs(rows)).collect()) == [(3, 3, True), (9, 3, False), (9, 9, True), (9, 9, True)]
+
+
+def test_columns_of_any_name_pass(spark, prose):
+    a = " ".join(prose(1, 40))
+    df = spark.createDataFrame([(1, a, 1, 2, "x"), (2, a, 1, 2, "y"), (None, a, 1, 2, "z")], "doc_id long, text string, `a.b` int, row int, t string")
+    got = mh.dedup(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r.t) for r in got.collect()) == [(0, "z"), (1, "x")]
+
+
+def test_pairs_near_the_threshold_are_found_in_blocks(spark, prose):
+    """Pairs of J_P just above 0.8 whose documents are in components of their own: the registers may not drop them."""
+    import pyarrow as pa
+
+    rows, want = [], set()
+    for g in range(40):
+        base = prose(100 + g, 520)
+        other = edited(base, 1, g)[:466]  # 461 of 516 + 1 shingles are shared at most
+        n = 0
+        while True:
+            bags = [Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (base, other)]
+            keys = list(bags[0] | bags[1])
+            sim = mh.probability_jaccard(np.array([bags[0][k] for k in keys]), np.array([bags[1][k] for k in keys]))
+            if sim < 0.815 or n > 80:
+                break
+            n += 1
+            other = other[:-2]
+        if sim >= 0.8:
+            want.add((2 * g, 2 * g + 1))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    table = lambda part: pa.table({"rep": [i for i, _ in part], "component": [i for i, _ in part], "text": pa.chunked_array([[t for _, t in part]])})
+    got = {(a, b) for a, b, _ in mh._block_links(table(rows[::2]), table(rows[1::2]), 0.8)}
+    assert got == want and len(want) > 30
