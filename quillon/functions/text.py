@@ -1,11 +1,13 @@
 """Text kernel as Column builders; the same rules as DuckDB expressions stand in ``quillon.plans.sql``.
 
-White space is what str.isspace says, lengths are code points, and case folding is lower case plus
-the multi-letter foldings that can yield letters of a token.
+White space is what str.isspace says, lengths are code points, and case folding is str.casefold.
+An expression that a rule needs more than once is bound by ``let``, so that it is computed once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,22 @@ MIN_ENTRY_CHARS = 12
 
 #: str.isspace as a character class; Java's \s misses some of it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Foldings beyond lower case: sharp s, final sigma, long s, ligatures, micro sign.
-FOLDS = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("µ", "μ"))
+#: What case folding changes in lower-case text: one letter for one, and one for several.
+FOLDS = {chr(c): chr(c).casefold() for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000 and chr(c).lower() == chr(c) != chr(c).casefold()}
+SINGLE = {a: b for a, b in FOLDS.items() if len(b) == 1}
+SEVERAL = {a: b for a, b in FOLDS.items() if len(b) > 1}
+SEVERAL_CLASS = "[" + "".join(SEVERAL) + "]"
 
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it and whatever the optimizer moves."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def normalize(c: str | Column) -> Column:
     """Null is empty; runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACE + "+", " "))
@@ -52,16 +62,19 @@ def truncate(c: str | Column, n: int | Column) -> Column:
     """At most n characters: beyond that the first n - 3, stripped on the right, and an ellipsis."""
     if isinstance(n, int) and n < 3:
         raise ValueError("a length limit below 3 has no room for the ellipsis")
-    c, n = _col(c), F.lit(n) if isinstance(n, int) else n
-    cut = F.regexp_replace(F.substring(c, F.lit(1), n - 3), rf"{SPACE}+\z", "")
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(cut, F.lit("...")))
+    n = F.lit(n) if isinstance(n, int) else n
+    return let(_col(c), lambda v: F.when(F.length(v) <= n, v).otherwise(F.concat(F.regexp_replace(F.substring(v, F.lit(1), n - 3), rf"{SPACE}+\z", ""), F.lit("..."))))
 
 
 def casefold(c: str | Column) -> Column:
-    out = F.lower(_col(c))
-    for a, b in FOLDS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    def several(v: Column) -> Column:
+        out = v
+        for a, b in SEVERAL.items():
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return F.when(v.rlike(SEVERAL_CLASS), out).otherwise(v)
+
+    beyond = lambda v: let(F.translate(v, "".join(SINGLE), "".join(SINGLE.values())), several)
+    return let(F.lower(_col(c)), lambda v: F.when(F.length(v) == F.octet_length(v), v).otherwise(beyond(v)))
 
 
 def _parts(token: Column, sep: str) -> Column:
@@ -76,9 +89,8 @@ def tokens(c: str | Column) -> Column:
     """Index tokens: edges stripped, short ones and stop words dropped; compound tokens also give their parts."""
 
     def expand(t: Column) -> Column:
-        clean = F.btrim(t, F.lit(EDGE))
-        keep = (F.length(clean) >= 2) & ~clean.isin(*STOPWORDS)
-        return F.when(keep, F.concat(F.array(clean), _parts(t, "/"), _parts(t, "-"))).otherwise(F.array().cast("array<string>"))
+        keep = lambda clean: (F.length(clean) >= 2) & ~clean.isin(*STOPWORDS)
+        return let(F.btrim(t, F.lit(EDGE)), lambda clean: F.when(keep(clean), F.concat(F.array(clean), _parts(t, "/"), _parts(t, "-"))).otherwise(F.array().cast("array<string>")))
 
     return F.flatten(F.transform(_raw_tokens(c), expand))
 

@@ -109,7 +109,7 @@ def compact_events(df: DataFrame, settings: Compaction = Compaction(), keys: lis
     df = recent(events(df), keys, order, settings.recent_events)
     df = context_text(df, settings, tools=tools).where(F.length("context_text") > 0).withColumn("_role", event_role())
     author = F.when(F.length(F.coalesce("author", F.lit(""))) > 0, F.col("author")).otherwise(F.col("_role"))
-    label = F.when(F.col("_role") != "model", F.col("_role")).when(author.isin("user", "model"), "assistant").otherwise(author)
+    label = F.when(F.col("_role").isin("model", "assistant") & ~author.isin("user", "model"), author).when(F.col("_role") == "model", "assistant").otherwise(F.col("_role"))
     line = F.concat(F.lit("- "), label, F.lit(": "), tx.truncate(tx.normalize("context_text"), LINE_CHARS))
     item = F.struct(F.col(order).cast("long").alias("place"), F.col("context_text").alias("text"), line.alias("line"), "author", F.col("_role").alias("role"), "event_id", "invocation_id", "timestamp")
     packed = _packed(df.select(*keys, F.lit(settings.context_chars).cast("long").alias("_budget"), item.alias("item")), keys, F.col("_budget"), settings.memory_chars, EVENTS_HEADER, EVENTS_FALLBACK)

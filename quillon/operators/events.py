@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from quillon.functions import text as tx
 from quillon.functions import tooljson
 from quillon.plans.settings import Compaction, Retrieval
+from quillon.sources.tables import materialize, release
 
 PARTS = "array<struct<text:string,thought:boolean,function_call:struct<name:string,args_json:string>,function_response:struct<name:string,response_json:string>>>"
 EVENT = {
@@ -70,7 +71,7 @@ def memory_text(df: DataFrame, chars: int, tools: bool = True) -> DataFrame:
 
     def line(p: Column, i: Column) -> Column:
         return (
-            F.when(F.length(F.coalesce(p["text"], F.lit(""))) > 0, tx.truncate(tx.normalize(p["text"]), chars))
+            F.when(F.length(p["text"]) > 0, tx.truncate(tx.normalize(p["text"]), chars))
             .when(p["function_call"].isNotNull(), F.concat(F.lit(CALL), _name(p["function_call"]), F.lit(" args="), F.get("_args", i)))
             .when(p["function_response"].isNotNull(), F.concat(F.lit(MEMORY_ANSWER), _name(p["function_response"]), F.lit(" summary="), F.get("_results", i)))
             .otherwise("")
@@ -106,28 +107,67 @@ def event_role() -> Column:
     return F.when(F.length(role) > 0, role).when(F.lower(F.coalesce("author", F.lit(""))) == "user", "user").otherwise("model")
 
 
+def long_enough(c: str) -> Column:
+    """Generates the column, once, for the rows in which it makes an entry; a filter would compute it a second time."""
+    return F.explode(F.filter(F.array(F.col(c)), lambda t: F.length(t) >= tx.MIN_ENTRY_CHARS))
+
+
 def created_at() -> Column:
     """The event's time in seconds; where it is missing or 0, now."""
     return F.coalesce(F.nullif("timestamp", F.lit(0.0)), F.unix_micros(F.current_timestamp()) / F.lit(1e6))
 
 
+SCOPE = ["app_name", "user_id"]
+
+
+def analysed(df: DataFrame, settings: Retrieval = Retrieval(), order: str = "seq", tools: bool = True) -> DataFrame:
+    """Entries of events before they are numbered, with the ingest sequence as ``_seq``."""
+    extra = ["embedding"] if "embedding" in df.columns else []
+    df = memory_text(events(df), settings.entry_chars, tools)
+    df = df.select(*[c for c in df.columns if c not in ("memory_text", "parts")], long_enough("memory_text").alias("memory_text")).withColumn("text", tx.normalize("memory_text"))
+    df = df.withColumn("source_kind", tx.source_kind(F.col("text"), F.col("author"), F.col("role"))).withColumn("tokens", tx.tokens("text"))
+    return df.select(
+        *SCOPE, "session_id", F.col(order).alias("_seq"), "text", "source_kind", tx.importance(F.col("text"), F.col("source_kind")).alias("importance"),
+        created_at().alias("created_at"), "tokens", F.size("tokens").cast("long").alias("n_tokens"), *extra,
+    )
+
+
+def numbered(rows: DataFrame, order: list[str], first: DataFrame | None = None) -> DataFrame:
+    """rows, a written table with a unique ``_row``, with ``doc_id``: the place in its scope by ``order``, counted from 0 or from ``first``.
+
+    Scopes are range-partitioned, so a large one is numbered by many tasks: each numbers its piece,
+    and the pieces' counts, one row for each scope and task, are summed up. first: (*SCOPE, n_docs).
+    """
+    by = [*SCOPE, *order, "_row"]
+    spark = rows.sparkSession
+    narrow = rows.select(*by).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    placed = materialize(narrow.select(*SCOPE, "_row", F.monotonically_increasing_id().alias("_at")), "index-places")
+    piece = F.shiftright("_at", 33).alias("_piece")  # the number of the task
+    sizes = placed.groupBy(*SCOPE, piece).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*SCOPE).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*SCOPE, "_piece", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
+    if first is not None:
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in SCOPE]
+        shift = shift.alias("s").join(first.alias("f"), same, "left").select("s.*", "f.n_docs").withColumn("_shift", F.col("_shift") + F.coalesce("n_docs", F.lit(0))).drop("n_docs")
+    null_safe = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in SCOPE]
+    ids = placed.select("*", piece).alias("p").join(shift.alias("s"), [*null_safe, F.col("p._piece") == F.col("s._piece")]).select("p._row", (F.col("p._at") + F.col("s._shift")).alias("doc_id"))
+    out = materialize(rows.join(ids, "_row").drop("_row"), "index-entries")
+    release(placed)
+    return out
+
+
 def entries(df: DataFrame, settings: Retrieval = Retrieval(), order: str = "seq", tools: bool = True) -> DataFrame:
-    """Index entries of events. ``order`` names the ingest sequence; doc_id counts from 0 in each scope.
+    """Index entries of events, written as a table. ``order`` names the ingest sequence; doc_id counts from 0 in each scope.
 
     Events whose text has fewer than 12 characters, before white space is normalised, are not entries.
-    An ``embedding`` column is passed through.
+    Equal places in the sequence are numbered in the order they are read. An ``embedding`` column is passed through.
     """
-    df = memory_text(events(df), settings.entry_chars, tools).where(F.length("memory_text") >= tx.MIN_ENTRY_CHARS)
-    scope = Window.partitionBy("app_name", "user_id").orderBy(order)
-    extra = ["embedding"] if "embedding" in df.columns else []
-    return (
-        df.withColumn("text", tx.normalize("memory_text"))
-        .withColumn("source_kind", tx.source_kind(F.col("text"), F.col("author"), F.col("role")))
-        .select(
-            "app_name", "user_id", "session_id", (F.row_number().over(scope) - 1).cast("long").alias("doc_id"), "text", "source_kind",
-            tx.importance(F.col("text"), F.col("source_kind")).alias("importance"), created_at().alias("created_at"), tx.tokens("text").alias("tokens"), *extra,
-        )
-    )
+    rows = materialize(analysed(df, settings, order, tools).withColumn("_row", F.monotonically_increasing_id()), "index-rows")
+    out = numbered(rows, ["_seq"])
+    release(rows)
+    slim = out.drop("_seq")
+    slim._quillon_path = out._quillon_path
+    return slim
 
 
 def document_frequency(entries: DataFrame) -> DataFrame:
@@ -138,4 +178,4 @@ def document_frequency(entries: DataFrame) -> DataFrame:
 
 def scope_stats(entries: DataFrame) -> DataFrame:
     """(app_name, user_id, n_docs, avgdl) of each scope."""
-    return entries.groupBy("app_name", "user_id").agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.lit(1.0), F.avg(F.size("tokens"))).alias("avgdl"))
+    return entries.groupBy("app_name", "user_id").agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.lit(1.0), F.avg("n_tokens")).alias("avgdl"))

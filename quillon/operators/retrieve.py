@@ -7,8 +7,9 @@ guard. Lexical scores are an equi-join on (scope, term) with entry terms that so
 scope has; they never touch entries without a shared term. The ``bm25`` mode without filters reads
 nothing else; other modes score each entry of the scope, as every one can be returned.
 
-Queries are broadcast only when they are MAX_BROADCAST rows at most, counted; beyond that they are
-shuffled on the scope. Hot scopes are left to adaptive skew joins.
+Entries and queries are written tables (or are written first), so that no text is analysed twice and
+their sizes in bytes are known: which side of a join is broadcast is decided by them, within the
+session's threshold. Hot scopes are left to adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql.window import Window
 from quillon.functions import text as tx
 from quillon.operators import events as ev
 from quillon.plans.settings import MODES, Retrieval
+from quillon.sources.tables import materialize, stored
 
-SCOPE = ["app_name", "user_id"]
-MAX_BROADCAST = 20_000
+SCOPE = ev.SCOPE
 
 
 def analysed(queries: DataFrame, settings: Retrieval) -> DataFrame:
@@ -37,10 +38,6 @@ def analysed(queries: DataFrame, settings: Retrieval) -> DataFrame:
     )
 
 
-def _sized(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.count() <= MAX_BROADCAST else queries
-
-
 def _admitted(settings: Retrieval) -> Column:
     ok = F.lit(True)
     if not settings.cross_session:
@@ -50,17 +47,21 @@ def _admitted(settings: Retrieval) -> Column:
     return ok
 
 
-def cosine(a: str, b: str) -> Column:
-    """Cosine of two arrays in double precision; a zero norm counts as 1."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda x: F.when((n := F.sqrt(dot(x, x))) == 0, F.lit(1.0)).otherwise(n)
-    return dot(a, b) / (norm(a) * norm(b))
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products of two arrays in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: str) -> Column:
+    """Length of a vector; a zero length counts as 1."""
+    n = F.sqrt(dot(F.col(a), F.col(a)))
+    return tx.let(n, lambda v: F.when(v == 0, F.lit(1.0)).otherwise(v))
 
 
 def _lengths(entries: DataFrame, q: DataFrame, candidates: DataFrame | None) -> DataFrame:
     """(query_id, n, avgdl): entries of the scope, and average length of the candidates, which are the whole scope if None."""
     average = lambda c: F.greatest(F.lit(1.0), F.avg(c)).alias("avgdl")
-    scope = q.select("query_id", *SCOPE).join(entries.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"), average(F.size("tokens"))), SCOPE).select("query_id", "n", "avgdl")
+    scope = q.select("query_id", *SCOPE).join(entries.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"), average(F.col("n_tokens"))), SCOPE).select("query_id", "n", "avgdl")
     return scope if candidates is None else scope.drop("avgdl").join(candidates.groupBy("query_id").agg(average(F.col("dl"))), "query_id")
 
 
@@ -69,7 +70,7 @@ def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings
     q_terms = queries.select("query_id", *SCOPE, F.explode("q_terms").alias("term"))
     known = q_terms.select(*SCOPE, "term").distinct()
     e_terms = (
-        entries.select(*SCOPE, "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        entries.select(*SCOPE, "doc_id", F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(known, [*SCOPE, "term"], "left_semi")
         .groupBy(*SCOPE, "doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -145,16 +146,19 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
     k = settings.top_k if top_k is None else int(top_k)
     if k < 0:
         raise ValueError("top_k must not be negative")
-    q = analysed(queries, settings)
+    entries, q = stored(entries, "index-entries"), materialize(analysed(queries, settings), "index-queries")
     filtered = not settings.cross_session or settings.guard_identifiers
-    if mode == "bm25" and not filtered:
+    if mode == "bm25" and not filtered and settings.min_score > 0:
         rows = _lexical_only(entries, q, settings)
     else:
-        e = entries.withColumn("e_keys", tx.identifier_keys("text")) if settings.guard_identifiers else entries
+        slim = [*SCOPE, "session_id", "doc_id", "created_at", "importance", "n_tokens"]
+        vectors = mode != "bm25"
+        e = entries.select(*slim, *(["embedding", norm("embedding").alias("e_norm")] if vectors else []), *([tx.identifier_keys("text").alias("e_keys")] if settings.guard_identifiers else []))
+        dense = dot(F.col("embedding"), F.col("q_embedding")) / (F.col("e_norm") * F.col("q_norm")) if vectors else F.lit(0.0)
         candidates = (
-            e.join(_sized(q), SCOPE)
+            e.join(q.withColumn("q_norm", norm("q_embedding")) if vectors else q, SCOPE)
             .where(_admitted(settings))
-            .select("query_id", *SCOPE, "doc_id", "created_at", "importance", "w", F.size("tokens").alias("dl"), (F.lit(0.0) if mode == "bm25" else cosine("embedding", "q_embedding")).alias("dense"))
+            .select("query_id", *SCOPE, "doc_id", "created_at", "importance", "w", F.col("n_tokens").alias("dl"), dense.alias("dense"))
         )
         if mode == "dense":
             candidates = candidates.withColumn("bm25", F.lit(0.0))
@@ -170,7 +174,7 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
 
 
 def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval) -> DataFrame:
-    """The bm25 mode's rows with a shared term; no other can pass its threshold. dense_rank is the place in the scope."""
+    """The bm25 mode's rows with a shared term; no other can pass a threshold above 0. dense_rank is the place in the scope."""
     hits = lexical(entries, q, _lengths(entries, q, None), settings).join(q.select("query_id", *SCOPE), "query_id")
     rows = hits.join(entries.select(*SCOPE, "doc_id", "created_at", "importance"), [*SCOPE, "doc_id"])
     return (

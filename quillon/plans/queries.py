@@ -36,20 +36,26 @@ def long(c: str | F.Column) -> F.Column:
 
 @query("text_normalize_truncate", f"select doc_id, {sql.norm('text')} as normal, {sql.trunc(sql.norm('text'), 80)} as short, {sql.fold(sql.norm('text'))} as folded from documents")
 def _(spark, d):
-    return ds.read(spark, d, "documents").select("doc_id", tx.normalize("text").alias("normal"), tx.truncate(tx.normalize("text"), 80).alias("short"), tx.text_key("text").alias("folded"))
+    rows = ds.spread(ds.read(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.normalize("text").alias("normal"))
+    return rows.select("doc_id", "normal", tx.truncate("normal", 80).alias("short"), tx.casefold("normal").alias("folded"))
+
+
+def _tokenized(spark, d, kind):
+    rows = ds.spread(ds.read(spark, d, "documents").select("doc_id", "text")).select("doc_id", kind("text").alias("k"))
+    return rows.select("doc_id", F.array_join("k", " ").alias("tokens"), long(F.size("k")).alias("n"))
 
 
 @query("tokenize_index", f"select doc_id, array_to_string({sql.tokens('text')}, ' ') as tokens, len({sql.tokens('text')}) as n from documents")
 def _(spark, d):
-    return ds.read(spark, d, "documents").select("doc_id", F.array_join(tx.tokens("text"), " ").alias("tokens"), long(F.size(tx.tokens("text"))).alias("n"))
+    return _tokenized(spark, d, tx.tokens)
 
 
 @query("tokenize_hashed", f"select doc_id, array_to_string({sql.hash_tokens('text')}, ' ') as tokens, len({sql.hash_tokens('text')}) as n from documents")
 def _(spark, d):
-    return ds.read(spark, d, "documents").select("doc_id", F.array_join(tx.hash_tokens("text"), " ").alias("tokens"), long(F.size(tx.hash_tokens("text"))).alias("n"))
+    return _tokenized(spark, d, tx.hash_tokens)
 
 
-_RECORD = "concat('Note PMID: ', doc_id % 5, ' of Patient/SYN-', doc_id % 7, ', topic  T', doc_id % 3, ' FHIR. ', substr(text, 1, 200))"
+_RECORD = "concat('Note PMID: ', doc_id % 5, ' of Patient/SYN-', doc_id % 7, ', topic  T', doc_id % 3, ' FHIR. ', text)"
 
 
 def _record():
@@ -95,7 +101,7 @@ def _(spark, d):
 
 @query("index_entries", f"with {sql.entries_cte()} select app_name, user_id, session_id, doc_id, text, source_kind, round(importance, 6) as importance, created_at, len(tokens) as n_tokens from e")
 def _(spark, d):
-    return ds.entries(spark, d).select("app_name", "user_id", "session_id", "doc_id", "text", "source_kind", F.round("importance", 6).alias("importance"), "created_at", long(F.size("tokens")).alias("n_tokens"))
+    return ds.entries(spark, d).select("app_name", "user_id", "session_id", "doc_id", "text", "source_kind", F.round("importance", 6).alias("importance"), "created_at", "n_tokens")
 
 
 @query("document_frequency", f"with {sql.entries_cte()}, t as (select distinct user_id, doc_id, unnest(tokens) as term from e) select user_id, term, count(*) as df from t group by all")

@@ -25,10 +25,11 @@ def trunc(x: str, n: int | str) -> str:
 
 
 def fold(x: str) -> str:
-    out = f"lower({x})"
-    for a, b in tx.FOLDS:
+    low = f"lower({x})"
+    out = f"translate({low}, '{''.join(tx.SINGLE)}', '{''.join(tx.SINGLE.values())}')"
+    for a, b in tx.SEVERAL.items():
         out = f"replace({out}, '{a}', '{b}')"
-    return out
+    return f"case when length({low}) = strlen({low}) then {low} else {out} end"
 
 
 def _raw(x: str) -> str:
@@ -195,7 +196,7 @@ lab as (select *, case when r = 'model' then 'assistant' else 'user' end as labe
     else:
         first = f"""
 src as (select conv_id, turn, case when role = 'assistant' then 'model' else role end as r, role as author, text, {s.context_chars} as budget from conversations),
-lab as (select *, case when r <> 'model' then r when author in ('user', 'model') then 'assistant' else author end as label from rec)"""
+lab as (select *, case when r in ('model', 'assistant') and coalesce(author, '') not in ('', 'user', 'model') then author when r = 'model' then 'assistant' else r end as label from rec)"""
     head, tail = first.rsplit("\nlab as", 1)
     total = f"""{head}
 rn as (select *, row_number() over (partition by conv_id order by turn desc) as nth from src),

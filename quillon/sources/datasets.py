@@ -16,9 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its files have fewer splits than those: one row group of texts is too much for one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_events(spark: SparkSession, sf_dir: str, records: bool = False) -> DataFrame:
     """Documents as events: user = lang, session = source, authors in turn, time = doc_id + 1; with ``records`` each names one."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     text = F.concat(F.lit("Patient/SYN-"), (F.col("doc_id") % RECORDS).cast("string"), F.lit(" "), F.col("text")) if records else F.col("text")
     turn = F.col("doc_id") % 3
     return d.select(
