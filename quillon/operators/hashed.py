@@ -1,27 +1,31 @@
 """The persistent store of hashed entries: ids, insert-or-ignore, retention, scan, retrieval.
 
-The store is Parquet under a folder, one generation at a time: a write makes the next generation
-whole and only then removes the one before, so a reader never sees half a write. Retention bounds
-its size (over all tenants, newest first); ties on the time go by id.
+The store is Parquet under a folder, one generation at a time, partitioned by a hash of the scope:
+a write makes the next generation whole; the one before stays for those who still read it, older
+ones go. So a reader never sees half a write, and a question about few scopes reads few partitions.
+Retention bounds the store's size (over all tenants, newest first); ties on the time go by id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import hashing
 from quillon.functions import text as tx
-from quillon.operators.events import created_at, events, memory_text
+from quillon.operators.events import created_at, events, long_enough, memory_text
 from quillon.plans.settings import Hashed
+from quillon.sources.tables import hadoop_path, materialize
 
+_UNIT = float(1 << 52)
 COLUMNS = "id string, app_name string, user_id string, session_id string, invocation_id string, source_kind string, text string, vector map<int,double>, importance double, created_at double"
 
 
 def rows(df: DataFrame, settings: Hashed = Hashed(), tools: bool = True, vectors: bool = True) -> DataFrame:
     """Store rows of events; those whose text has fewer than 12 characters are none. Equal ids stay."""
-    df = memory_text(events(df), settings.entry_chars, tools).where(F.length("memory_text") >= tx.MIN_ENTRY_CHARS)
+    df = memory_text(events(df), settings.entry_chars, tools)
+    df = df.select(*[c for c in df.columns if c not in ("memory_text", "parts")], long_enough("memory_text").alias("memory_text"))
     text = F.col("memory_text")
     whole = [F.coalesce(F.col(c), F.lit("")) for c in ("app_name", "user_id", "session_id", "invocation_id", "event_id")]
     kind = tx.source_kind(text, F.col("author"), F.col("role"))
@@ -44,21 +48,36 @@ def retain(store: DataFrame, max_entries: int) -> DataFrame:
     return store.orderBy(F.col("created_at").desc(), "id").limit(max_entries) if max_entries > 0 else store
 
 
+BUCKETS = 64
+
+
+def bucket(app_name: str | Column = "app_name", user_id: str | Column = "user_id") -> Column:
+    """The partition of a scope."""
+    return F.pmod(F.xxhash64(app_name, user_id), F.lit(BUCKETS)).cast("int")
+
+
 def _generations(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, p = hadoop_path(spark, path)
     if not fs.exists(p):
         return []
     names = [s.getPath() for s in fs.listStatus(p)]
-    done = [(int(n.getName()[4:]), n.toString()) for n in names if n.getName().startswith("gen-") and fs.exists(jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    done = [(int(n.getName()[4:]), n.toString()) for n in names if n.getName().startswith("gen-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
     return sorted(done)
 
 
-def read_store(spark: SparkSession, settings: Hashed) -> DataFrame:
-    """The store's rows; none if it does not exist."""
+def read_store(spark: SparkSession, settings: Hashed, scopes: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The store's rows; none if it does not exist. With ``scopes``, (app_name, user_id), only their partitions are read."""
     found = _generations(spark, settings.path)
-    return spark.read.schema(COLUMNS).parquet(found[-1][1]) if found else spark.createDataFrame([], COLUMNS)
+    if not found:
+        return spark.createDataFrame([], COLUMNS)
+    rows = spark.read.schema(COLUMNS + ", bucket int").parquet(found[-1][1])
+    if scopes is not None:
+        held = [r.b for r in spark.createDataFrame(list(scopes), "app_name string, user_id string").select(bucket().alias("b")).distinct().collect()]
+        of = F.lit(False)
+        for app, user in scopes:
+            of = of | ((F.col("app_name") == app) & (F.col("user_id") == user))
+        rows = rows.where(F.col("bucket").isin(held) & of)
+    return rows.drop("bucket")
 
 
 def store(df: DataFrame, settings: Hashed, tools: bool = True) -> None:
@@ -69,22 +88,36 @@ def store(df: DataFrame, settings: Hashed, tools: bool = True) -> None:
     found = _generations(spark, settings.path)
     after = retain(insert_ignore(read_store(spark, settings), rows(df, settings, tools)), settings.max_entries)
     number = found[-1][0] + 1 if found else 1
-    after.sortWithinPartitions("app_name", "user_id", "created_at").write.parquet(f"{settings.path}/gen-{number:08d}")
-    for _, old in found:
-        p = spark._jvm.org.apache.hadoop.fs.Path(old)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    by = [bucket(), "app_name", "user_id", "created_at"]
+    laid = after.withColumn("bucket", bucket()).repartitionByRange(*by).sortWithinPartitions(*by)
+    laid.write.partitionBy("bucket").parquet(f"{settings.path}/gen-{number:08d}")
+    for _, old in found[:-1]:  # the last one may still be read
+        fs, p = hadoop_path(spark, old)
+        fs.delete(p, True)
 
 
-def scan(store: DataFrame, queries: DataFrame, settings: Hashed) -> DataFrame:
-    """For each query the newest rows of its scope, at most scan_rows, then without repeated texts, newest kept."""
-    same = ["app_name", "user_id"] + ([] if settings.cross_session else ["session_id"])
-    newest = Window.partitionBy("query_id").orderBy(F.col("created_at").desc(), "id")
-    kept = queries.drop("session_id").join(store, same) if settings.cross_session else queries.join(store, same)
-    kept = kept.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= settings.scan_rows)
-    repeat = Window.partitionBy("query_id", "key").orderBy("n")
+def newest(store: DataFrame, same: list[str], settings: Hashed) -> DataFrame:
+    """Of each scope the newest rows, at most scan_rows, then without repeated texts, newest kept; ``n`` is a row's place.
+
+    Each task cuts a scope to scan_rows before rows are shuffled, so a hot scope is no burden.
+    """
+    latest = Window.partitionBy(*same).orderBy(F.col("created_at").desc(), "id")
+    kept = store.withColumn("n", F.row_number().over(latest)).where(F.col("n") <= settings.scan_rows)
+    repeat = Window.partitionBy(*same, "key").orderBy("n")
     return kept.withColumn("key", tx.text_key("text")).where(F.length("key") > 0).withColumn("_r", F.row_number().over(repeat)).where("_r = 1").drop("_r", "key")
 
 
+def _same(settings: Hashed) -> list[str]:
+    return ["app_name", "user_id"] + ([] if settings.cross_session else ["session_id"])
+
+
+def scan(store: DataFrame, queries: DataFrame, settings: Hashed) -> DataFrame:
+    """For each query the rows of its scope that ``newest`` has; they do not depend on the query."""
+    same = _same(settings)
+    asked = store.join(queries.select(*same).distinct(), same, "left_semi")
+    return (queries.drop("session_id") if settings.cross_session else queries).join(newest(asked, same, settings), same)
+
+
 def retrieve(store: DataFrame, queries: DataFrame, settings: Hashed) -> DataFrame:
     """(query_id, position, text, score, source_kind, session_id, created_at): hashed cosine times importance.
 
@@ -94,9 +127,20 @@ def retrieve(store: DataFrame, queries: DataFrame, settings: Hashed) -> DataFram
     if not settings.enabled:
         return queries.sparkSession.createDataFrame([], empty)
     q = queries.where(F.length(tx.normalize("text")) > 0).withColumn("q_tokens", tx.hash_tokens("text")).where(F.size("q_tokens") > 0)
-    names = ["query_id", "app_name", "user_id"] + ([] if settings.cross_session else ["session_id"])
-    q = q.select(*names, hashing.hashed_vector("q_tokens", settings.dimensions).alias("q_vector"))
+    same = _same(settings)
+    q = materialize(q.select("query_id", *same, hashing.hashed_vector("q_tokens", settings.dimensions).alias("q_vector")), "store-queries")
+    asked = store.join(q.select(*same).distinct(), same, "left_semi")
+    kept = materialize(newest(asked, same, settings), "store-newest")
+    ours = kept.select(*same, "n", F.explode("vector").alias("i", "e"))
+    theirs = q.select("query_id", *same, F.explode("q_vector").alias("i", "v"))
+    # summed as integers: the order of summing makes no difference
+    whole = F.sum(F.rint(F.col("e") * F.col("v") * F.lit(_UNIT)).cast("long"))
+    alike = theirs.join(ours, [*same, "i"]).groupBy("query_id", *same, "n").agg((whole / F.lit(_UNIT)).alias("cosine"))
+    if settings.min_score > 0:  # what shares no slot cannot pass
+        rows = alike.join(kept, [*same, "n"])
+    else:
+        rows = q.drop("q_vector").join(kept, same).join(alike, ["query_id", *same, "n"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     weight = F.coalesce(F.nullif("importance", F.lit(0.0)), F.lit(1.0))
-    rows = scan(store, q, settings).withColumn("score", hashing.cosine(F.col("q_vector"), F.col("vector")) * weight).where(F.col("score") >= settings.min_score)
+    rows = rows.withColumn("score", F.col("cosine") * weight).where(F.col("score") >= settings.min_score)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("created_at").desc(), "n")
     return rows.withColumn("position", (F.row_number().over(best) - 1).cast("long")).where(F.col("position") < settings.top_k).select("query_id", "position", "text", "score", "source_kind", "session_id", "created_at")

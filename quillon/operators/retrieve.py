@@ -21,9 +21,10 @@ from pyspark.sql.window import Window
 from quillon.functions import text as tx
 from quillon.operators import events as ev
 from quillon.plans.settings import MODES, Retrieval
-from quillon.sources.tables import materialize, stored
+from quillon.sources.tables import hadoop_path, materialize, stored
 
 SCOPE = ev.SCOPE
+_UNIT = float(1 << 44)
 
 
 def analysed(queries: DataFrame, settings: Retrieval) -> DataFrame:
@@ -65,23 +66,23 @@ def _lengths(entries: DataFrame, q: DataFrame, candidates: DataFrame | None) ->
     return scope if candidates is None else scope.drop("avgdl").join(candidates.groupBy("query_id").agg(average(F.col("dl"))), "query_id")
 
 
-def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings: Retrieval) -> DataFrame:
-    """(query_id, doc_id, bm25) of all pairs that share a term; lengths: (query_id, n, avgdl) as ``_lengths`` has them."""
+def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings: Retrieval, also: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, doc_id, *also, bm25) of all pairs that share a term; lengths: (query_id, n, avgdl) as ``_lengths`` has them."""
     q_terms = queries.select("query_id", *SCOPE, F.explode("q_terms").alias("term"))
     known = q_terms.select(*SCOPE, "term").distinct()
     e_terms = (
-        entries.select(*SCOPE, "doc_id", F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
+        entries.select(*SCOPE, "doc_id", *also, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(known, [*SCOPE, "term"], "left_semi")
-        .groupBy(*SCOPE, "doc_id", "dl", "term")
+        .groupBy(*SCOPE, "doc_id", *also, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     df = e_terms.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
     weights = q_terms.join(df, [*SCOPE, "term"]).join(lengths, "query_id").withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     share = F.lit(1.0 - settings.b) + F.lit(settings.b) * (F.col("dl") / F.col("avgdl"))
     one = F.col("idf") * (F.col("tf") * (settings.k1 + 1.0)) / (F.col("tf") + F.lit(settings.k1) * share)
-    parts = e_terms.join(weights, [*SCOPE, "term"]).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", one.alias("x")))).alias("parts"))
-    # summed in a fixed order, so that equal texts have equal scores to the last bit
-    return parts.select("query_id", "doc_id", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["x"]).alias("bm25"))
+    # summed as integers, so that the order of summing cannot tell equal texts apart, to some 1e-12
+    whole = F.sum(F.rint(one * F.lit(_UNIT)).cast("long"))
+    return e_terms.join(weights, [*SCOPE, "term"]).groupBy("query_id", "doc_id", *also).agg((whole / F.lit(_UNIT)).alias("bm25"))
 
 
 def _order(*by: Column) -> Window:
@@ -158,7 +159,7 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
         candidates = (
             e.join(q.withColumn("q_norm", norm("q_embedding")) if vectors else q, SCOPE)
             .where(_admitted(settings))
-            .select("query_id", *SCOPE, "doc_id", "created_at", "importance", "w", F.col("n_tokens").alias("dl"), dense.alias("dense"))
+            .select("query_id", "doc_id", "created_at", "importance", "w", F.col("n_tokens").alias("dl"), dense.alias("dense"))
         )
         if mode == "dense":
             candidates = candidates.withColumn("bm25", F.lit(0.0))
@@ -167,7 +168,7 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
             candidates = candidates.join(hits, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
         rows = scored(candidates, mode, settings)
     shown = entries.select(*SCOPE, "doc_id", "text", "source_kind", "session_id")  # texts join the few rows that are returned
-    return selected(rows, mode, settings, k).join(shown, [*SCOPE, "doc_id"]).select(
+    return selected(rows, mode, settings, k).join(q.select("query_id", *SCOPE), "query_id").join(shown, [*SCOPE, "doc_id"]).select(
         "query_id", "position", "text", "score", F.col("dense").alias("dense_score"), F.col("bm25").alias("sparse_score"), "source_kind", "session_id", "created_at",
         "importance", "doc_id", "dense_rank", "sparse_rank", F.lit(mode).alias("retrieval_mode"), "dense_eligible", "sparse_eligible", F.lit(True).alias("retrieved"),
     )
@@ -175,10 +176,9 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
 
 def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval) -> DataFrame:
     """The bm25 mode's rows with a shared term; no other can pass a threshold above 0. dense_rank is the place in the scope."""
-    hits = lexical(entries, q, _lengths(entries, q, None), settings).join(q.select("query_id", *SCOPE), "query_id")
-    rows = hits.join(entries.select(*SCOPE, "doc_id", "created_at", "importance"), [*SCOPE, "doc_id"])
     return (
-        rows.withColumn("dense", F.lit(0.0))
+        lexical(entries, q, _lengths(entries, q, None), settings, also=("created_at", "importance"))
+        .withColumn("dense", F.lit(0.0))
         .withColumn("dense_rank", F.col("doc_id"))
         .withColumn("sparse_rank", _rank("bm25"))
         .withColumn("dense_eligible", F.lit(0.0) >= settings.min_score)
@@ -213,15 +213,37 @@ def retrieve_by_policy(entries: DataFrame, queries: DataFrame, policies: dict[tu
     return out
 
 
-def embedded(df: DataFrame, encode, text: str = "text", out: str = "embedding", prefix: str = "") -> DataFrame:
+def embedded(df: DataFrame, encode, text: str = "text", out: str = "embedding", prefix: str = "", cache: str | None = None) -> DataFrame:
     """df with the embeddings of its texts; each distinct text is encoded once.
 
     encode: a function from a pandas Series of strings to one of float lists, run in Arrow batches.
+    cache: a folder in which embeddings are kept between calls, for one model and prefix; only texts
+    that it lacks are encoded, and then added.
     """
 
     @F.pandas_udf("array<float>")
     def run(batch):
         return encode(batch)
 
-    once = df.select(text).distinct().withColumn(out, run(F.concat(F.lit(prefix), F.coalesce(text, F.lit("")))))
-    return df.join(once.withColumnRenamed(text, "_t"), F.col(text).eqNullSafe(F.col("_t"))).drop("_t")
+    once = df.select(F.col(text).alias("_t")).distinct()
+    make = lambda rows: rows.withColumn(out, run(F.concat(F.lit(prefix), F.coalesce("_t", F.lit("")))))
+    if cache is None:
+        vectors = make(once)
+    else:
+        fs, p = hadoop_path(df.sparkSession, cache)
+        read = lambda: df.sparkSession.read.schema(f"_t string, {out} array<float>").parquet(cache)
+        known = read().select(F.col("_t").alias("_k")) if fs.exists(p) else None
+        missing = once if known is None else once.join(known, F.col("_t").eqNullSafe(F.col("_k")), "left_anti")
+        make(missing).write.mode("append").parquet(cache)
+        vectors = read().dropDuplicates(["_t"])
+    return df.join(vectors, F.col(text).eqNullSafe(F.col("_t"))).drop("_t")
+
+
+def embedded_entries(entries: DataFrame, encode, cache: str | None = None) -> DataFrame:
+    """Entries with ``embedding``; passages are encoded as they are."""
+    return embedded(entries, encode, cache=cache)
+
+
+def embedded_queries(queries: DataFrame, encode, settings: Retrieval = Retrieval(), cache: str | None = None) -> DataFrame:
+    """Queries with ``q_embedding``, encoded after the settings' instruction."""
+    return embedded(queries, encode, out="q_embedding", prefix=settings.query_prefix, cache=cache)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.functions import tooljson
-from quillon.operators import compact, hashed, render, retrieve
+from quillon.operators import compact, hashed, index, render, retrieve
 from quillon.operators import events as ev
 from quillon.plans import sql
 from quillon.plans.settings import Compaction, Hashed, Retrieval
 from quillon.sources import datasets as ds
+from quillon.sources.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 RENDER_CHARS = 1200
@@ -114,6 +115,25 @@ def _(spark, d):
     return ev.scope_stats(ds.entries(spark, d)).select("user_id", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
+def _halves(spark, d):
+    """Documents as events, in two batches by their sequence, the second from the middle of the ids on."""
+    rows = ds.document_events(spark, d)
+    middle = F.lit(ds.read(spark, d, "documents").agg(F.expr("max(doc_id) div 2")).first()[0])
+    return rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)
+
+
+@query("index_append", f"with {sql.entries_cte()}, t as (select distinct user_id, doc_id, unnest(tokens) as term from e), f as (select user_id, term, count(*) as df from t group by all), sums as (select t.user_id, t.doc_id, sum(df)::bigint as sum_df from t join f using (user_id, term) group by all), n as (select user_id, count(*) as n_docs, sum(len(tokens))::bigint as scope_tokens from e group by 1) select e.user_id, e.doc_id, e.text, len(tokens) as n_tokens, coalesce(sum_df, 0)::bigint as sum_df, n_docs, scope_tokens from e left join sums using (user_id, doc_id) join n on n.user_id = e.user_id")
+def _(spark, d):
+    path = new_path(spark, "index")
+    for batch in _halves(spark, d):
+        index.append(path, batch, tools=False)
+    e = index.entries(spark, path)
+    df = index.document_frequency(spark, path).select("user_id", "term", "df")
+    sums = e.select("user_id", "doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(df, ["user_id", "term"]).groupBy("user_id", "doc_id").agg(F.sum("df").alias("sum_df"))
+    counts = index.scope_counts(spark, path).select("user_id", "n_docs", F.col("n_tokens").alias("scope_tokens"))
+    return e.select("user_id", "doc_id", "text", "n_tokens").join(sums, ["user_id", "doc_id"], "left").withColumn("sum_df", F.coalesce("sum_df", F.lit(0)).cast("long")).join(counts, "user_id")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("score", "dense_score", "sparse_score", "importance")})
 
@@ -130,6 +150,20 @@ query("retrieve_session_bm25", sql.retrieval("bm25", session=True))(_retrieval("
 query("retrieve_guarded", sql.retrieval("fused", guard=True))(_retrieval("fused", records=True, settings=Retrieval(guard_identifiers=True)))
 
 
+_POLICIES = (("plain", 100, False), ("fused_hybrid", 200, True))
+
+
+@query("retrieve_policies", " union all ".join(f"select *, '{p}' as policy, {b}::bigint as budget from ({sql.retrieval('bm25', guard=guard)})" for p, b, guard in _POLICIES))
+def _(spark, d):
+    root, out = new_path(spark, "policies"), None
+    for policy, budget, guard in _POLICIES:
+        index.store_for(root, ds.document_events(spark, d, records=guard), policy, budget, {}, tools=False)
+        part = index.retrieve_for(root, ds.queries(spark, d, records=guard), policy, budget, {}, "bm25", 5)
+        part = part.withColumn("policy", F.lit(policy)).withColumn("budget", F.lit(budget).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out)
+
+
 @query("render_index", sql.rendered(sql.retrieval("bm25"), sql.index_line(), render.INDEX_HEADER, RENDER_CHARS, ellipsis=False))
 def _(spark, d):
     return render.index_context(_retrieval("bm25")(spark, d), RENDER_CHARS)

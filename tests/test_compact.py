@@ -69,3 +69,12 @@ def test_rendering_skips_what_does_not_fit(spark):
     assert r.query_id == 1 and r.text == (render.INDEX_HEADER + "- tool session=: tiny\n- user session=s2: " + "y" * 90)[:130]
     (r,) = render.store_context(df, 130).collect()
     assert r.text.endswith("...") and len(r.text) <= 130
+
+
+def test_an_author_names_the_line_of_a_model_or_assistant(spark):
+    """Whatever the role is called, an author of its own names the line; a role of another kind stays."""
+    big = "y" * 1900
+    cases = [("helper", "assistant", "helper"), ("helper", "model", "helper"), ("model", "assistant", "assistant"), ("user", "model", "assistant"), (None, "assistant", "assistant"), ("helper", "system", "system"), ("helper", "user", "user")]
+    for author, role, label in cases:
+        got = run(spark, [(0, author, role, "old words"), (1, "user", "user", big)], Compaction(context_chars=1000))
+        assert f"- {label}: old words" in got[0].text, (author, role)

@@ -123,3 +123,73 @@ def test_identifiers_query_reads_whole_texts(spark, tmp_path):
         for name, pattern in tx.NAMESPACES.items():
             found = {" ".join(m.group(0).lower().split()) for m in re.finditer(f"(?i){pattern}", record)}
             assert getattr(got[i], name) == "|".join(sorted(found)), (i, name)
+
+
+def events_of(spark, rows):
+    df = spark.createDataFrame([(i, "app", u, s, "user", "user", t, float(i)) for i, u, s, t in rows], "seq long, app_name string, user_id string, session_id string, author string, role string, t string, timestamp double")
+    return df.withColumn("parts", ev.text_part("t"))
+
+
+def test_an_index_is_appended_to(spark, tmp_path):
+    from quillon.operators import index as ix
+
+    path = f"file://{tmp_path}/index"
+    rows = [(i, "owner" if i % 3 else "other", "s", f"alpha entry number {i}") for i in range(20)]
+    q = spark.createDataFrame([(1, "app", "owner", "alpha 17"), (2, "app", "nobody", "alpha")], "query_id long, app_name string, user_id string, text string")
+    assert ix.retrieve(path, q, "bm25").collect() == []
+    assert ix.append(path, events_of(spark, rows[:7]), tools=False) == 1
+    assert ix.append(path, events_of(spark, rows[7:]), tools=False) == 2
+    assert ix.append(path, events_of(spark, rows[7:]), tools=False, batch=2) == 2  # replayed
+    whole = ev.entries(events_of(spark, rows), tools=False)
+    key = lambda df: sorted((r.user_id, r.doc_id, r.text) for r in df.collect())
+    assert key(ix.entries(spark, path)) == key(whole)
+    assert key(ix.entries(spark, path, [("app", "other")])) == [x for x in key(whole) if x[0] == "other"]
+    assert sorted(map(tuple, ix.document_frequency(spark, path).collect())) == sorted(map(tuple, ev.document_frequency(whole).collect()))
+    assert sorted((r.user_id, r.n_docs) for r in ix.scope_counts(spark, path).collect()) == [("other", 7), ("owner", 13)]
+    got = ix.retrieve(path, q, "bm25", top_k=3).orderBy("position").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in rt.retrieve(whole, q, "bm25", top_k=3).orderBy("position").collect()] and got[0].text == "alpha entry number 17"
+    ix.reset(spark, path)
+    assert ix.entries(spark, path) is None
+
+
+def test_policies_have_indexes_of_their_own(spark, tmp_path):
+    from quillon.operators import index as ix
+
+    root = f"file://{tmp_path}/policies"
+    ix.store_for(root, events_of(spark, [(0, "owner", "s", "Patient/SYN-1 takes metformin")]), "fused_hybrid", 1, {}, tools=False)
+    ix.store_for(root, events_of(spark, [(0, "owner", "s", "Patient/SYN-1 takes metformin")]), "plain", 1, {}, tools=False)
+    q = spark.createDataFrame([(1, "app", "owner", "Patient/SYN-2 metformin?")], "query_id long, app_name string, user_id string, text string")
+    n = lambda *key: ix.retrieve_for(root, q, *key, {}, "bm25", 5).count()
+    assert (n("fused_hybrid", 1), n("plain", 1), n("plain", 2)) == (0, 1, 0)
+    ix.reset(spark, root)
+    assert n("plain", 1) == 0
+
+
+def test_bm25_without_a_threshold_returns_zero_scores_too(spark):
+    e = index(spark, [("owner", "s1", "alpha beta gamma delta", 1.0, None), ("owner", "s1", "nothing shared with it", 2.0, None)])
+    got = ask(spark, e, "alpha", mode="bm25", settings=Retrieval(min_score=0.0))
+    assert [(r.doc_id, r.score > 0) for r in got] == [(0, True), (1, False)]
+
+
+def test_embeddings_are_kept_between_calls(spark, tmp_path):
+    cache, log = f"file://{tmp_path}/cache", f"{tmp_path}/log"
+
+    def encode(s):
+        with open(log, "a") as f:
+            f.writelines(f"{t}\n" for t in s)
+        return s.map(lambda t: [float(len(t))])
+
+    df = lambda *texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(r.q_embedding[0] for r in rt.embedded_queries(df("a", "a", "bb"), encode, Retrieval(query_prefix="x"), cache).collect()) == [2.0, 2.0, 3.0]
+    assert sorted(r.q_embedding[0] for r in rt.embedded_queries(df("ccc", "bb"), encode, Retrieval(query_prefix="x"), cache).collect()) == [3.0, 4.0]
+    assert sorted(open(log).read().split()) == ["xa", "xbb", "xccc"]
+    assert rt.embedded_entries(df("a"), encode).first().embedding == [1.0]
+
+
+def test_large_scopes_are_numbered_in_sequence(spark):
+    rows = [(i * 7919 % 1000, "owner" if i % 5 else "other", "s", f"entry text number {i * 7919 % 1000}") for i in range(1000)]
+    got = ev.entries(events_of(spark, rows).repartition(7), tools=False).collect()
+    for user in ("owner", "other"):
+        texts = [f"entry text number {i}" for i, u, _, _ in sorted(rows) if u == user]
+        assert [r.text for r in sorted((r for r in got if r.user_id == user), key=lambda r: r.doc_id)] == texts
+        assert sorted(r.doc_id for r in got if r.user_id == user) == list(range(len(texts)))
