@@ -38,7 +38,7 @@ def dump(value: Any, n: int) -> str:
     """Canonical JSON of value in at most n characters."""
     try:
         return _short(json.dumps(value, ensure_ascii=False, sort_keys=True, default=str), n)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return _short(str(value), n)
 
 
@@ -84,9 +84,10 @@ def _mapping(value: dict, depth: int = 0) -> dict[str, Any]:
 
 
 def _parsed(text: str) -> Any:
+    """The JSON value, or the text itself where it is none or is nested too deep to be read."""
     try:
         return json.loads(text)
-    except json.JSONDecodeError:
+    except (json.JSONDecodeError, RecursionError):
         return text
 
 

@@ -74,10 +74,11 @@ def kept_places(items: Column, budget: Column) -> Column:
     return F.aggregate(F.reverse(items), start, step, lambda a: a["kept"])
 
 
-def recent(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """The last n rows of each history."""
+def recent(df: DataFrame, keys: list[str], order: str, n: int, place: str | None = None) -> DataFrame:
+    """The last n rows of each history; ``place`` names a column for their places, all different, the last being -1."""
     newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
+    out = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
+    return (out.withColumn(place, -F.col("_n").cast("long")) if place else out).drop("_n")
 
 
 def _packed(rows: DataFrame, keys: list[str], budget: Column, memory_chars: int, header: str, fallback: str) -> DataFrame:
@@ -103,15 +104,16 @@ def _packed(rows: DataFrame, keys: list[str], budget: Column, memory_chars: int,
 def compact_events(df: DataFrame, settings: Compaction = Compaction(), keys: list[str] | None = None, order: str = "seq", tools: bool = True) -> DataFrame:
     """Compacted histories of events: keys, position, author, role, event_id, invocation_id, timestamp, text, parts, is_memory.
 
-    A history is the events of one (app_name, user_id, session_id), or of ``keys``, ordered by ``order``.
+    A history is the events of one (app_name, user_id, session_id), or of ``keys``, ordered by ``order``;
+    events with equal ``order`` have each a place of its own, in any order.
     """
     keys = keys or ["app_name", "user_id", "session_id"]
-    df = recent(events(df), keys, order, settings.recent_events)
+    df = recent(events(df), keys, order, settings.recent_events, "_place")
     df = context_text(df, settings, tools=tools).where(F.length("context_text") > 0).withColumn("_role", event_role())
     author = F.when(F.length(F.coalesce("author", F.lit(""))) > 0, F.col("author")).otherwise(F.col("_role"))
     label = F.when(F.col("_role").isin("model", "assistant") & ~author.isin("user", "model"), author).when(F.col("_role") == "model", "assistant").otherwise(F.col("_role"))
     line = F.concat(F.lit("- "), label, F.lit(": "), tx.truncate(tx.normalize("context_text"), LINE_CHARS))
-    item = F.struct(F.col(order).cast("long").alias("place"), F.col("context_text").alias("text"), line.alias("line"), "author", F.col("_role").alias("role"), "event_id", "invocation_id", "timestamp")
+    item = F.struct(F.col("_place").alias("place"), F.col("context_text").alias("text"), line.alias("line"), "author", F.col("_role").alias("role"), "event_id", "invocation_id", "timestamp")
     packed = _packed(df.select(*keys, F.lit(settings.context_chars).cast("long").alias("_budget"), item.alias("item")), keys, F.col("_budget"), settings.memory_chars, EVENTS_HEADER, EVENTS_FALLBACK)
     none = F.lit(None).cast("string")
     oldest = F.get("over", F.lit(0))
@@ -126,7 +128,8 @@ def compact_contents(df: DataFrame, settings: Compaction = Compaction(), key: st
 
     df: key, order, role, parts and optionally ``current_user_text``. The current message is the last
     user content with that text, or the last one if none is given; it stays as it is, comes last, and
-    what follows it is dropped. If the given text is not found, all contents are prior ones.
+    what follows it is dropped. If the given text is not found, all contents are prior ones. Contents
+    with equal ``order`` have each a place of its own, in any order.
     """
     out = [key, "position", "role", "text", "parts", "is_memory", "is_current"]
     df = events(df)
@@ -136,6 +139,8 @@ def compact_contents(df: DataFrame, settings: Compaction = Compaction(), key: st
         last = recent(df, [key], order, 1)
         return last.select(key, F.lit(0).cast("long").alias("position"), "role", exact.alias("text"), "parts", F.lit(False).alias("is_memory"), F.lit(True).alias("is_current"))
     wanted = tx.normalize("current_user_text") if "current_user_text" in df.columns else F.lit("")
+    df = df.withColumn("_nr", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    order = "_nr"
     df = df.withColumn("_exact", exact)
     is_current = (F.col("role") == "user") & ((wanted == "") | (tx.normalize("_exact") == wanted))
     df = df.withColumn("_at", F.max(F.when(is_current, F.col(order))).over(whole))

@@ -78,3 +78,13 @@ def test_an_author_names_the_line_of_a_model_or_assistant(spark):
     for author, role, label in cases:
         got = run(spark, [(0, author, role, "old words"), (1, "user", "user", big)], Compaction(context_chars=1000))
         assert f"- {label}: old words" in got[0].text, (author, role)
+
+
+def test_equal_places_are_places_of_their_own(spark):
+    """Of two events with one order only as many are kept as the budget holds."""
+    rows = [(3, "user", "user", "a" * 480), (3, "user", "user", "b" * 480), (3, "user", "user", "c" * 480)]
+    got = run(spark, rows, Compaction(context_chars=1000))
+    assert [r.is_memory for r in got] == [True, False] and len(got[1].text) == 480
+    df = spark.createDataFrame([(1, 0, "user", "one"), (1, 0, "user", "two")], "request_id long, pos long, role string, t string").withColumn("parts", ev.text_part("t"))
+    both = compact.compact_contents(df, Compaction(), tools=False).collect()
+    assert sorted(r.text for r in both) == ["one", "two"] and sum(r.is_current for r in both) == 1

@@ -105,3 +105,82 @@ def test_settings():
     assert hashed_from_env("M", {"M_ENABLED": " Yes", "M_TOP_K": "99", "M_MIN_SCORE": "x", "M_MAX_ENTRIES": "1"}) == Hashed(enabled=True, top_k=30, max_entries=100)
     assert compaction_from_env("M", {"M_RECENT_EVENTS": "500", "M_CONTEXT_MAX_CHARS": ""}) == Compaction(recent_events=120)
     assert retrieval_for("fused_hybrid", {"long_term_top_k": "7"}).guard_identifiers and retrieval_for("x", {"long_term_top_k": "7"}).top_k == 7
+
+
+def test_deep_payloads_are_texts(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    r = spark.createDataFrame([([deep, '{"a": 1}'],)], "t array<string>").select(tooljson.results("t", 50).alias("r"), tooljson.arguments("t", 50).alias("a")).first()
+    assert len(r.r[0]) <= 50 and len(r.a[0]) <= 50 and r.r[1] == r.a[1] == '{"a": 1}'
+
+
+def _canonical(value, n):
+    text = " ".join(json.dumps(value, ensure_ascii=False, sort_keys=True).split())
+    return text if len(text) <= n else text[: n - 3].rstrip() + "..."
+
+
+def test_registered_tool_queries_against_python(spark, sf):
+    """Flat payloads, which the events table has: their compact form is their canonical JSON without empty values."""
+    from quillon.plans.queries import QUERIES
+
+    rows = spark.read.parquet(f"{sf}/events.parquet").collect()
+    args = {r.event_id: r.args for r in QUERIES["tool_arguments"][0](spark, sf).collect()}
+    texts = {r.event_id: r.memory_text for r in QUERIES["tool_results"][0](spark, sf).collect()}
+    assert len(args) == len(texts) == len(rows) > 0
+    for r in rows:
+        value = json.loads(r.props) if r.props is not None else None
+        assert args[r.event_id] == (None if value is None else _canonical(value, 60))
+        assert all(not isinstance(v, (dict, list)) for v in (value or {}).values())
+        kept = {k: v for k, v in value.items() if v not in (None, "")} if value is not None else None
+        assert texts[r.event_id] == f"Tool result: {r.event_type} summary={_canonical(kept, 500)}"
+
+
+def test_store_retrieve_against_python(spark, sf):
+    """The whole registered query: hashed vectors, newest 600 of a scope, repeats, scores and order."""
+    import hashlib
+    import re
+
+    from quillon.plans.queries import QUERIES
+    from quillon.sources.datasets import USERS
+
+    def tokens(text):
+        out = []
+        for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9_.:/-]{1,}", text.casefold()):
+            out += [t] + [p for sep in "/-" if sep in t for p in t.split(sep) if len(p) >= 2]
+        return out
+
+    def vector(text):
+        v = {}
+        for t in tokens(text):
+            d = hashlib.blake2b(t.encode(), digest_size=8).digest()
+            i = int.from_bytes(d[:4], "big") % 512
+            v[i] = v.get(i, 0) + (1 if d[4] % 2 == 0 else -1)
+        n = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {i: x / n for i, x in v.items()}
+
+    short = lambda t, n: t if len(t) <= n else t[: n - 3].rstrip() + "..."
+    store = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = short(short(" ".join((r.text or "").split()), 900).strip(), 900)
+        if len(text) >= 12:
+            kind = "tool" if "tool result:" in text.lower() or r.doc_id % 3 == 1 else "user" if r.doc_id % 3 == 0 else "assistant"
+            ids = len(re.findall(r"(?i)\b(?:Patient/[A-Za-z0-9_.-]+|PMID[:\s]*\d+|topic\s+[A-Z0-9]+|FHIR|CKD)\b", text))
+            weight = max(0.1, 1.0 + {"user": 1.2, "tool": 1.0, "assistant": 0.2}[kind] + min(1.0, ids * 0.25) - (0.3 if len(text) > 600 and kind == "assistant" else 0))
+            store.setdefault(r.lang, []).append((r.doc_id + 1.0, text, kind, r.source, weight, vector(text)))
+    want = []
+    for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        for k, user in enumerate(USERS):
+            q = vector(b.text or "")
+            seen, found = set(), []
+            for t, text, kind, session, weight, v in sorted(store.get(user, []), key=lambda x: -x[0])[:600]:
+                if text.casefold() in seen:
+                    continue
+                seen.add(text.casefold())
+                score = sum(x * v.get(i, 0.0) for i, x in q.items()) * weight
+                if q and score >= 0.01:
+                    found.append((score, t, text, kind, session))
+            found.sort(key=lambda x: (-round(x[0], 9), -x[1]))
+            want += [(b.item_id * 10 + k, i, text, round(score, 5), kind, session, t) for i, (score, t, text, kind, session) in enumerate(found[:5])]
+    got = [(r.query_id, r.position, r.text, round(r.score, 5), r.source_kind, r.session_id, r.created_at) for r in QUERIES["store_retrieve"][0](spark, sf).collect()]
+    assert len(want) > 50
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[4:] == b[4:] and abs(a[3] - b[3]) < 2e-5
