@@ -237,11 +237,16 @@ def _(spark, d):
     return compact.compact_contents(ds.requests(spark, d), SMALL, tools=False).select(F.col("request_id").alias("conv_id"), "position", "role", "text", "is_memory")
 
 
-@query("tool_results")
+#: Canonical JSON of a flat object, which all payloads of the events table are; nested ones are tested in Python.
+_FLAT = """'{' || array_to_string(list_transform(list_filter(list_sort(json_keys(props)), lambda k: %s), lambda k: '"' || k || '": ' || json_extract(props, '$."' || k || '"')::varchar), ', ') || '}'"""
+_FULL = """json_extract(props, '$."' || k || '"')::varchar not in ('null', '""', '[]', '{}')"""
+
+
+@query("tool_results", f"select event_id, {sql.strip(sql.trunc(sql.norm('m'), 900))} as memory_text from (select event_id, concat('Tool result: ', event_type, ' summary=', {sql.trunc(sql.norm(_FLAT % _FULL), 500)}) as m from events)")
 def _(spark, d):
     return ev.memory_text(ev.events(ds.tool_events(spark, d)), 900).select(long("event_id").alias("event_id"), "memory_text")
 
 
-@query("tool_arguments")
+@query("tool_arguments", f"select event_id, {sql.trunc(sql.norm(_FLAT % 'true'), 60)} as args from events")
 def _(spark, d):
     return ds.read(spark, d, "events").select("event_id", F.get(tooljson.arguments(F.array("props"), 60), F.lit(0)).alias("args"))

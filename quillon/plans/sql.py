@@ -80,7 +80,7 @@ DOCS = "doc_id as seq, 'app' as app_name, lang as user_id, source as session_id,
 def entries_cte(vectors: bool = False, records: bool = False, chars: int = Retrieval().entry_chars) -> str:
     text = f"concat('Patient/SYN-', doc_id % {RECORDS}, ' ', text)" if records else "text"
     vec = ", embedding::double[] as embedding" if vectors else ""
-    join = " join embeddings on vec_id = doc_id" if vectors else ""
+    join = " join embeddings on vec_id = doc_id % (select count(*) from embeddings)" if vectors else ""
     return f"""
 m as (select {DOCS}, {strip(trunc(norm(text), chars))} as mt{vec} from documents{join}),
 e0 as (select *, {norm('mt')} as text, row_number() over (partition by user_id order by seq) - 1 as doc_id from m where length(mt) >= {tx.MIN_ENTRY_CHARS}),
@@ -92,7 +92,7 @@ def queries_cte(vectors: bool = False, records: bool = False) -> str:
     text = f"concat('Patient/SYN-', item_id % {RECORDS}, ' ', text)" if records else "text"
     users = ", ".join(f"({i}, '{u}')" for i, u in enumerate(USERS))
     vec = ", embedding::double[] as q_embedding" if vectors else ""
-    join = " join embeddings on vec_id = item_id" if vectors else ""
+    join = " join embeddings on vec_id = item_id % (select count(*) from embeddings)" if vectors else ""
     precise = " or ".join([anchor("q_text"), *[f"len({keys('q_text', k)}) > 0" for k in tx.NAMESPACES]])
     s = Retrieval()
     return f"""

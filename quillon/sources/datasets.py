@@ -34,11 +34,17 @@ def document_events(spark: SparkSession, sf_dir: str, records: bool = False) ->
     )
 
 
+def _with_vector(spark: SparkSession, sf_dir: str, rows: DataFrame, number: str, name: str) -> DataFrame:
+    """rows with an embedding each: the one whose vec_id is the row's number modulo the number of embeddings."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias(name))
+    return rows.withColumn("_v", F.pmod(F.col(number), F.lit(vectors.count()))).join(vectors, "_v").drop("_v")
+
+
 def entries(spark: SparkSession, sf_dir: str, vectors: bool = False, records: bool = False, settings: Retrieval = Retrieval()) -> DataFrame:
-    """Index entries of the documents; with ``vectors`` of those that have one."""
+    """Index entries of the documents; with ``vectors`` each has one of the embeddings."""
     rows = document_events(spark, sf_dir, records)
     if vectors:
-        rows = rows.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding"), "seq")
+        rows = _with_vector(spark, sf_dir, rows, "seq", "embedding")
     return ev.entries(rows, settings, tools=False)
 
 
@@ -46,7 +52,7 @@ def queries(spark: SparkSession, sf_dir: str, vectors: bool = False, records: bo
     """Benchmark items as queries of each user."""
     b = read(spark, sf_dir, "benchmark").select("item_id", "text")
     if vectors:
-        b = b.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q_embedding")), "item_id")
+        b = _with_vector(spark, sf_dir, b, "item_id", "q_embedding")
     if records:
         b = b.withColumn("text", F.concat(F.lit("Patient/SYN-"), (F.col("item_id") % RECORDS).cast("string"), F.lit(" "), F.col("text")))
     b = b.select("*", F.posexplode(F.array(*[F.lit(u) for u in USERS])).alias("i", "user_id"))
