@@ -1,4 +1,4 @@
-"""Shared plumbing: tables in the shared checkpoint folder, connected components, word hashing.
+"""Shared plumbing: memory of workers, connected components, joins on hot keys, word hashing.
 
 Word hashing works on the UTF-8 buffer of an Arrow column, in chunks of bounded size, so that no
 Python object is made per document or word. A word is a maximal run of ASCII letters, digits and
@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,51 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.tables import materialize, new_path, release, tidy  # noqa: F401
+
 CHUNK_BYTES = 2_000_000
 SEGMENT = 1 << 18
 
 
-# -- tables in the shared folder ------------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = getattr(spark, "_quillon_shared", None)
-    if path is None:
-        path = spark._quillon_shared = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quillon_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables made by materialize() that no later step reads."""
-    for df in tables:
-        path = getattr(df, "_quillon_path", None)
-        if path:
-            df._quillon_path = None
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -119,7 +78,14 @@ def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(BATCH[0]).rstrip("b") != str(BATCH[1]):
         conf.set(BATCH[0], str(BATCH[1]))
-    return df.mapInArrow(lean(f), schema)
+    names = df.columns
+    if not any(set(c) & set(".`") for c in names):
+        return df.mapInArrow(lean(f), schema)
+
+    def named(batches):
+        yield from f(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lean(named), schema)  # it cannot name columns with dots
 
 
 # -- connected components -------------------------------------------------------------------------
@@ -380,5 +346,17 @@ def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def is_set(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).isNotNull()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clean_columns, components, in_arrow, materialize, mix, partitions, spread_join, table
+from quillon.llm.common import clean_columns, components, in_arrow, materialize, mix, partitions, spread_join, table, tidy
 
 THRESHOLD, WIDTH, MISS, BLOCK = 0.98, 2.0, 1e-3, 512
 
@@ -115,6 +115,7 @@ def _compare(v: np.ndarray, keys: np.ndarray, m: np.ndarray, side: np.ndarray, t
     return links, _local_roots(n, np.concatenate(edges_i), np.concatenate(edges_j))
 
 
+@tidy("vec-result")
 def link(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 8, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows (vec_id, label, embedding); links join vectors of equal label."""
     spark = vectors.sparkSession

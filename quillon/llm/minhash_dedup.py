@@ -36,12 +36,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, in_arrow, materialize, mix, release, spread_join, table, text_buffers, valid_grams, word_chunks
+from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, in_arrow, materialize, mix, release, spread_join, table, text_buffers, tidy, valid_grams, word_chunks
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
 MAX_DIFFERENT_BITS = 27  # of 120; at 0.8 they are 12 on average with a standard deviation of 3.3
 MORE_REGISTERS = 480
+MOST = 500_000  # elements whose arrivals are worked on at once
 MIN_AGREEMENT, MIN_MORE_AGREEMENT = 0.643, 0.7215  # 4.3 standard deviations below 0.8 for 120 and 480 registers
 LEFT, RIGHT = (512, 4_000_000), (2048, 8_000_000)  # documents and bytes of a block
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -61,7 +62,15 @@ def prob_min_hash(hashes: np.ndarray, docs: np.ndarray, weights: np.ndarray, n_d
     """(n_docs, m) element of the earliest arrival on each register."""
     q = np.full(n_docs * m, np.inf)
     z = np.zeros(n_docs * m, np.uint64)
-    d, g, rate, x = hashes, docs, weights.astype(float), np.zeros(len(hashes))
+    for at in range(0, len(hashes), MOST):  # later blocks begin with the registers of those before
+        part = slice(at, at + MOST)
+        _arrive(q, z, hashes[part], docs[part], weights[part].astype(float), n_docs, m)
+    return z.reshape(n_docs, m)
+
+
+def _arrive(q: np.ndarray, z: np.ndarray, d: np.ndarray, g: np.ndarray, rate: np.ndarray, n_docs: int, m: int) -> None:
+    """Run the processes of elements d of documents g until none can be earlier than what a register holds."""
+    x = np.zeros(len(d))
     turn, width = 0, 1
     while len(d):
         width = max(1, min(width, 2_000_000 // len(d)))
@@ -82,7 +91,6 @@ def prob_min_hash(hashes: np.ndarray, docs: np.ndarray, weights: np.ndarray, n_d
         d, g, rate, x = d[go], g[go], rate[go], x[go]
         turn += width
         width = 1 if turn < 2 else width * 2
-    return z.reshape(n_docs, m)
 
 
 def _digest():
@@ -338,6 +346,7 @@ def _registers(texts: pa.Array | pa.ChunkedArray, m: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+@tidy("dedup-result")
 def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, t, component_id, kept) of every row."""
     signed = materialize(signatures(docs), "dedup-signatures")
@@ -374,7 +383,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group; of rows with equal doc_id and text one, with null doc_id all."""
-    found = materialize(_judged(docs, threshold).where("doc_id is not null"), "dedup-result")
+    found = _judged(docs, threshold).where("doc_id is not null")
     drop = found.where("not kept").select("doc_id", "t").distinct()
     # one struct holds the row, so no column's name matters
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

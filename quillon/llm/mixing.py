@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import clean_columns, materialize, spread_join, table
+from quillon.llm.common import clean_columns, materialize, release, spread_join, table, tidy
 
 WEIGHTS, CAP, SEED, TRIES, MAX_BROADCAST = (5, 2, 1), 3, "mix-1", 16, 10_000
 _BITS = 52  # a draw is exact in a double
@@ -63,8 +63,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     return ranked.select("source", source_key().alias("_key"), "source_size", F.when(F.col("is_capped"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
-def _joined(rows: DataFrame, per_source: DataFrame, n_sources: int) -> DataFrame:
-    return rows.join(F.broadcast(per_source), "_key") if n_sources <= MAX_BROADCAST else spread_join(rows, "_key", per_source)
+def _joined(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(per_source), "_key") if per_source.count() <= MAX_BROADCAST else spread_join(rows, "_key", per_source)
 
 
 def _copies(seed: str, attempt):
@@ -75,33 +75,36 @@ def _copies(seed: str, attempt):
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def sources(slim: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> tuple[DataFrame, int]:
-    """((_key, source_size, target, attempt) of each source, number of sources) of rows (doc_id, source, size)."""
+@tidy("mix-sources")
+def sources(slim: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """(_key, source_size, target, attempt) of each source, of rows (doc_id, source, size)."""
     wanted = materialize(targets(slim, weights, cap).select("_key", "source_size", "target"), "mix-targets")
-    n = wanted.count()
-    tried = _joined(slim.select("doc_id", "size", source_key().alias("_key")), wanted, n)
+    tried = _joined(slim.select("doc_id", "size", source_key().alias("_key")), wanted)
     sums = tried.groupBy("_key").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * _copies(seed, F.lit(i))).alias(f"t{i}") for i in range(TRIES)])
     off = F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), F.lit(i).alias("attempt")) for i in range(TRIES)])
     best = sums.select("_key", F.array_min(off)["attempt"].alias("attempt"))
-    return materialize(wanted.join(best, "_key"), "mix-sources"), n
+    return wanted.join(best, "_key")
 
 
 def _slim(docs: DataFrame) -> DataFrame:
     return materialize(clean_columns(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size")), "mix-sizes")
 
 
+@tidy("mix-plan")
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every document."""
     slim = _slim(docs)
-    per_source, n = sources(slim, weights, cap, seed)
-    return _joined(slim.withColumn("_key", source_key()), per_source, n).withColumn("copies", _copies(seed, F.col("attempt"))).drop("_key", "attempt")
+    per_source = sources(slim, weights, cap, seed)
+    return _joined(slim.withColumn("_key", source_key()), per_source).withColumn("copies", _copies(seed, F.col("attempt"))).drop("_key", "attempt")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    per_source, n = sources(_slim(docs), weights, cap, seed)
+    slim = _slim(docs)
+    per_source = sources(slim, weights, cap, seed)
+    release(slim)
     whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key().alias("_key"))
-    taken = _joined(whole, per_source, n).withColumn("_n", _copies(seed, F.col("attempt"))).where("_n > 0")
+    taken = _joined(whole, per_source).withColumn("_n", _copies(seed, F.col("attempt"))).where("_n > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_row.*")
 
 

@@ -19,7 +19,8 @@ smaller doc_id has; cutting them keeps each passage's earliest copy.
 
 Defined cases. Null, empty and short texts, and passages repeated only within one document: no
 span. Null doc_id: not compared. Rows of equal doc_id are one document. An empty table gives an
-empty result. Other columns are passed through by ``cut_repeats``.
+empty result. Texts of any length are read whole. Ties: of equal passages the one in the smallest
+doc_id stays. Other columns, whatever their names, are passed through by ``cut_repeats``.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, clean_columns, grams, in_arrow, materialize, mix, partitions, spread_join, table, text_buffers, word_chunks
+from quillon.llm.common import Words, clean_columns, fresh, grams, in_arrow, materialize, mix, partitions, spread_join, table, text_buffers, tidy, word_chunks
 
 MIN_WORDS, GRAM = 50, 25
 WINDOW = MIN_WORDS - GRAM + 1
-BYTES, HELD_ROWS = 5, 5_000
+BYTES, HELD_ROWS, STEP = 5, 5_000, 1 << 20
 _JOIN = np.uint64(0x9E3779B97F4A7C15)
 SUFFIX = "key long, doc long, pos int, windows binary"
 _SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("windows", pa.binary())])
@@ -48,19 +49,20 @@ def minimisers(w: Words, gram: int = GRAM, window: int = WINDOW) -> tuple[np.nda
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), g[:0]
     low = np.uint64((1 << 24) - 1)
-    if len(g) > int(low):
-        raise ValueError("a chunk holds fewer than 2**24 words")
-    m = (g & ~low) | np.arange(len(g), dtype=np.uint64)
-    width = 1
-    while width * 2 <= window:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    if width < window:
-        m = np.minimum(m[: len(m) - (window - width)], m[window - width :])
+    least = np.empty(n, np.int64)
+    for lo in range(0, n, STEP):  # a piece has fewer than 2**24 places
+        part = g[lo : lo + STEP + window - 1]
+        m = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while width * 2 <= window:
+            m = np.minimum(m[:-width], m[width:])
+            width *= 2
+        if width < window:
+            m = np.minimum(m[: len(m) - (window - width)], m[window - width :])
+        least[lo : lo + STEP] = (m & low).astype(np.int64) + lo
     of = w.of()
     start = np.flatnonzero(of[:n] == of[gram + window - 2 :][:n])
-    at = (m[start] & low).astype(np.int64)
-    return start, at, g
+    return start, least[start], g
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -182,6 +184,7 @@ def _merge(spans):
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), step_)
 
 
+@tidy("suffix-result")
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, cut): the passages of 50 words or more that other documents have too."""
     order = ["key", "doc", "pos"]
@@ -200,8 +203,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs without the passages that a document with a smaller doc_id has; texts keep all else, byte for byte."""
     columns = docs.columns
-    cuts = repeats(docs).where(F.size("cut") > 0).select(F.col("doc_id").alias("_id"), F.col("cut").alias("_cut"))
-    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    id_, cut = fresh(docs, "_id", "_cut")
+    cuts = repeats(docs).where(F.size("cut") > 0).select(F.col("doc_id").alias(id_), F.col("cut").alias(cut))
+    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col(id_), "left").drop(id_)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
