@@ -4,15 +4,20 @@ A document is a bag of passages of PASSAGE words; every passage of the whole tex
 and hashed-word frequencies (square roots), repetition and length figures of the passage and of its
 document, through a learned tanh layer. Gated attention - softmax of w.(tanh(Vh) * sigmoid(Uh)) -
 weighs the passages, learned from document labels only, and a logistic layer scores the weighted
-sum. The network is fitted in numpy on the driver, on at most ``max_labelled`` labelled rows (those
-first in md5 order of their doc_id); nothing else is sampled, every document is scored in full.
+sum. The network is fitted in numpy on the driver, on at most ``max_labelled`` labelled rows, those
+first in md5 order of their doc_id, as far as they have ``max_passages`` passages together (at most
+70 MB of features), so what reaches the driver is bounded whatever the texts' length; nothing else
+is sampled, every document is scored in full.
 Labels, lang, source and doc_id are no inputs of a score; rows whose crc32(doc_id as text) mod 3
 is 1 are held out from learning.
 
 Defined cases. Null and empty texts are one passage without words and get a score. Null doc_id: not
 held out, not learned from. A doc_id with several labels counts with the lowest; null labels do not
 count. Without labels of both kinds all scores are the share of label 1, or 0.5 if there are none.
-Repeated rows are scored each. An empty table gives an empty result. Other columns pass ``keep_good``.
+Repeated rows are scored each. Ties: of several texts with one labelled doc_id the one with the
+least hash is learned from; a score equal to the threshold is kept. Texts of any length are scored
+whole, their passages encoded in pieces. An empty table gives an empty result. Other columns,
+whatever their names, pass ``keep_good``.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillon.llm.common import _NOT_SPACE, Words, clean_columns, in_arrow, mix, table, word_chunks
+from quillon.llm.common import _NOT_SPACE, Words, clean_columns, in_arrow, materialize, mix, release, table, word_chunks
 
-PASSAGE, MAX_LABELLED, HASHED, HIDDEN, ATTENTION, EPOCHS, BATCH, SEED = 128, 4000, 32, 32, 16, 60, 64, 5
+PASSAGE, MAX_LABELLED, MAX_PASSAGES, HASHED, HIDDEN, ATTENTION, EPOCHS, BATCH, SEED = 128, 4000, 100_000, 32, 32, 16, 60, 64, 5
 CHUNK = 1_000_000  # bytes of text worked on at once; features take some 60 times as much
 _LINE = np.ones(256, bool)
 _LINE[10] = False
@@ -100,6 +106,19 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, first[:-1], axis=0)
         return {"h": h, "t": t, "s": s, "a": a, "z": z, "doc": doc, "y": _sigmoid(z @ p["c"] + p["c0"][0])}
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy, with respect to each parameter."""
+        p, f = self.p, self.forward(x, first)
+        g = (f["y"] - y) / len(y)
+        dz = (g[:, None] * p["c"])[f["doc"]]
+        da = (f["h"] * dz).sum(axis=1)
+        da = f["a"] * (da - np.add.reduceat(f["a"] * da, first[:-1])[f["doc"]])
+        dg = da[:, None] * p["w"]
+        dv = dg * f["s"] * (1 - f["t"] ** 2)
+        du = dg * f["t"] * f["s"] * (1 - f["s"])
+        dh = (f["a"][:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["t"] * f["s"]).T @ da, "c": f["z"].T @ g, "c0": np.array([g.sum()])}
+
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.p is None:
             return np.full(len(first) - 1, self.base)
@@ -113,7 +132,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, s
         return Model(np.zeros(1), np.ones(1), None, float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
-    x = ((x - mean) / scale).astype(np.float64)
+    mean, scale = mean.astype(np.float64), scale.astype(np.float64)
     d = x.shape[1]
     p = {
         "W": rng.normal(0, d**-0.5, (d, HIDDEN)), "b": np.zeros(HIDDEN),
@@ -132,19 +151,8 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, s
             n = size[docs]
             begin = np.concatenate([[0], np.cumsum(n)])
             rows = np.repeat(first[docs] - begin[:-1], n) + np.arange(begin[-1])
-            xb = x[rows]
-            f = model.forward(xb, begin)
-            g = (f["y"] - y[docs]) / len(docs)
-            dz = g[:, None] * p["c"]
-            dzp = dz[f["doc"]]
-            da = (f["h"] * dzp).sum(axis=1)
-            da = f["a"] * (da - np.add.reduceat(f["a"] * da, begin[:-1])[f["doc"]])
-            dg = da[:, None] * p["w"]
-            dv = dg * f["s"] * (1 - f["t"] ** 2)
-            du = dg * f["t"] * f["s"] * (1 - f["s"])
-            dh = f["a"][:, None] * dzp + dv @ p["V"].T + du @ p["U"].T
-            dh *= 1 - f["h"] ** 2
-            grad = {"W": xb.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["t"] * f["s"]).T @ da, "c": f["z"].T @ g, "c0": np.array([g.sum()])}
+            xb = (x[rows] - mean) / scale
+            grad = model.gradient(xb, begin, y[docs])
             turn += 1
             for k, q in p.items():
                 m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -153,11 +161,16 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, s
     return model
 
 
+def words(text: str = "text"):
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
+def _learned_from(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, max_passages: int) -> DataFrame:
+    """(doc_id, y, text) of the rows that the model is fitted on."""
     known = (
         clean_columns(labels, "doc_id", label)
         .where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
@@ -166,16 +179,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
         .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
         .limit(max_labelled)
     )
+    # max_labelled rows at most, so this side is small by construction
+    rows = clean_columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    size = F.greatest(F.lit(1), F.ceil(words() / F.lit(PASSAGE)))
+    upto = Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = rows.select("doc_id", size.alias("n")).withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= max_passages).select("doc_id")
+    return rows.join(F.broadcast(few), "doc_id").select("doc_id", "y", "text")
+
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES) -> Model:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, w in word_chunks(batch.column(2), lower=False, is_word=_NOT_SPACE, most=CHUNK):
                 x, first = features(w)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "y", "x"])
 
-    # max_labelled rows at most, so this side is small by construction
-    rows = clean_columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]).transform(in_arrow, encode, "doc_id long, y long, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
+    chosen = materialize(_learned_from(docs, labels, label, max_labelled, max_passages), "quality-rows")
+    rows = chosen.transform(in_arrow, encode, "doc_id long, y long, x binary").collect()
+    release(chosen)
+    rows.sort(key=lambda r: r.doc_id)
     bags = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
     return fit(x, np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64), np.array([r.y for r in rows]))
