@@ -14,13 +14,16 @@ The index depends on the templates alone (a parameter; at most MAX_TEMPLATE_WORD
 what is broadcast is bounded). Texts are never shuffled.
 
 Defined cases. Null, empty and wordless texts: no rows. Null doc_id: reported with null. Repeated
-rows: reported each. Templates of fewer than GRAM words: rejected. An empty table gives an empty
-result. Other columns play no part.
+rows: reported each. Templates of fewer than GRAM words: rejected. Ties: of overlapping places of a
+template the one that covers most is reported, then the first. Texts of any length are scanned whole.
+An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +51,40 @@ TEMPLATES = {
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution."
     ),
+    "BSD-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+        "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+        "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "GPL-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
         "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies."
+    ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
     "MIT": "Released under the MIT License.",
     "MIT-text": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
@@ -62,10 +92,27 @@ TEMPLATES = {
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "MIT-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
+def templates_in(folder: str) -> dict[str, str]:
+    """Whole license texts, one file each, under the files' names; a file that is longer than a template may be is cut into parts of 5,000 words."""
+    out = {}
+    for path in sorted(Path(folder).iterdir()):
+        text = path.read_text(encoding="utf-8", errors="replace").split() if path.is_file() else []
+        parts = [text[i : i + 5000] for i in range(0, len(text), 5000)]
+        for i, part in enumerate(parts):
+            out[path.name if len(parts) == 1 else f"{path.name}#{i + 1}"] = " ".join(part)
+    return {name: text for name, text in out.items() if len(words_of(text)) >= GRAM}
+
+
 def words_of(text: str) -> np.ndarray:
     data, offsets = text_buffers(pa.array([text]))
     return Words(data, offsets).hash
@@ -210,11 +257,13 @@ def scan(w: Words, index: Templates, threshold: float = THRESHOLD):
                 out.append((int(part[j, 0]), int(t), float(coverage[j]), int(first[j]), int(end[j])))
     out.sort(key=lambda r: (r[0], r[1], -r[2], r[3]))
     kept: list[tuple] = []
-    begun = 0
+    mine: list[tuple[int, int]] = []  # places of one text and template, in order
     for r in out:
-        if kept and kept[-1][:2] != r[:2]:
-            begun = len(kept)
-        if not any(r[3] < k[4] and k[3] < r[4] for k in kept[begun:] if k[:2] == r[:2]):
+        if not kept or kept[-1][:2] != r[:2]:
+            mine = []
+        i = bisect_left(mine, (r[3], r[4]))
+        if not (i and mine[i - 1][1] > r[3]) and not (i < len(mine) and mine[i][0] < r[4]):
+            mine.insert(i, (r[3], r[4]))
             kept.append(r)
     return kept
 
