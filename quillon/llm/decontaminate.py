@@ -13,9 +13,14 @@ The benchmark goes to the tasks in blocks of at most BLOCK_GRAMS n-grams (one bl
 sizes; each block means two scans), so what is broadcast is bounded whatever the benchmark's size.
 Documents are never shuffled; only per-n-gram counts and hits are.
 
-Defined cases. Items of fewer than MIN_WORDS words, and null ones, match nothing. Null, empty and
-wordless texts are clean. Null doc_id: reported with null. Rows of equal doc_id are reported as
-one. Empty tables give no hits. Other columns are passed through by ``clean``.
+Items of fewer than SEED_WORDS words have no seed. They and others below ``shortest`` words (by
+default MIN_WORDS: a phrase of four words is no evidence) match nothing; with ``shortest`` = 1 each
+item of fewer than MIN_WORDS words is found wherever its words stand in a row, exactly.
+
+Defined cases. Null items match nothing. Null, empty and wordless texts are clean. Null doc_id:
+reported with null. Rows of equal doc_id are reported as one. Ties: of equal scores the first place.
+Texts of any length are scanned whole. Empty tables give no hits. Other columns, whatever their
+names, are passed through by ``clean``.
 """
 
 from __future__ import annotations
@@ -81,20 +86,60 @@ class Index:
         return out
 
 
+class Phrases:
+    """Short items of one number of words, found only where all their words stand in a row."""
+
+    def __init__(self, item_ids: list, words: list[np.ndarray]):
+        self.item_ids, self.n = item_ids, len(words[0])
+        self.gram = np.array([grams(w, self.n)[0] for w in words], np.uint64)
+
+    def hits(self, w: Words) -> tuple[np.ndarray, ...]:
+        """As ``hits``: every item in a text once, at its first place."""
+        g, ok = _inside(w, self.n)
+        order = np.argsort(self.gram, kind="stable")
+        low, high = (np.searchsorted(self.gram[order], g, side=side) for side in ("left", "right"))
+        at = np.flatnonzero((high > low) & ok)
+        many = high[at] - low[at]
+        item = order[np.repeat(low[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        text, place = np.repeat(w.of()[at], many), np.repeat(at, many)
+        _, first = np.unique(np.stack([text, item], 1), axis=0, return_index=True)
+        text, item, place = text[first], item[first], place[first] - w.first[text[first]]
+        return text, item, np.ones(len(text)), place, place + self.n
+
+
+def phrases(benchmark: DataFrame, shortest: int, most: int = BLOCK_GRAMS) -> Iterator[Phrases]:
+    """The items of ``shortest`` to MIN_WORDS - 1 words, by their number of words, in bounded blocks."""
+    held: dict[int, tuple[list, list]] = {}
+    for item, w in _items(benchmark):
+        if shortest <= len(w) < MIN_WORDS and len(w):
+            ids, words = held.setdefault(len(w), ([], []))
+            ids.append(item)
+            words.append(w)
+            if len(ids) >= most:
+                yield Phrases(*held.pop(len(w)))
+    for ids, words in held.values():
+        yield Phrases(ids, words)
+
+
+def _items(benchmark: DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(item_id, words) of the items, streamed to the driver."""
+    for row in clean_columns(benchmark, "item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
+        data, offsets = text_buffers(pa.array([row["text"]]))
+        yield row["item_id"], Words(data, offsets).hash
+
+
 def blocks(benchmark: DataFrame, n: int = SEED_WORDS, most: int = BLOCK_GRAMS) -> Iterator[Index]:
     """Indexes over the items, in blocks by item_id, streamed to the driver one at a time."""
     ids: list = []
     words: list[np.ndarray] = []
     held = 0
-    for row in clean_columns(benchmark, "item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        data, offsets = text_buffers(pa.array([row["text"]]))
-        w = Words(data, offsets).hash
+    for item, w in _items(benchmark):
         if len(w) < max(MIN_WORDS, n):
             continue
         if held and held + len(w) > most:
             yield Index(ids, words, n)
             ids, words, held = [], [], 0
-        ids.append(row["item_id"])
+        ids.append(item)
         words.append(w)
         held += len(w)
     if ids:
@@ -205,21 +250,38 @@ def hits(w: Words, index: Index, threshold: float) -> tuple[np.ndarray, np.ndarr
     return text[keep], item[keep], score[keep], first[keep], end[keep]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _searches(docs: DataFrame, benchmark: DataFrame, threshold: float, shortest: int) -> Iterator:
+    """(item_ids, function of Words that returns what ``hits`` does) as a broadcast, for each block of the benchmark."""
+    context = docs.sparkSession.sparkContext
+    for index in blocks(benchmark):
+        yield context.broadcast((index.item_ids, Search(index.seeded(*document_frequency(docs, index)), threshold)))
+    if shortest < MIN_WORDS:
+        for some in phrases(benchmark, shortest):
+            yield context.broadcast((some.item_ids, some.hits))
+
+
+class Search:
+    def __init__(self, index: Index, threshold: float):
+        self.index, self.threshold = index, threshold
+
+    def __call__(self, w: Words) -> tuple[np.ndarray, ...]:
+        return hits(w, self.index, self.threshold)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shortest: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): the benchmark items found in each document, words counted from 0."""
     spark = docs.sparkSession
     slim = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index.seeded(*document_frequency(docs, index)))
+    for shared in _searches(docs, benchmark, threshold, shortest):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            ids = np.array([-1 if i is None else i for i in index.item_ids], np.int64)
+            items, search = shared.value
+            ids = pa.array(items, pa.int64())
             for batch in batches:
                 for at, to, w in word_chunks(batch.column(1)):
-                    text, item, score, first, end = hits(w, index, threshold)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(text)), pa.array(ids[item]), pa.array(score), pa.array(first), pa.array(end)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+                    text, item, score, first, end = search(w)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(text)), ids.take(pa.array(item)), pa.array(score), pa.array(first), pa.array(end)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
         found = slim.transform(in_arrow, scan, "doc_id long, item_id long, score double, first_word long, end_word long")
         out = found if out is None else out.unionByName(found)
@@ -229,20 +291,18 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.f")).alias("first_word"), F.col("b.end_word").alias("end_word"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shortest: int = MIN_WORDS) -> DataFrame:
     """The documents that no benchmark item is found in, with all their columns."""
-    spark = docs.sparkSession
     columns = docs.columns
     out = docs
-    for index in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index.seeded(*document_frequency(docs, index)))
+    for shared in _searches(docs, benchmark, threshold, shortest):
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            _, search = shared.value
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
                 for at, _, w in word_chunks(batch.column(columns.index("text"))):
-                    good[at + hits(w, index, threshold)[0]] = False
+                    good[at + search(w)[0]] = False
                 yield batch.filter(pa.array(good))
 
         out = out.transform(in_arrow, keep, docs.schema)
