@@ -319,3 +319,123 @@ def test_queries_with_sql_equal_it(spark, sf, duck):
 
 def test_source_hash_is_of_the_query_columns(spark):
     assert spark.range(1).select(F.md5(F.lit("mix-1:7")).alias("x")).first().x == hashlib.md5(b"mix-1:7").hexdigest()
+
+
+def test_forward_pass_and_gradient_against_plain_python():
+    """Each document by loops over its passages, and each parameter's slope by differences."""
+    r = np.random.default_rng(3)
+    sizes = [1, 4, 2, 7]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    x, y = r.normal(0, 1, (first[-1], 6)), np.array([1.0, 0.0, 0.0, 1.0])
+    p = {"W": r.normal(0, 1, (6, 5)), "b": r.normal(0, 1, 5), "V": r.normal(0, 1, (5, 3)), "U": r.normal(0, 1, (5, 3)), "w": r.normal(0, 1, 3), "c": r.normal(0, 1, 5), "c0": np.array([0.3])}
+    model = quality.Model(np.zeros(6), np.ones(6), p)
+
+    def plain():
+        out = []
+        for i, j in zip(first[:-1], first[1:], strict=True):
+            h = [[math.tanh(sum(x[k][a] * p["W"][a][b] for a in range(6)) + p["b"][b]) for b in range(5)] for k in range(i, j)]
+            gate = [sum(p["w"][m] * math.tanh(sum(hk[b] * p["V"][b][m] for b in range(5))) / (1 + math.exp(-sum(hk[b] * p["U"][b][m] for b in range(5)))) for m in range(3)) for hk in h]
+            e = [math.exp(g) for g in gate]
+            z = [sum(e[k] / sum(e) * h[k][b] for k in range(len(h))) for b in range(5)]
+            out.append(1 / (1 + math.exp(-(sum(z[b] * p["c"][b] for b in range(5)) + p["c0"][0]))))
+        return out
+
+    assert np.allclose(model.score(x, first), plain(), atol=1e-12)
+    loss = lambda: -sum(t * math.log(q) + (1 - t) * math.log(1 - q) for t, q in zip(y, plain(), strict=True)) / len(y)
+    grad = model.gradient(x, first, y)
+    for name, value in p.items():
+        flat, got = value.ravel(), grad[name].ravel()
+        for k in range(0, len(flat), max(1, len(flat) // 6)):
+            old = flat[k]
+            flat[k] = old + 1e-5
+            up = loss()
+            flat[k] = old - 1e-5
+            down = loss()
+            flat[k] = old
+            assert abs((up - down) / 2e-5 - got[k]) < 1e-7, (name, k)
+
+
+def test_scores_are_of_the_query_columns_features(docs, prose):
+    """The features of passages, by plain Python, whatever pieces the bytes are worked on in."""
+    from quillon.llm import common
+
+    texts = [" ".join(prose(i, n)) + "\nÜber zwei  Zeilen\n" * (i % 3) for i, n in enumerate((0, 1, 127, 128, 129, 700))]
+    w = common.Words(*common.text_buffers(pa.array(texts), lower=False), common._NOT_SPACE)
+    for chunk in (10, 10**6):
+        old, quality.CHUNK = quality.CHUNK, chunk
+        x, first = quality.features(w)
+        quality.CHUNK = old
+        for i, t in enumerate(texts):
+            words = t.split()
+            assert first[i + 1] - first[i] == max(1, -(-len(words) // 128))
+            assert np.allclose(x[first[i] : first[i + 1], 129 + quality.HASHED], [math.log1p(len(words[k : k + 128])) for k in range(0, max(1, len(words)), 128)])
+            assert np.allclose(x[first[i], 129 + quality.HASHED + 3], len(set(words)) / max(1, len(words)))
+            size = [len(t.encode())] if first[i + 1] - first[i] == 1 else None
+            if size:
+                assert np.allclose((x[first[i], :129] ** 2).sum(), 1.0 if size[0] else 0.0, atol=1e-5)
+                assert np.allclose(x[first[i], ord("a")] ** 2, t.count("a") / max(1, size[0]), atol=1e-6)
+
+
+def test_what_is_learned_from_is_bounded_and_fixed(spark, docs, prose):
+    rows = [(i, " ".join(prose(i, 200 if i else 40_000))) for i in range(30)] + [(5, "another text of document 5"), (5, None)]
+    l = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    chosen = quality._learned_from(docs(rows), l, "quality", 1000, 20).collect()
+    known = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want, total = set(), 0
+    texts = {r.doc_id: r.text for r in quality._learned_from(docs(rows), l, "quality", 1000, 10**6).collect()}
+    for i in sorted(known, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        total += max(1, -(-len((texts[i] or "").split()) // 128))
+        if total <= 20:
+            want.add(i)
+    assert {r.doc_id for r in chosen} == want and 3 < len(want) < 15 and set(texts) == set(known)
+
+
+def test_short_items_are_found_exactly_when_asked(spark, docs):
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "Gamma"), (3, "one two three four"), (4, "alpha beta"), (5, ""), (6, "not there")], "item_id long, text string")
+    rows = [(1, "x Alpha, beta y alpha beta"), (2, "alpha x beta gamma"), (3, "one two three for"), (4, "zero one two three four"), (5, "alpha"), (6, "beta")]
+    got = sorted((r.doc_id, r.item_id, r.score, r.first_word, r.end_word) for r in decontaminate.find(docs(rows), items, shortest=1).collect())
+    assert got == [(1, 1, 1.0, 1, 3), (1, 4, 1.0, 1, 3), (2, 2, 1.0, 3, 4), (4, 3, 1.0, 1, 5)]
+    assert decontaminate.find(docs(rows), items).collect() == []
+    assert sorted(r.doc_id for r in decontaminate.clean(docs(rows), items, shortest=1).collect()) == [3, 5, 6]
+
+
+def test_whole_result_against_full_alignment(spark, docs, prose):
+    """All documents with all items by Smith-Waterman over whole texts: every pair that shares a seed and reaches the threshold, no other."""
+    r = random.Random(8)
+    items = [(i, prose(700 + i, r.choice([6, 12, 25, 40]))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        w = prose(i, r.choice([0, 20, 60]))
+        for _ in range(r.choice([0, 1, 2])):
+            part = list(r.choice(items)[1])
+            part = part[r.choice([0, 0, len(part) // 3]) :]
+            for _ in range(r.choice([0, 1, 3, 8])):
+                at = r.randrange(len(part))
+                r.choice([lambda: part.__setitem__(at, "other"), lambda: part.insert(at, "more"), lambda: len(part) > 2 and part.pop(at)])()
+            w += part + prose(300 + i, r.choice([0, 10]))
+        rows.append((i, " ".join(w)))
+
+    def full(a, b):
+        row, best = [0] * (len(b) + 1), 0
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(max(0, row[j - 1] + (2 if x == y else -1), row[j] - 1, new[j - 1] - 1))
+            row, best = new, max(best, max(new))
+        return best
+
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    want, unseeded = {}, 0
+    for i, t in rows:
+        for j, item in items:
+            score = full(item, t.split()) / (2 * len(item))
+            if score >= 0.5:
+                if grams(item) & grams(t.split()):
+                    want[i, j] = score
+                else:
+                    unseeded += 1
+    table = spark.createDataFrame([(j, " ".join(w)) for j, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.find(docs(rows), table).collect()}
+    assert got.keys() <= want.keys() and len(want) > 25 and unseeded <= len(want) // 20
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert len(got) >= 0.97 * len(want), sorted(want.keys() - got.keys())
