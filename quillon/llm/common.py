@@ -70,6 +70,19 @@ def lean(f: Callable) -> Callable:
     return run
 
 
+TASK_BYTES = 64 << 20
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df in fewer partitions where they are smaller than TASK_BYTES and more than two a core, as small files make them.
+
+    Each task that writes costs the file system some calls and the executor some processes.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return df.coalesce(most) if most < 1 << 31 else df  # an unknown size counts as the largest
+
+
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 

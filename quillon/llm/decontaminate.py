@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, clean_columns, grams, in_arrow, lean, table, text_buffers, word_chunks
+from quillon.llm.common import Words, clean_columns, grams, in_arrow, packed, table, text_buffers, word_chunks
 
 SEED_WORDS, MIN_WORDS, THRESHOLD, BLOCK_GRAMS = 3, 5, 0.5, 500_000
 RARE, RARE_LEAST, NEAR = 1e-3, 8, 8
@@ -294,7 +294,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, sh
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shortest: int = MIN_WORDS) -> DataFrame:
     """The documents that no benchmark item is found in, with all their columns."""
     columns = docs.columns
-    out = docs
+    out = packed(docs)
     for shared in _searches(docs, benchmark, threshold, shortest):
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

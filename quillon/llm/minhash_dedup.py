@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, in_arrow, materialize, mix, release, spread_join, table, text_buffers, tidy, valid_grams, word_chunks
+from quillon.llm.common import CHUNK_BYTES, Words, clean_columns, components, in_arrow, materialize, mix, packed, release, spread_join, table, text_buffers, tidy, valid_grams, word_chunks
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), h1, pa.array(ident[1].view(np.int64)), lists, pa.array(sketch[0]), pa.array(sketch[1])], names=["doc_id", "t", "h1", "h2", "keys", "s1", "s2"])
 
     slim = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("t"), "text")
-    return slim.transform(in_arrow, sign, "doc_id long, t long, h1 long, h2 long, keys array<long>, s1 long, s2 long")
+    return packed(slim).transform(in_arrow, sign, "doc_id long, t long, h1 long, h2 long, keys array<long>, s1 long, s2 long")
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:

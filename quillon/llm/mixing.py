@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import clean_columns, materialize, release, spread_join, table, tidy
+from quillon.llm.common import clean_columns, materialize, packed, release, spread_join, table, tidy
 
 WEIGHTS, CAP, SEED, TRIES, MAX_BROADCAST = (5, 2, 1), 3, "mix-1", 16, 10_000
 _BITS = 52  # a draw is exact in a double
@@ -87,7 +87,7 @@ def sources(slim: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, s
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return materialize(clean_columns(docs, "doc_id", "source", "text").select("doc_id", "source", words().alias("size")), "mix-sizes")
+    return materialize(packed(clean_columns(docs, "doc_id", "source", "text")).select("doc_id", "source", words().alias("size")), "mix-sizes")
 
 
 @tidy("mix-plan")
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
     slim = _slim(docs)
     per_source = sources(slim, weights, cap, seed)
     release(slim)
-    whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key().alias("_key"))
+    whole = packed(docs).select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key().alias("_key"))
     taken = _joined(whole, per_source).withColumn("_n", _copies(seed, F.col("attempt"))).where("_n > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_row.*")
 

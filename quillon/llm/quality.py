@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import _NOT_SPACE, Words, clean_columns, in_arrow, materialize, mix, release, table, word_chunks
+from quillon.llm.common import _NOT_SPACE, Words, clean_columns, in_arrow, materialize, mix, packed, release, table, word_chunks
 
 PASSAGE, MAX_LABELLED, MAX_PASSAGES, HASHED, HIDDEN, ATTENTION, EPOCHS, BATCH, SEED = 128, 4000, 100_000, 32, 32, 16, 60, 64, 5
 CHUNK = 1_000_000  # bytes of text worked on at once; features take some 60 times as much
@@ -225,7 +225,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
             for at, to, w in word_chunks(batch.column(text), lower=False, is_word=_NOT_SPACE, most=CHUNK):
                 yield batch.slice(at, to - at).filter(pa.array(shared.value.score(*features(w)) >= threshold))
 
-    return docs.transform(in_arrow, keep, docs.schema)
+    return packed(docs).transform(in_arrow, keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

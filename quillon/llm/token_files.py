@@ -331,7 +331,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shar
         finally:
             _ENCODERS.clear()
 
-    return materialize(ordered.transform(in_arrow, write_and_forget, MANIFEST), "token-manifest")
+    files = ordered.transform(in_arrow, write_and_forget, MANIFEST).collect()  # one row a file
+    return materialize(spark.createDataFrame(files, MANIFEST).coalesce(1), "token-manifest")
 
 
 class TokenFile:
