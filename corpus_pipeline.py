@@ -4,6 +4,14 @@ Each stage works on all documents its predecessor kept; its result is written as
 shared checkpoint folder and read again as the next stage's documents. All stages but the last
 return the columns of ``documents``; the last returns (doc_id, start, n_tokens, ids_crc32) of every
 document as it stands in the token files, a document that the mix takes twice as two rows.
+
+Defined cases. Null, empty and wordless texts are scored, resemble nothing, hold no benchmark item
+and are mixed as documents of size 0. Rows of null doc_id are documents of their own; of rows with
+equal doc_id and text one stays, rows of one doc_id with different texts are judged each by its own.
+Of near-duplicates the smallest doc_id stays. Texts of any length are read whole. Extra columns,
+whatever their names, pass all stages but the last. Without labels no document is rejected, without
+benchmark none is contaminated; an empty table of documents gives an empty result. The tables
+between the stages are deleted at the end of ``run``; token files stay.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontaminate, minhash_dedup, mixing, quality, token_files
-from quillon.llm.common import materialize, table
+from quillon.llm.common import materialize, table, tidy
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +59,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy("pipeline-result")
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
