@@ -53,12 +53,18 @@ def _frugal() -> None:
         _libc().mallopt(-1, 1 << 23)  # M_TRIM_THRESHOLD
 
 
-def lean(f: Callable) -> Callable:
-    """f, a generator over Arrow batches, in a worker that keeps nothing from one task to the next."""
+#: What a worker keeps from one task to the next: how to drop it, by the name of who uses it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(f: Callable, keeps: str | None = None) -> Callable:
+    """f, a generator over Arrow batches, in a worker that keeps nothing but what ``keeps`` names for the next task."""
 
     @functools.wraps(f)
     def run(batches):
         _frugal()
+        for name in [n for n in KEPT if n != keeps]:
+            KEPT.pop(name)()
         try:
             yield from f(batches)
         finally:
@@ -86,19 +92,19 @@ def packed(df: DataFrame) -> DataFrame:
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 
-def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+def in_arrow(df: DataFrame, f: Callable, schema, keeps: str | None = None) -> DataFrame:
     """df.mapInArrow(f, schema) in lean workers; the session's batches become at most BATCH bytes, or one row, whatever a row's size."""
     conf = df.sparkSession.conf
     if conf.get(BATCH[0]).rstrip("b") != str(BATCH[1]):
         conf.set(BATCH[0], str(BATCH[1]))
     names = df.columns
     if not any(set(c) & set(".`") for c in names):
-        return df.mapInArrow(lean(f), schema)
+        return df.mapInArrow(lean(f, keeps), schema)
 
     def named(batches):
         yield from f(b.rename_columns(names) for b in batches)
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lean(named), schema)  # it cannot name columns with dots
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lean(named, keeps), schema)  # it cannot name columns with dots
 
 
 # -- connected components -------------------------------------------------------------------------

@@ -31,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import clean_columns, in_arrow, lean, materialize, new_path, partitions, table
+from quillon.llm.common import KEPT, clean_columns, in_arrow, lean, materialize, new_path, partitions, table
 
-END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 3_000_000, 32_000_000  # the last two in bytes
+END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 4_000_000, 48_000_000  # the last two in bytes
 _ENTRY = 200  # bytes of a cached piece besides its characters and ids
 MAGIC = int.from_bytes(b"QTOKEF01", "little")
 _HEADER = 8
@@ -247,6 +247,7 @@ def encoder(path: str, by_piece: bool | None = None) -> Encoder:
     key = (path, by_piece)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, by_piece)
+    KEPT["tokens"] = _ENCODERS.clear  # until the worker has another operator's task
     return _ENCODERS[key]
 
 
@@ -325,13 +326,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shar
         uri = f"{folder}/{name}"
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": uri, "n_docs": len(offsets) - 1, "n_ids": n_ids, "n_bytes": size}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    def write_and_forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from write(batches)
-        finally:
-            _ENCODERS.clear()
-
-    files = ordered.transform(in_arrow, write_and_forget, MANIFEST).collect()  # one row a file
+    files = ordered.transform(in_arrow, write, MANIFEST, "tokens").collect()  # one row a file
     return materialize(spark.createDataFrame(files, MANIFEST).coalesce(1), "token-manifest")
 
 
