@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import KEPT, clean_columns, in_arrow, lean, materialize, new_path, partitions, table
 
-END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 4_000_000, 48_000_000  # the last two in bytes
+END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 4_000_000, 80_000_000  # the last two in bytes
 _ENTRY = 200  # bytes of a cached piece besides its characters and ids
 MAGIC = int.from_bytes(b"QTOKEF01", "little")
 _HEADER = 8
