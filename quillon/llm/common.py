@@ -205,21 +205,25 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 MAX_HOT = 10_000
 
 
-def spread_join(rows: DataFrame, key: str | list[str], side: DataFrame, per: int = 2000) -> DataFrame:
+def spread_join(rows: DataFrame, key: str | list[str], side: DataFrame, per: int = 2000, counts: DataFrame | None = None, grows: bool = False) -> DataFrame:
     """rows join side on key, where side has one row per key and rows may have any number.
 
     Of the keys with more than ``per`` rows, the MAX_HOT with the most are dealt over ceil(n / per)
     copies of their side row, so no task gets a whole hot key; any other key has ``per`` rows or at
     most one in MAX_HOT of all. Counts are pre-aggregated before they are shuffled, and the table of
     hot keys, MAX_HOT rows at most, is broadcast, so rows are not shuffled by the bare key.
+    ``counts`` gives the number ``n`` of rows of each key where it is known; a side that ``grows``
+    with the data is shuffled at every size.
     """
     key = [key] if isinstance(key, str) else key
-    n = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(per)).cast("int").alias("_n"))
+    if counts is None:
+        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    n = counts.select(*key, F.ceil(F.col("n") / F.lit(per)).cast("int").alias("_n"))
     hot = F.broadcast(n.where("_n > 1").orderBy(F.col("_n").desc(), *key).limit(MAX_HOT))
     names = [c for c in rows.columns if c not in key]
     dealt = rows.join(hot, key, "left").withColumn("_s", F.pmod(F.xxhash64(*names), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
     copies = side.join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
-    return dealt.join(copies, [*key, "_s"]).drop("_s")
+    return dealt.join(copies.hint("merge") if grows else copies, [*key, "_s"]).drop("_s")
 
 
 # -- hashing of words -----------------------------------------------------------------------------

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import common
 from quillon.llm import minhash_dedup as mh
@@ -150,3 +151,21 @@ def test_pairs_near_the_threshold_are_found_in_blocks(spark, prose):
     table = lambda part: pa.table({"rep": [i for i, _ in part], "component": [i for i, _ in part], "text": pa.chunked_array([[t for _, t in part]])})
     got = {(a, b) for a, b, _ in mh._block_links(table(rows[::2]), table(rows[1::2]), 0.8)}
     assert got == want and len(want) > 30
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_spread_join_of_hot_keys(spark, given):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(7)).otherwise(F.col("id")).alias("key"), "id")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    side = counts.where("n > 1 or key % 2 = 0").select("key", (F.col("key") * 2).alias("twice"))
+    got = common.spread_join(rows, "key", side, per=100, counts=counts if given else None, grows=given)
+    want = [(7, i, 14) for i in range(1000)] + [(i, i, 2 * i) for i in range(1000, 3000, 2)]
+    assert sorted(tuple(r) for r in got.select("key", "id", "twice").collect()) == want
+    if not given:
+        return  # rows as few as these are broadcast
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        most = got.select("key", F.spark_partition_id().alias("p")).where("key = 7").groupBy("p").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most < 1000  # the hot key is not in one task
