@@ -129,11 +129,11 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 8, block:
     tables, hashes = shape(n, threshold)
     reps = materialize(_keyed(classes.withColumn("grp", F.xxhash64("label", F.size("vec"))).drop("label"), tables, hashes, seed), "vec-keys")
     entries = reps.select("k", F.posexplode("keys").alias("t", "key"))
-    size = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    size = materialize(entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "vec-sizes")
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("k", F.lit(3)), F.col("parts")).cast("int")
     member = (
-        entries.join(size, ["t", "key"])
+        spread_join(entries, ["t", "key"], size, counts=size, grows=True)
         .withColumn("parts", parts)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
