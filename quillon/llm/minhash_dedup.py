@@ -278,11 +278,11 @@ def _block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tupl
     return out
 
 
-def _family_links(texts: DataFrame, placed: DataFrame, threshold: float) -> DataFrame | None:
-    """Links between documents of different components that share a bucket; placed: (key, rep, component) of all shared buckets."""
+def _family_links(texts: DataFrame, placed: DataFrame, counts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between documents of different components that share a bucket; placed: (key, rep, component) of all shared buckets, counts: (key, n)."""
     per = placed.groupBy("key", "component").agg(F.min("rep").alias("rep"))
     mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("rep").alias("hub")).where("kinds > 1").select("key", "hub")
-    open_ = materialize(placed.join(mixed, "key").select("rep", "component", "hub"), "dedup-open")
+    open_ = materialize(spread_join(placed, "key", mixed, counts=counts, grows=True).select("rep", "component", "hub"), "dedup-open")
     family = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     sized = texts.select(F.col("doc_id").alias("rep"), "text")
     everyone = open_.select("rep", "component").distinct().join(family.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep")
@@ -356,20 +356,20 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
         "dedup-classes",
     )
     entries = reps.select("rep", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialize(entries.join(shared.hint("merge"), "key", "left_semi").join(reps.select("rep", "s1", "s2"), "rep"), "dedup-members")
+    shared = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-shared")
+    members = materialize(spread_join(entries, "key", shared.select("key"), counts=shared, grows=True).join(reps.select("rep", "s1", "s2"), "rep"), "dedup-members")
     hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "s1", "s2")).alias(f"hub{i}") for i in (0, 1, 2)])
-    tried = spread_join(members, "key", hubs).select(F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.explode(F.array("hub0", "hub1", "hub2")).alias("hub"))
+    tried = spread_join(members, "key", hubs, counts=shared).select(F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.explode(F.array("hub0", "hub1", "hub2")).alias("hub"))
     tried = tried.select("x", "x1", "x2", F.col("hub.rep").alias("y"), F.col("hub.s1").alias("y1"), F.col("hub.s2").alias("y2")).where(_alike() & (F.col("x") != F.col("y")))
     first = materialize(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dedup-pairs")
     texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
     edges = verified(first, texts, threshold)
     comp = components(edges)
     placed = members.select("key", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = _family_links(texts, placed, threshold)
+    more = _family_links(texts, placed, shared, threshold)
     if more is not None and more.limit(1).count():
         comp = components(edges.unionByName(more))
-    release(members, first, texts)
+    release(members, shared, first, texts)
     rows = spread_join(known.select("doc_id", "t", "h1", "h2"), ["h1", "h2"], reps.select("h1", "h2", "rep"))
     linked = rows.select("doc_id", "t", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "t", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("h1 is null or doc_id is null").select("doc_id", "t", F.col("doc_id").alias("component_id"))
