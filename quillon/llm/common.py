@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.sources.tables import materialize, new_path, release, tidy  # noqa: F401
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 SEGMENT = 1 << 18
 
 

@@ -200,10 +200,12 @@ class Encoder:
         lists = pc.ascii_split_whitespace(texts)
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         words = lists.flatten()
+        del lists
         low = pc.ascii_lower(words)
         named = pc.match_substring(words, "<|")  # may be a special token, where case counts
         if pc.any(named).as_py():
             low = pc.if_else(named, words, low)
+        del words
         _, off, data = low.buffers()
         offsets = np.frombuffer(off, np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
         raw = np.frombuffer(data, np.uint8) if data and data.size else np.zeros(1, np.uint8)
@@ -235,7 +237,10 @@ class Encoder:
         each = n[code]
         out_end = np.cumsum(each)
         total = int(out_end[-1]) if len(out_end) else 0
-        index = np.repeat(begin[code] - (out_end - each), each) + np.arange(total)
+        small = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        index = np.repeat((begin[code] - (out_end - each)).astype(small), each)
+        index += np.arange(total, dtype=small)
+        del code, each
         upto = np.concatenate([[0], out_end])[np.concatenate([[0], ends]).astype(np.int64)]
         return flat[index], np.diff(upto)
 
