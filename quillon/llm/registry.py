@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, decontaminate, embedding_dedup, license_scan, line_dedup, minhash_dedup, mixing, piece_bpe, point_in_time, quality, suffix_dedup, token_files
+from quillon.llm import chat_format, decontaminate, embedding_dedup, hard_negatives, license_scan, line_dedup, minhash_dedup, mixing, piece_bpe, point_in_time, quality, suffix_dedup, token_files
 
 _MODULES = {
     "op1_minhash_dedup": minhash_dedup,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_embedding_dedup": embedding_dedup,
     "op9_suffix_dedup": suffix_dedup,
     "op10_chat_format": chat_format,
+    "op11_hard_negatives": hard_negatives,
     "op12_point_in_time": point_in_time,
     "op13_piece_bpe": piece_bpe,
 }
