@@ -18,10 +18,13 @@ pairs of different components whose registers, and then four times as many, agre
 returns the links that join components, not pairs. So no link between different texts is lost to a
 cap, and no pairs within a group are emitted.
 
+A class is a node of its own number, never a doc_id, until the end: its component is then named after
+the smallest doc_id in it.
+
 Defined cases. Null, empty and wordless texts resemble nothing and are kept. Null doc_id: component
-null, kept. Equal doc_ids are one document to the components, each of its rows is judged by its own
-text; ``dedup`` keeps one row of each kept (doc_id, text) and every row of null doc_id. Ties: the
-smallest doc_id stays. A text of any length is compared whole; its shingles are held in memory, some
+null, kept. Rows of one doc_id with different texts are judged each by its own text, in any order of
+rows; ``dedup`` keeps one row of each kept (doc_id, text) and every row of null doc_id. Ties: the
+smallest doc_id of a group stays, of its texts in the group the one with the least hash. A text of any length is compared whole; its shingles are held in memory, some
 100 bytes a word. An empty table gives an empty result. Other columns, whatever their names, play no
 part and pass ``dedup`` unchanged.
 """
@@ -172,13 +175,14 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ids, one row each. Both sides are shuffled at every size: ids grow with the data."""
-    return materialize(clean_columns(docs, "doc_id", "text").join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "dedup-texts")
+    """(rep, text) of the classes (rep, doc_id, t), one row each. Both sides are shuffled at every size: ids grow with the data."""
+    rows = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("t"), "text")
+    return materialize(rows.join(ids.hint("merge"), ["doc_id", "t"]).select("rep", "text").dropDuplicates(["rep"]), "dedup-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts have J_P >= threshold."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+    """The pairs (a, b) of classes whose texts have J_P >= threshold."""
+    side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"t{c}"))
     both = spread_join(spread_join(pairs, "a", side("a")).select("a", "b", "ta"), "b", side("b")).select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +288,8 @@ def _family_links(texts: DataFrame, placed: DataFrame, counts: DataFrame, thresh
     mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("rep").alias("hub")).where("kinds > 1").select("key", "hub")
     open_ = materialize(spread_join(placed, "key", mixed, counts=counts, grows=True).select("rep", "component", "hub"), "dedup-open")
     family = components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    sized = texts.select(F.col("doc_id").alias("rep"), "text")
     everyone = open_.select("rep", "component").distinct().join(family.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep")
-    rows = materialize(everyone.join(sized.hint("merge"), "rep").dropDuplicates(["rep"]), "dedup-families")
+    rows = materialize(everyone.join(texts.hint("merge"), "rep"), "dedup-families")
     release(open_)
     if not rows.limit(1).count():
         return None
@@ -351,18 +354,17 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, t, component_id, kept) of every row."""
     signed = materialize(signatures(docs), "dedup-signatures")
     known = signed.where("h1 is not null and doc_id is not null")
-    reps = materialize(
-        known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("s1").alias("s1"), F.first("s2").alias("s2")),
-        "dedup-classes",
-    )
+    classes = known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("keys").alias("keys"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    # numbers hold once they are written; nothing but the written table is read
+    reps = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "at", "keys", "s1", "s2"), "dedup-classes")
     entries = reps.select("rep", F.explode("keys").alias("key"))
     shared = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-shared")
-    members = materialize(spread_join(entries, "key", shared.select("key"), counts=shared, grows=True).join(reps.select("rep", "s1", "s2"), "rep"), "dedup-members")
-    hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "s1", "s2")).alias(f"hub{i}") for i in (0, 1, 2)])
+    members = materialize(spread_join(entries, "key", shared.select("key"), counts=shared, grows=True).join(reps.select("rep", "h1", "s1", "s2"), "rep"), "dedup-members")
+    hubs = members.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "h1").alias("h"), "rep", "s1", "s2")).alias(f"hub{i}") for i in (0, 1, 2)])
     tried = spread_join(members, "key", hubs, counts=shared).select(F.col("rep").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.explode(F.array("hub0", "hub1", "hub2")).alias("hub"))
     tried = tried.select("x", "x1", "x2", F.col("hub.rep").alias("y"), F.col("hub.s1").alias("y1"), F.col("hub.s2").alias("y2")).where(_alike() & (F.col("x") != F.col("y")))
     first = materialize(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dedup-pairs")
-    texts = _texts(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = _texts(docs, members.select("rep").distinct().join(reps.select("rep", "at.*").hint("merge"), "rep"))
     edges = verified(first, texts, threshold)
     comp = components(edges)
     placed = members.select("key", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -370,10 +372,13 @@ def _judged(docs: DataFrame, threshold: float) -> DataFrame:
     if more is not None and more.limit(1).count():
         comp = components(edges.unionByName(more))
     release(members, shared, first, texts)
-    rows = spread_join(known.select("doc_id", "t", "h1", "h2"), ["h1", "h2"], reps.select("h1", "h2", "rep"))
-    linked = rows.select("doc_id", "t", "rep").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "t", F.coalesce("component", "rep").alias("component_id"))
-    alone = signed.where("h1 is null or doc_id is null").select("doc_id", "t", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", "t", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    linked = comp.select(F.col("id").alias("rep"), "component").join(reps.select("rep", "at").hint("merge"), "rep")
+    stays = materialize(spread_join(linked.select("rep", "component"), "component", linked.groupBy("component").agg(F.min("at").alias("stays")), grows=True).select("rep", "stays"), "dedup-stays")
+    named = reps.select("rep", "h1", "h2", "at").join(stays.hint("merge"), "rep", "left").select("h1", "h2", F.coalesce("stays", "at").alias("stays"))
+    rows = spread_join(known.select("doc_id", "t", "h1", "h2"), ["h1", "h2"], named, grows=True)
+    judged = rows.select("doc_id", "t", F.col("stays.doc_id").alias("component_id"), (F.struct("doc_id", "t") == F.col("stays")).alias("kept"))
+    alone = signed.where("h1 is null or doc_id is null").select("doc_id", "t", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return judged.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,5 +1,5 @@
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -121,6 +121,39 @@ def test_a_repeated_id_keeps_its_unique_text(docs, prose):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in mh.near_duplicates(docs(rows)).collect()) == [(3, 3, True), (9, 3, False), (9, 9, True), (9, 9, True)]
 
 
+def brute_rows(rows):
+    """(doc_id, component, kept) of rows, each a text of its own whatever its id; the kept one of a doc_id's texts is any."""
+    comp = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, c in comp.items():
+        least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    return sorted((rows[k][0], least[c]) for k, c in comp.items())
+
+
+def test_repeated_ids_with_different_texts_in_every_order(docs, prose):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    base = [(3, " ".join(a)), (9, " ".join(edited(a, 1, 4))), (9, " ".join(b)), (12, " ".join(edited(b, 1, 5))), (9, " ".join(c)), (9, " ".join(edited(c, 1, 6)))]
+    for order in list(permutations(range(6)))[::77]:
+        rows = [base[i] for i in order]
+        got = mh.near_duplicates(docs(rows)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == brute_rows(rows) == [(3, 3), (9, 3), (9, 9), (9, 9), (9, 9), (12, 9)]
+        kept = sorted((r.doc_id, r.text) for r in mh.dedup(docs(rows)).collect())
+        assert len(kept) == 3 and kept[0] == base[0] and (9, " ".join(b)) in kept and kept[1][0] == kept[2][0] == 9
+        assert {t for _, t in kept} & {base[4][1], base[5][1]}  # one of two near copies of one id stays
+
+
+def test_groups_of_many_rows_with_few_ids(docs, prose):
+    """Ids that recur over groups: nothing is taken from one text of an id to another."""
+    rows = []
+    for g in range(5):
+        base = prose(40 + g, 120)
+        rows += [((7 * g + 3 * k) % 6, " ".join(edited(base, k % 4, 10 * g + k))) for k in range(9)]
+    rows += [(i % 6, " ".join(prose(300 + i, 50))) for i in range(12)]
+    got = [(r.doc_id, r.component_id) for r in mh.near_duplicates(docs(rows)).collect()]
+    assert sorted(got) == brute_rows(rows)
+    assert mh.dedup(docs(rows)).count() == len(set(brute([(k, t) for k, (_, t) in enumerate(rows)]).values()))
+
+
 def test_columns_of_any_name_pass(spark, prose):
     a = " ".join(prose(1, 40))
     df = spark.createDataFrame([(1, a, 1, 2, "x"), (2, a, 1, 2, "y"), (None, a, 1, 2, "z")], "doc_id long, text string, `a.b` int, row int, t string")

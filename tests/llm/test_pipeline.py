@@ -72,3 +72,18 @@ def test_empty_tables(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_ids_lose_no_document(spark, docs, prose, tmp_path):
+    """A doc_id with two texts, of which one is a near copy of another document: the other text reaches the token files."""
+    from tokenizers import Tokenizer
+
+    a, b = prose(1, 80), prose(2, 80)
+    base = [(3, " ".join(a), "s"), (9, " ".join(edited(a, 1, 4)), "s"), (9, " ".join(b), "s")]
+    t = Tokenizer.from_file(token_files.default_tokenizer())
+    want = sorted((i, len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x, _ in (base[0], base[2]))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (base, base[::-1]):
+        docs(rows).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
