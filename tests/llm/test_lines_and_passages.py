@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 import pytest
 
@@ -84,6 +85,52 @@ def test_short_lines_repeat_too(docs, prose):
         line_dedup.summary(docs(rows), shortest=0)
 
 
+def brute_places(rows):
+    """(n_kept, n_exact, n_near) of each doc_id: rows of one id share its places; of lines within an edit at one place neither is earlier."""
+    first = {}
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            if w := tuple(x.split()):
+                first[w] = min(first.get(w, (i, k)), (i, k))
+    long = {w: at for w, at in first.items() if len(w) >= 5}
+    near = {w for w, at in long.items() if any(b < at and abs(len(w) - len(v)) < 2 and distance(w, v) <= 1 for v, b in long.items())}
+    out = {}
+    for i in {i for i, _ in rows}:
+        texts = [x for j, t in rows if j == i for x in t.split("\n")]
+        own = [w for w, at in first.items() if at[0] == i]
+        blank, gone = sum(not x.split() for x in texts), sum(w in near for w in own)
+        out[i] = (blank + len(own) - gone, len(texts) - blank - len(own), gone)
+    return out
+
+
+def test_lines_of_repeated_ids_in_every_order(docs, prose):
+    """Texts of one id are told apart: no unique line goes, no near line is missed."""
+    base = [(3, "a b c d e f"), (9, "u v w x y z"), (9, "a b c d e g"), (9, "one\nu v w x y q"), (12, "u v w x z\na b c d e f g h"), (9, "k l m n o p\nu v w x y z")]
+    for order in list(permutations(range(6)))[::67]:
+        rows = [base[i] for i in order]
+        got = {x.doc_id: (x.n_kept, x.n_exact, x.n_near) for x in line_dedup.summary(docs(rows)).collect()}
+        assert got == brute_places(rows)
+    texts = sorted((x.doc_id, x.text) for x in line_dedup.dedup_lines(docs(base[:3])).collect())
+    assert texts == [(3, "a b c d e f"), (9, ""), (9, "u v w x y z")]
+    r = random.Random(8)
+    pool = [prose(600 + k, r.choice([1, 4, 5, 6, 8])) for k in range(12)]
+    pool += [[*w[:-1], "other"] for w in pool] + [w[1:] for w in pool if len(w) > 4]
+    rows = [(r.randrange(5), "\n".join(" ".join(r.choice(pool)) for _ in range(r.randint(1, 4)))) for _ in range(25)]
+    got = {x.doc_id: (x.n_kept, x.n_exact, x.n_near) for x in line_dedup.summary(docs(rows)).collect()}
+    assert got == brute_places(rows)
+
+
+def test_alike_equals_the_edit_distance():
+    import pyarrow as pa
+
+    r, a, b = random.Random(3), [], []
+    for _ in range(4000):
+        a.append([r.choice("abc") for _ in range(r.randint(0, 6))])
+        b.append([r.choice("abc") for _ in range(r.randint(0, 6))] if r.random() < 0.5 else [x for x in a[-1] if r.random() < 0.9])
+    got = line_dedup._alike(*(common.Words(*common.text_buffers(pa.array([" ".join(w) for w in x]), lower=False)) for x in (a, b)))
+    assert got.tolist() == [distance(x, y) <= 1 for x, y in zip(a, b, strict=True)]
+
+
 def brute_spans(rows):
     at = {}
     texts = {i: t.lower().split() for i, t in rows}
@@ -146,6 +193,30 @@ def test_cut_repeats_keeps_one_copy(docs, prose):
     assert got[1] == rows[0][1] and got[3] == rows[2][1] and "epsilon." in got[2] and len(got[2]) < 40
 
 
+def test_passages_of_repeated_ids_in_every_order(docs, prose):
+    """Spans are those of one text: nothing is cut from another text of the same id."""
+    p, long_ = prose(1, 80), prose(5, 260)
+    base = [(1, " ".join(p)), (2, " ".join(prose(2, 100) + p)), (2, " ".join(prose(3, 5))), (2, " ".join(long_)), (2, " ".join(p[:60] + prose(6, 30)))]
+    want = sorted([base[0], (2, " ".join(prose(2, 100)) + " "), base[2], base[3], (2, " " + " ".join(prose(6, 30)))])
+    for order in list(permutations(range(5)))[::31]:
+        rows = [base[i] for i in order]
+        assert sorted((r.doc_id, r.text) for r in suffix_dedup.cut_repeats(docs(rows)).collect()) == want
+        spans = sorted((r.doc_id, r.n_words, [tuple(x) for x in r.cut]) for r in suffix_dedup.repeats(docs(rows)).collect())
+        assert spans == [(1, 80, []), (2, 60, [(0, 60)]), (2, 80, [(100, 180)])]
+    assert suffix_dedup.repeats(docs([base[1], base[4]])).collect() == []  # one document
+
+
+def test_two_neighbours_are_extended_to_both_sides(docs, prose, monkeypatch):
+    """A 25-gram of two suffixes needs no windows."""
+    monkeypatch.setattr(suffix_dedup, "_windows", None)
+    p = prose(1, 120)
+    a, b = prose(2, 30) + p + prose(3, 30), prose(4, 70) + p + prose(5, 9)
+    rows = suffix_dedup.suffixes(docs([(1, " ".join(a)), (2, " ".join(b))])).orderBy("key", "after", "doc", "pos").toArrow()
+    spans = [x for batch in suffix_dedup._settled(rows, __import__("numpy").zeros(len(rows), bool)) for x in batch.to_pylist()]
+    assert cover([x for x in spans if x["doc"] == 1]) == set(range(30, 150)) and cover([x for x in spans if x["doc"] == 2]) == set(range(70, 190))
+    assert {(x["doc"], x["cut"]) for x in spans} == {(1, False), (2, True)}
+
+
 def test_passages_odd(docs, odd):
     got = {x.doc_id: x for x in suffix_dedup.repeats(docs(odd)).collect()}
     assert set(got) == {1, 2, 6, 10} and got[1].cut == [] and got[10].n_words == 30_000 and len(got[10].cut) == 1
