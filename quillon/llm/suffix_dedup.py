@@ -1,24 +1,29 @@
-"""Repeated passages by sparse suffixes and the windows that hold them.
+"""Repeated passages by sparse suffix arrays.
 
 Of all suffixes (at word starts) only those at minimisers are retained: the least 25-gram hash in
 each window of 26 places. Any window of MIN_WORDS = 50 words holds one whole such 25-gram, at the
 same place in each of its copies, so it belongs to one suffix, and equal windows to suffixes of
-equal 25-grams. A suffix carries 5 hash bytes of each window that belongs to it, 13 on average: two
-windows are equal if 25-gram and hash are, 104 bits. Suffixes are sorted by the 25-gram with Spark's
-range partitioning down to (document, place), so a passage that a third of all documents share is
-dealt over tasks too. The windows of each run of equal 25-grams are compared at once, in pieces of
-at most about HELD_ROWS suffixes where a run is longer or touches a partition's border. In such a
-piece all but the least document of a window are settled, as that one is earlier; what the least
-ones share with other pieces is found by an aggregation of (25-gram, window), joined back. So every
-window that two documents have is found, whatever else shares its 25-gram, and its least document is
-known.
-
-Result, one row per document with a passage of 50 or more words that another document has too:
+equal 25-grams. A suffix carries the hash of its 25-gram and 24 bits of each word around it that its
+windows reach: those before it, nearest first, and those after it, 37 on average. Suffixes are sorted
+by content, the 25-gram and then the words after it, with Spark's range partitioning down to
+(document, place), so a passage that a third of all documents share is dealt over tasks too.
+
+Two neighbours of equal 25-gram are extended: to the right by what their words after it have in
+common, to the left by those before it. Where a 25-gram has two suffixes that is all they share. Where
+it has more, the longest match of two need not be between neighbours, as the order knows only the right
+side; there the windows that each suffix extends to are compared all at once, in pieces of at most about
+HELD_ROWS suffixes where a run is longer or touches a partition's border. In such a piece all but the
+least document of a window are settled, as that one is earlier; what the least ones share with other
+pieces is found by an aggregation of (25-gram, window), joined back. So every window that two
+documents have is found, whatever else shares its 25-gram, and its least document is known.
+
+Result, one row per document and text with a passage of 50 or more words that another document has too:
 ``spans`` are word ranges [begin, end) of all such passages, ``cut`` those which a document with a
 smaller doc_id has; cutting them keeps each passage's earliest copy.
 
 Defined cases. Null, empty and short texts, and passages repeated only within one document: no
-span. Null doc_id: not compared. Rows of equal doc_id are one document. An empty table gives an
+span. Null doc_id: not compared. Rows of equal doc_id are one document, whose texts don't repeat one
+another; each text has spans of its own, known by a hash of it. An empty table gives an
 empty result. Texts of any length are read whole. Ties: of equal passages the one in the smallest
 doc_id stays. Other columns, whatever their names, are passed through by ``cut_repeats``.
 """
@@ -36,10 +41,10 @@ from quillon.llm.common import Words, clean_columns, fresh, grams, in_arrow, mat
 
 MIN_WORDS, GRAM = 50, 25
 WINDOW = MIN_WORDS - GRAM + 1
-BYTES, HELD_ROWS, STEP = 5, 5_000, 1 << 20
-_JOIN = np.uint64(0x9E3779B97F4A7C15)
-SUFFIX = "key long, doc long, pos int, windows binary"
-_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("windows", pa.binary())])
+BYTES, HELD_ROWS, STEP, BITS = 3, 5_000, 1 << 20, 40
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+SUFFIX = "key long, doc long, t long, pos int, before binary, after binary"
+_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
 
 
 def minimisers(w: Words, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,78 +70,141 @@ def minimisers(w: Words, gram: int = GRAM, window: int = WINDOW) -> tuple[np.nda
     return start, least[start], g
 
 
+def _digest():
+    return F.xxhash64(F.col("text").isNull(), "text")
+
+
+def _words(raw: np.ndarray, begin: np.ndarray, n: np.ndarray, step: int) -> pa.Array:
+    """BYTES of each of n words from ``begin`` on, forwards or backwards."""
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    data = raw[np.repeat(begin, n) + step * k]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.append(0, np.cumsum(n)) * BYTES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(key, doc, pos, windows): of each retained 25-gram the first word and the hashes of the windows it is selected in."""
+    """(key, doc, t, pos, before, after): of each retained 25-gram its hash, its first word and the words around it that its windows hold."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, w in word_chunks(batch.column(1)):
+            for at, to, w in word_chunks(batch.column(2)):
                 start, place, g = minimisers(w)
                 if not len(start):
                     continue
-                hash_ = mix(g[start] * _JOIN + g[start + MIN_WORDS - GRAM])
-                raw = np.ascontiguousarray(hash_.view(np.uint8).reshape(-1, 8)[:, -BYTES:])
                 run = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                offsets = (np.concatenate([run, [len(start)]]) * BYTES).astype(np.int32)
-                text = w.of()[start[run]]
-                windows = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(g[place[run]].view(np.int64)), batch.column(0).slice(at, to - at).take(pa.array(text)), pa.array((start[run] - w.first[text]).astype(np.int32)), windows], schema=_SCHEMA)
-
-    known = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
+                first, last, gram = start[run], start[np.append(run[1:], len(start)) - 1], place[run]
+                raw = np.ascontiguousarray((w.hash >> np.uint64(64 - 8 * BYTES)).astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :BYTES]
+                before, after = _words(raw, gram - 1, gram - first, -1), _words(raw, gram + GRAM, last + MIN_WORDS - gram - GRAM, 1)
+                text = w.of()[first]
+                own = [batch.column(c).slice(at, to - at).take(pa.array(text)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(g[gram].view(np.int64)), *own, pa.array((gram - w.first[text]).astype(np.int32)), before, after], schema=_SCHEMA)
+
+    known = clean_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc"), _digest().alias("t"), "text").where("doc is not null and text is not null")
     return known.transform(in_arrow, cut, SUFFIX)
 
 
-def _exploded(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number in the row, hash) of each window of suffixes."""
-    c = rows.column("windows")
+def _context(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(words, first word of each row) of a column of packed words."""
+    c = rows.column(name)
     c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
     c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
     _, off, data = c.buffers()
     offsets = np.frombuffer(off, np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, BYTES)
-    hash_ = np.zeros(len(raw), np.int64)
+    raw = (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]].reshape(-1, BYTES)
+    words = np.zeros(len(raw), np.uint64)
     for i in range(BYTES):
-        hash_ |= raw[:, i].astype(np.int64) << (8 * i)
-    n = np.diff(offsets) // BYTES
-    return np.repeat(np.arange(len(n)), n), np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n), hash_
+        words |= raw[:, i].astype(np.uint64) << np.uint64(8 * i)
+    return words, (offsets - offsets[0]) // BYTES
+
+
+def _in_common(words: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many words rows i and j begin with alike, pair by pair."""
+    n = np.minimum(first[i + 1] - first[i], first[j + 1] - first[j])
+    pair = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    differ = np.flatnonzero(words[first[i][pair] + k] != words[first[j][pair] + k])
+    same = n.copy()
+    np.minimum.at(same, pair[differ], k[differ])
+    return same
+
+
+def _prefixes(words: np.ndarray, first: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """Running sums of hashes of (word, place in the row), one more than words."""
+    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+    return np.append(np.uint64(0), np.cumsum(mix(words + place.astype(np.uint64) * seed)))
+
+
+def _windows(before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in the row, hash) of each window of suffixes: 24 to 0 words less before the 25-gram, as many more after it."""
+    left, right = np.diff(before[1]), np.diff(after[1])
+    n = left + right - (MIN_WORDS - GRAM) + 1
+    row = np.repeat(np.arange(len(n)), n)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    back = left[row] - number
+    ahead = MIN_WORDS - GRAM - back
+    sums = [_prefixes(*before, _LEFT), _prefixes(*after, _RIGHT)]
+    total = mix(sums[0][before[1][row] + back] - sums[0][before[1][row]]) + (sums[1][after[1][row] + ahead] - sums[1][after[1][row]])
+    return row, number, (mix(total) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-_OUT = "doc long, first int, last int, cut boolean, key long, hash long, most long"
-_OUT_SCHEMA = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("cut", pa.bool_()), ("key", pa.int64()), ("hash", pa.int64()), ("most", pa.int64())])
+_OUT = "doc long, t long, first int, last int, cut boolean, key long, hash long, most long"
+_OUT_SCHEMA = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("cut", pa.bool_()), ("key", pa.int64()), ("hash", pa.int64()), ("most", pa.int64())])
 
 
-def _ranges(row: np.ndarray, number: np.ndarray, some: np.ndarray, doc: np.ndarray, pos: np.ndarray, cut: bool) -> pa.RecordBatch:
-    """(doc, first, last, cut) of each run of marked windows of a suffix."""
+def _spans(doc: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(doc), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(t), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(cut), none, none, none], schema=_OUT_SCHEMA)
+
+
+def _ranges(row: np.ndarray, number: np.ndarray, some: np.ndarray, doc: np.ndarray, t: np.ndarray, begin: np.ndarray, cut: bool) -> pa.RecordBatch:
+    """(doc, t, first, last, cut) of each run of marked windows of a suffix."""
     go_on = np.zeros(len(some), bool)
     go_on[1:] = some[1:] & some[:-1] & (row[1:] == row[:-1])
     first = np.flatnonzero(some & ~go_on)
     last = np.flatnonzero(some & ~np.concatenate([go_on[1:], [False]]))
-    r, none = row[first], pa.nulls(len(first), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((pos[r] + number[first]).astype(np.int32)), pa.array((pos[r] + number[last] + MIN_WORDS).astype(np.int32)), pa.array(np.full(len(r), cut)), none, none, none], schema=_OUT_SCHEMA)
+    r = row[first]
+    return _spans(doc[r], t[r], begin[r] + number[first], begin[r] + number[last] + MIN_WORDS, np.full(len(r), cut))
+
+
+def _pairs(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+    """The ranges of neighbours at, at + 1 of one 25-gram, extended to both sides."""
+    (left, right), (doc, t, pos) = (_context(rows, c) for c in ("before", "after")), (rows.column(c).to_numpy() for c in ("doc", "t", "pos"))
+    at = at[doc[at] != doc[at + 1]]
+    back, ahead = _in_common(*left, at, at + 1), _in_common(*right, at, at + 1)
+    long = back + GRAM + ahead >= MIN_WORDS
+    at, back, ahead = at[long], back[long], ahead[long]
+    both = np.concatenate([at, at + 1])
+    least = np.tile(np.minimum(doc[at], doc[at + 1]), 2)
+    return _spans(doc[both], t[both], pos[both] - np.tile(back, 2), pos[both] + GRAM + np.tile(ahead, 2), doc[both] > least)
 
 
 def _settled(rows: pa.Table, opens: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The ranges of suffixes sorted by (key, doc); of those that ``opens`` marks also the windows in their least document here."""
+    """The ranges of sorted suffixes; of those that ``opens`` marks also the windows in their least document here."""
     key = rows.column("key").to_numpy()
-    same = key[1:] == key[:-1]
-    again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | opens
-    rows, opens = rows.filter(pa.array(again)), opens[again]
+    same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+    pair = np.flatnonzero(same[1:-1] & ~same[:-2] & ~same[2:] & ~opens[:-1] & ~opens[1:])
+    if len(pair):
+        yield _pairs(rows, pair)
+    many = same[:-1] | same[1:] | opens
+    many[pair] = many[pair + 1] = False
+    rows, opens = rows.filter(pa.array(many)), opens[many]
     if not rows.num_rows:
         return
-    key, doc, pos = (rows.column(c).to_numpy() for c in ("key", "doc", "pos"))
+    key, doc, t, pos = (rows.column(c).to_numpy() for c in ("key", "doc", "t", "pos"))
     run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-    row, number, hash_ = _exploded(rows)
-    # windows of one run meet, in order of the document: 23 bits of run and 8 * BYTES of hash
-    _, first, group = np.unique((run[row].astype(np.int64) << (8 * BYTES)) | hash_, return_index=True, return_inverse=True)
-    least = doc[row[first]]
-    most = least.copy()
+    before, after = _context(rows, "before"), _context(rows, "after")
+    row, number, hash_ = _windows(before, after)
+    begin = pos - np.diff(before[1])
+    # windows of one run meet: 23 bits of run and BITS of hash
+    kinds, group = np.unique((run[row].astype(np.int64) << BITS) | hash_, return_inverse=True)
+    least, most = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
+    np.minimum.at(least, group, doc[row])
     np.maximum.at(most, group, doc[row])
     later = least[group] < doc[row]
-    yield _ranges(row, number, (least < most)[group], doc, pos, False)
-    yield _ranges(row, number, later, doc, pos, True)
+    yield _ranges(row, number, (least < most)[group], doc, t, begin, False)
+    yield _ranges(row, number, later, doc, t, begin, True)
     left = np.flatnonzero(opens[row] & ~later)
     r, n = row[left], len(left)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((pos[r] + number[left]).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(key[r]), pa.array(hash_[left]), pa.array(most[group[left]])], schema=_OUT_SCHEMA)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(t[r]), pa.array((begin[r] + number[left]).astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(key[r]), pa.array(hash_[left]), pa.array(most[group[left]])], schema=_OUT_SCHEMA)
 
 
 def neighbours(sorted_: DataFrame) -> DataFrame:
@@ -165,10 +233,10 @@ def neighbours(sorted_: DataFrame) -> DataFrame:
 
 
 def _left_open(windows: DataFrame) -> DataFrame:
-    """(doc, first, last, cut) of the windows (key, hash, doc, first, most) that two documents have; most: the piece's greatest document of it."""
+    """(doc, t, first, last, cut) of the windows (key, hash, doc, t, first, most) that two documents have; most: the piece's greatest document of it."""
     shared = windows.groupBy("key", "hash").agg(F.min("doc").alias("least"), F.max("most").alias("most")).where("least < most").drop("most")
     found = spread_join(windows.drop("most"), ["key", "hash"], shared)
-    return found.select("doc", "first", (F.col("first") + MIN_WORDS).alias("last"), (F.col("least") < F.col("doc")).alias("cut"))
+    return found.select("doc", "t", "first", (F.col("first") + MIN_WORDS).alias("last"), (F.col("least") < F.col("doc")).alias("cut"))
 
 
 def _merge(spans):
@@ -185,27 +253,33 @@ def _merge(spans):
 
 
 @tidy("suffix-result")
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, spans, cut): the passages of 50 words or more that other documents have too."""
-    order = ["key", "doc", "pos"]
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, n_words, spans, cut) of every text; t is a hash of it."""
+    order = ["key", "after", "doc", "pos"]
     found = materialize(neighbours(suffixes(docs).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)), "suffix-ranges")
-    rest = _left_open(found.where("key is not null").select("key", "hash", "doc", "first", "most"))
-    ranges = found.where("key is null").select("doc", "first", "last", "cut").unionByName(rest)
-    both = ranges.groupBy("doc", "first", "last").agg(F.max("cut").alias("cut"))
+    rest = _left_open(found.where("key is not null").select("key", "hash", "doc", "t", "first", "most"))
+    ranges = found.where("key is null").select("doc", "t", "first", "last", "cut").unionByName(rest)
+    both = ranges.groupBy("doc", "t", "first", "last").agg(F.max("cut").alias("cut"))
     span = F.struct("first", "last")
     return (
-        both.groupBy("doc")
+        both.groupBy("doc", "t")
         .agg(_merge(F.collect_list(span)).alias("spans"), _merge(F.collect_list(F.when(F.col("cut"), span))).alias("cut"))
-        .select(F.col("doc").alias("doc_id"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"]).alias("n_words"), "spans", "cut")
+        .select(F.col("doc").alias("doc_id"), "t", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"]).alias("n_words"), "spans", "cut")
     )
 
 
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, spans, cut): the passages of 50 words or more that other documents have too."""
+    return passages(docs).drop("t")
+
+
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs without the passages that a document with a smaller doc_id has; texts keep all else, byte for byte."""
     columns = docs.columns
-    id_, cut = fresh(docs, "_id", "_cut")
-    cuts = repeats(docs).where(F.size("cut") > 0).select(F.col("doc_id").alias(id_), F.col("cut").alias(cut))
-    joined = docs.join(cuts, F.col("doc_id").cast("long") == F.col(id_), "left").drop(id_)
+    id_, t_, cut = fresh(docs, "_id", "_t", "_cut")
+    cuts = passages(docs).where(F.size("cut") > 0).select(F.col("doc_id").alias(id_), F.col("t").alias(t_), F.col("cut").alias(cut))
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (_digest() == F.col(t_))
+    joined = docs.join(cuts.hint("merge"), same, "left").drop(id_, t_)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
