@@ -5,8 +5,8 @@ of the text). Layout, little-endian: a header of 8 uint64 (magic, documents, ids
 documents without id, smallest doc_id, parameters of the two codes, sections are in this order);
 the ids; the Elias-Fano code of the n + 1 document offsets; the one of the doc_ids less the
 smallest. An Elias-Fano code keeps the low bits of each value packed and the high bits in unary;
-every 256th one-bit's place is sampled in 32 bits, so ``select`` finds any value near its sample
-without a table of 64-bit offsets.
+every 256th one-bit's place is sampled in 32 bits, so ``select`` finds any value near its sample, and
+``select_range`` those of a few documents, without a table of 64-bit offsets. Files are read so.
 
 Files are written by the tasks that encode them, through the file system that the folder's URI
 names, under a name of their own per attempt; a file counts once its row is in the committed
@@ -24,16 +24,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import KEPT, clean_columns, in_arrow, lean, materialize, new_path, partitions, table
+from quillon.llm.common import KEPT, clean_columns, in_arrow, materialize, new_path, partitions, table
 
-END_ID, SAMPLE, CHUNK, MAX_CACHE = 1, 256, 4_000_000, 80_000_000  # the last two in bytes
+END_ID, SAMPLE, DOCS, CHUNK, MAX_CACHE = 1, 256, 4096, 4_000_000, 80_000_000  # the last two in bytes
 _ENTRY = 200  # bytes of a cached piece besides its characters and ids
 MAGIC = int.from_bytes(b"QTOKEF01", "little")
 _HEADER = 8
@@ -89,16 +88,23 @@ class EliasFano:
                 return (place - i) << self.low_bits | self._low(i)
             seen, byte, skip = seen + len(ones), byte + 64, 0
 
-    def decode(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        out = np.zeros(self.n, np.uint64)
-        block = 8 * 4096
-        for at in range(0, self.n if self.low_bits else 0, block):
-            k = min(block, self.n - at)
-            bits = np.unpackbits(self.lower[at * self.low_bits // 8 :][: (k * self.low_bits + 7) // 8], bitorder="little")[: k * self.low_bits]
-            out[at : at + k] = (bits.reshape(k, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1)
-        return (high | out).astype(np.int64)
+    def select_range(self, at: int, to: int) -> np.ndarray:
+        """Values at to ``to``, from the one-bits between the samples around them: memory is that of the range."""
+        if not 0 <= at <= to <= self.n:
+            raise IndexError((at, to))
+        if at == to:
+            return np.zeros(0, np.int64)
+        from_, last = at // SAMPLE, -(-to // SAMPLE)
+        begin = int(self.samples[from_])
+        end = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.upper)
+        bits = np.unpackbits(self.upper[begin >> 3 : (end >> 3) + 1], bitorder="little")
+        bits[: begin & 7] = 0
+        places = np.flatnonzero(bits)[at - from_ * SAMPLE :][: to - at] + (begin >> 3 << 3)
+        high = (places - np.arange(at, to)).astype(np.uint64) << np.uint64(self.low_bits)
+        first = at * self.low_bits
+        bits = np.unpackbits(self.lower[first >> 3 : to * self.low_bits + 7 >> 3], bitorder="little")[first & 7 :][: (to - at) * self.low_bits]
+        low = (bits.reshape(to - at, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return (high | low).astype(np.int64)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.upper), len(self.lower)], "<u8")
@@ -336,7 +342,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shar
 
 
 class TokenFile:
-    """Random access to one file: ``offset(i)``, ``ids(i)``, ``doc_ids``."""
+    """Random access to one file: ``offsets``, ``ids(i)``, ``doc_ids(at, to)``."""
 
     def __init__(self, uri: str):
         system, path = _file_system(uri)
@@ -351,10 +357,10 @@ class TokenFile:
         self._ids, _ = EliasFano.from_buffer(raw[used:])
         self.least = least - (1 << 64) if least >= 1 << 63 else least
 
-    @property
-    def doc_ids(self) -> np.ndarray:
-        """doc_ids of the documents that have one; the first ``n_null`` documents have none."""
-        return self._ids.decode() + self.least
+    def doc_ids(self, at: int, to: int) -> pa.Array:
+        """doc_ids of documents at to ``to``; the first ``n_null`` documents have none."""
+        known = self._ids.select_range(max(0, at - self.n_null), max(0, to - self.n_null)) + self.least
+        return pa.concat_arrays([pa.nulls(to - at - len(known), pa.int64()), pa.array(known)])
 
     def read(self, begin: int, end: int) -> np.ndarray:
         w = self.dtype.itemsize
@@ -375,32 +381,27 @@ def read_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         rows.append((r.path, before))
         before += r.n_ids
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for uri, base in zip(frame["path"], frame["base"], strict=True):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 f = TokenFile(uri)
-                offsets = f.offsets.decode()
-                known = f.doc_ids
-                for at in range(0, f.n_docs, 4096):
-                    to = min(f.n_docs, at + 4096)
+                for at in range(0, f.n_docs, DOCS):
+                    to = min(f.n_docs, at + DOCS)
+                    offsets = f.offsets.select_range(at, to + 1)
                     crc = np.empty(to - at, np.int64)
-                    i = at
-                    while i < to:
+                    i = 0
+                    while i < to - at:
                         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
-                        j = min(j, to)
                         part = f.read(int(offsets[i]), int(offsets[j])).astype("<u4")
                         for k in range(i, j):
-                            crc[k - at] = zlib.crc32(part[offsets[k] - offsets[i] : offsets[k + 1] - offsets[i]])
+                            crc[k] = zlib.crc32(part[offsets[k] - offsets[i] : offsets[k + 1] - offsets[i]])
                         i = j
-                    ids = pd.array([pd.NA] * (to - at), dtype="Int64")
-                    place = np.arange(at, to) >= f.n_null
-                    ids[place] = known[max(0, at - f.n_null) : max(0, to - f.n_null)]
-                    yield pd.DataFrame({"doc_id": ids, "start": base + offsets[at:to], "n_tokens": np.diff(offsets[at : to + 1]), "ids_crc32": crc})
+                    yield pa.RecordBatch.from_arrays([f.doc_ids(at, to), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:
         return spark.createDataFrame([], out)
-    return spark.createDataFrame(rows, "path string, base long").repartition(len(rows), "path").mapInPandas(lean(read), out)
+    return spark.createDataFrame(rows, "path string, base long").repartition(len(rows), "path").transform(in_arrow, read, out)
 
 
 def run(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -33,7 +33,8 @@ def test_encoder_equals_whole_texts():
 def test_elias_fano(n, universe):
     v = np.sort(np.random.default_rng(n).integers(0, universe, n))
     ef, used = token_files.EliasFano.from_buffer(np.frombuffer(token_files.EliasFano.encode(v).to_bytes() + b"xx", np.uint8))
-    assert (ef.decode() == v).all() and all(ef.select(i) == v[i] for i in range(0, n, max(1, n // 40)))
+    assert (ef.select_range(0, n) == v).all() and all((ef.select_range(a, b) == v[a:b]).all() for a, b in ((0, n // 3), (n // 3, n), (n // 2, min(n, n // 2 + 300)), (n, n)))
+    assert all(ef.select(i) == v[i] for i in range(0, n, max(1, n // 40)))
     if n >= 3000 and universe == 10**6:
         assert used * 8 / n < 2.5 + math.log2(universe / n) + 1
     with pytest.raises(IndexError):
