@@ -1,7 +1,8 @@
 """The retrieval index as tables under a folder: batches of events are appended, numbered on and counted.
 
-``entries`` is partitioned by batch and by a hash of the scope, ``terms`` holds the document
-frequencies and ``scopes`` the numbers of entries and tokens that each batch adds. A batch counts
+``entries`` is partitioned by batch and by a hash of the scope, ``lists`` are inverted lists by batch and
+a hash of scope and term, ``terms`` holds the document frequencies and ``scopes`` the numbers of
+entries and tokens that each batch adds. A batch counts
 once its ``scopes`` are written, which is done last; nothing that was written is written again. So
 an append costs what it adds, a replayed batch changes nothing, and a question about few scopes
 reads few partitions. One writer at a time.
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import events as ev
+from quillon.operators import postings
 from quillon.operators import retrieve as rt
 from quillon.operators.hashed import bucket
 from quillon.plans.settings import Retrieval, retrieval_for
@@ -61,6 +63,7 @@ def append(path: str, events: DataFrame, settings: Retrieval = Retrieval(), orde
     by = [bucket(), *SCOPE, "doc_id"]
     laid = new.drop("_seq").withColumn("bucket", bucket()).repartitionByRange(*by).sortWithinPartitions(*by)
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/entries/batch={batch}")
+    postings.write(new, f"{path}/lists/batch={batch}")
     ev.document_frequency(new).write.mode("overwrite").parquet(f"{path}/terms/batch={batch}")
     counts = new.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     counts.write.mode("overwrite").parquet(f"{path}/scopes/batch={batch}")
@@ -95,13 +98,18 @@ def document_frequency(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "terms", TERMS).groupBy(*SCOPE, "term").agg(F.sum("df").alias("df"))
 
 
+def lists(spark: SparkSession, path: str) -> rt.Lists:
+    """Inverted lists, document frequencies and counts of an index that has batches."""
+    return rt.Lists(_read(spark, path, "lists").drop("batch"), document_frequency(spark, path), scope_counts(spark, path))
+
+
 def retrieve(path: str, queries: DataFrame, mode: str = "fused", settings: Retrieval = Retrieval(), top_k: int | None = None) -> DataFrame:
     """As ``retrieve.retrieve``, of the index at path; one without batches returns nothing."""
     held = entries(queries.sparkSession, path)
     if held is None:
         empty = queries.sparkSession.createDataFrame([], "app_name string, user_id string, session_id string, doc_id long, text string, source_kind string, importance double, created_at double, tokens array<string>, n_tokens long, embedding array<double>")
         return rt.retrieve(empty, queries, mode, settings, top_k)
-    return rt.retrieve(held, queries, mode, settings, top_k)
+    return rt.retrieve(held, queries, mode, settings, top_k, lists(queries.sparkSession, path))
 
 
 def policy_path(root: str, policy: str, budget: int) -> str:

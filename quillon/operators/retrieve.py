@@ -5,7 +5,9 @@ returned. Document frequencies and counts are of the whole scope; average length
 largest score and ranks are of a query's candidates, after the session filter and the identifier
 guard. Lexical scores are an equi-join on (scope, term) with entry terms that some query of the
 scope has; they never touch entries without a shared term. The ``bm25`` mode without filters reads
-nothing else; other modes score each entry of the scope, as every one can be returned.
+nothing else; other modes score each entry of the scope, as every one can be returned. Of a stored
+index the lexical arm reads inverted lists (``postings``), document frequencies and counts as they
+were written, and in the ``bm25`` mode only ranges of documents that can hold a result.
 
 Entries and queries are written tables (or are written first), so that no text is analysed twice and
 their sizes in bytes are known: which side of a join is broadcast is decided by them, within the
@@ -14,17 +16,28 @@ session's threshold. Hot scopes are left to adaptive skew joins.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
 from quillon.operators import events as ev
+from quillon.operators import postings
 from quillon.plans.settings import MODES, Retrieval
 from quillon.sources.tables import hadoop_path, materialize, stored
 
 SCOPE = ev.SCOPE
-_UNIT = float(1 << 44)
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What a stored index has beside its entries: ``postings`` blocks, (*SCOPE, term, df), (*SCOPE, n_docs, n_tokens)."""
+
+    blocks: DataFrame
+    df: DataFrame
+    scopes: DataFrame
 
 
 def analysed(queries: DataFrame, settings: Retrieval) -> DataFrame:
@@ -59,30 +72,44 @@ def norm(a: str) -> Column:
     return tx.let(n, lambda v: F.when(v == 0, F.lit(1.0)).otherwise(v))
 
 
-def _lengths(entries: DataFrame, q: DataFrame, candidates: DataFrame | None) -> DataFrame:
+def _lengths(entries: DataFrame, q: DataFrame, candidates: DataFrame | None, lists: Lists | None = None) -> DataFrame:
     """(query_id, n, avgdl): entries of the scope, and average length of the candidates, which are the whole scope if None."""
-    average = lambda c: F.greatest(F.lit(1.0), F.avg(c)).alias("avgdl")
-    scope = q.select("query_id", *SCOPE).join(entries.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"), average(F.col("n_tokens"))), SCOPE).select("query_id", "n", "avgdl")
-    return scope if candidates is None else scope.drop("avgdl").join(candidates.groupBy("query_id").agg(average(F.col("dl"))), "query_id")
+    average = lambda c: F.greatest(F.lit(1.0), c).alias("avgdl")
+    if lists is None:
+        scopes = entries.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"), average(F.avg("n_tokens")))
+    else:
+        scopes = lists.scopes.select(*SCOPE, F.col("n_docs").alias("n"), average(F.col("n_tokens") / F.col("n_docs")))
+    scope = q.select("query_id", *SCOPE).join(scopes, SCOPE).select("query_id", "n", "avgdl")
+    return scope if candidates is None else scope.drop("avgdl").join(candidates.groupBy("query_id").agg(average(F.avg("dl"))), "query_id")
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", *SCOPE, F.explode("q_terms").alias("term"))
 
 
-def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings: Retrieval, also: tuple[str, ...] = ()) -> DataFrame:
+def _weights(q_terms: DataFrame, df: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(query_id, *SCOPE, term, idf, avgdl)."""
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return q_terms.join(df, [*SCOPE, "term"]).join(lengths, "query_id").select("query_id", *SCOPE, "term", idf.alias("idf"), "avgdl")
+
+
+def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings: Retrieval, also: tuple[str, ...] = (), lists: Lists | None = None) -> DataFrame:
     """(query_id, doc_id, *also, bm25) of all pairs that share a term; lengths: (query_id, n, avgdl) as ``_lengths`` has them."""
-    q_terms = queries.select("query_id", *SCOPE, F.explode("q_terms").alias("term"))
+    q_terms = _query_terms(queries)
     known = q_terms.select(*SCOPE, "term").distinct()
-    e_terms = (
-        entries.select(*SCOPE, "doc_id", *also, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(known, [*SCOPE, "term"], "left_semi")
-        .groupBy(*SCOPE, "doc_id", *also, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = e_terms.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
-    weights = q_terms.join(df, [*SCOPE, "term"]).join(lengths, "query_id").withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    share = F.lit(1.0 - settings.b) + F.lit(settings.b) * (F.col("dl") / F.col("avgdl"))
-    one = F.col("idf") * (F.col("tf") * (settings.k1 + 1.0)) / (F.col("tf") + F.lit(settings.k1) * share)
-    # summed as integers, so that the order of summing cannot tell equal texts apart, to some 1e-12
-    whole = F.sum(F.rint(one * F.lit(_UNIT)).cast("long"))
-    return e_terms.join(weights, [*SCOPE, "term"]).groupBy("query_id", "doc_id", *also).agg((whole / F.lit(_UNIT)).alias("bm25"))
+    if lists is None:
+        e_terms = (
+            entries.select(*SCOPE, "doc_id", *also, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
+            .join(known, [*SCOPE, "term"], "left_semi")
+            .groupBy(*SCOPE, "doc_id", *also, "dl", "term")
+            .agg(F.count(F.lit(1)).alias("tf"))
+        )
+        df = e_terms.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        found = postings.of_terms(lists.blocks, known).select(*SCOPE, "term", F.explode("docs").alias("p"))
+        e_terms, df = found.select(*SCOPE, "term", "p.doc_id", "p.tf", "p.dl", *[F.col(f"p.{c}") for c in also]), lists.df.join(known, [*SCOPE, "term"], "left_semi")
+    one = F.col("idf") * postings.share(F.col("tf"), F.col("dl"), settings)
+    return e_terms.join(_weights(q_terms, df, lengths), [*SCOPE, "term"]).groupBy("query_id", "doc_id", *also).agg(postings.total(one).alias("bm25"))
 
 
 def _order(*by: Column) -> Window:
@@ -135,11 +162,12 @@ def selected(rows: DataFrame, mode: str, settings: Retrieval, k: int) -> DataFra
     return rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")).where(F.col("position") < k)
 
 
-def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settings: Retrieval = Retrieval(), top_k: int | None = None) -> DataFrame:
+def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settings: Retrieval = Retrieval(), top_k: int | None = None, lists: Lists | None = None) -> DataFrame:
     """The best entries of each query's scope, at most top_k, with their scores and ranks.
 
     queries: (query_id, app_name, user_id, text), session_id where sessions are filtered, q_embedding
     in all modes but bm25. entries: see ``events.entries``, with ``embedding`` in all modes but bm25.
+    lists: of a stored index, used in place of the entries' tokens.
     Blank queries and empty scopes return nothing; an unknown mode or a negative top_k is an error.
     """
     if mode not in MODES:
@@ -150,7 +178,7 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
     entries, q = stored(entries, "index-entries"), materialize(analysed(queries, settings), "index-queries")
     filtered = not settings.cross_session or settings.guard_identifiers
     if mode == "bm25" and not filtered and settings.min_score > 0:
-        rows = _lexical_only(entries, q, settings)
+        rows = _lexical_only(entries, q, settings, k, lists)
     else:
         slim = [*SCOPE, "session_id", "doc_id", "created_at", "importance", "n_tokens"]
         vectors = mode != "bm25"
@@ -164,7 +192,7 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
         if mode == "dense":
             candidates = candidates.withColumn("bm25", F.lit(0.0))
         else:
-            hits = lexical(entries, q, _lengths(entries, q, candidates if filtered else None), settings)
+            hits = lexical(entries, q, _lengths(entries, q, candidates if filtered else None, lists), settings, lists=lists)
             candidates = candidates.join(hits, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
         rows = scored(candidates, mode, settings)
     shown = entries.select(*SCOPE, "doc_id", "text", "source_kind", "session_id")  # texts join the few rows that are returned
@@ -174,10 +202,16 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
     )
 
 
-def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval) -> DataFrame:
+def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval, k: int, lists: Lists | None) -> DataFrame:
     """The bm25 mode's rows with a shared term; no other can pass a threshold above 0. dense_rank is the place in the scope."""
+    lengths = _lengths(entries, q, None, lists)
+    if lists is None:
+        rows = lexical(entries, q, lengths, settings, also=("created_at", "importance"))
+    else:
+        terms = _query_terms(q)
+        rows = postings.best(lists.blocks, _weights(terms, lists.df.join(terms.select(*SCOPE, "term").distinct(), [*SCOPE, "term"], "left_semi"), lengths), settings, k)
     return (
-        lexical(entries, q, _lengths(entries, q, None), settings, also=("created_at", "importance"))
+        rows
         .withColumn("dense", F.lit(0.0))
         .withColumn("dense_rank", F.col("doc_id"))
         .withColumn("sparse_rank", _rank("bm25"))

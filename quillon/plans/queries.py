@@ -14,7 +14,7 @@ from quillon.operators import events as ev
 from quillon.plans import sql
 from quillon.plans.settings import Compaction, Hashed, Retrieval
 from quillon.sources import datasets as ds
-from quillon.sources.tables import new_path
+from quillon.sources.tables import hadoop_path, materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 RENDER_CHARS = 1200
@@ -31,6 +31,23 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _stored(name: str) -> Callable:
+    """Of f(spark, sf_dir, folder): a query that gives it a new folder, writes its result and deletes the folder."""
+
+    def wrap(f: Callable[[SparkSession, str, str], DataFrame]) -> Query:
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            folder = new_path(spark, name)
+            try:
+                return materialize(f(spark, d, folder), name + "-result")
+            finally:
+                fs, p = hadoop_path(spark, folder)
+                fs.delete(p, True)
+
+        return run
+
+    return wrap
+
+
 def long(c: str | F.Column) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
@@ -123,8 +140,8 @@ def _halves(spark, d):
 
 
 @query("index_append", f"with {sql.entries_cte()}, t as (select distinct user_id, doc_id, unnest(tokens) as term from e), f as (select user_id, term, count(*) as df from t group by all), sums as (select t.user_id, t.doc_id, sum(df)::bigint as sum_df from t join f using (user_id, term) group by all), n as (select user_id, count(*) as n_docs, sum(len(tokens))::bigint as scope_tokens from e group by 1) select e.user_id, e.doc_id, e.text, len(tokens) as n_tokens, coalesce(sum_df, 0)::bigint as sum_df, n_docs, scope_tokens from e left join sums using (user_id, doc_id) join n on n.user_id = e.user_id")
-def _(spark, d):
-    path = new_path(spark, "index")
+@_stored("index")
+def _(spark, d, path):
     for batch in _halves(spark, d):
         index.append(path, batch, tools=False)
     e = index.entries(spark, path)
@@ -138,15 +155,27 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("score", "dense_score", "sparse_score", "importance")})
 
 
+def _from_index(settings: Retrieval = Retrieval(), mode: str = "bm25") -> Query:
+    """A question to a stored index of the documents, which has inverted lists; two batches."""
+
+    @_stored("index")
+    def ask(spark, d, path):
+        for batch in _halves(spark, d):
+            index.append(path, batch, settings, tools=False)
+        return _rounded(index.retrieve(path, ds.queries(spark, d), mode, settings))
+
+    return ask
+
+
 def _retrieval(mode: str, records: bool = False, settings: Retrieval = Retrieval()) -> Query:
     vectors = mode != "bm25"
     return lambda spark, d: _rounded(retrieve.retrieve(ds.entries(spark, d, vectors, records), ds.queries(spark, d, vectors, records), mode, settings))
 
 
 for _mode in ("bm25", "dense", "fused", "rrf", "cascade", "union"):
-    query(f"retrieve_{_mode}", sql.retrieval(_mode))(_retrieval(_mode))
+    query(f"retrieve_{_mode}", sql.retrieval(_mode))(_from_index() if _mode == "bm25" else _retrieval(_mode))
 query("retrieve_session", sql.retrieval("fused", session=True))(_retrieval("fused", settings=Retrieval(cross_session=False)))
-query("retrieve_session_bm25", sql.retrieval("bm25", session=True))(_retrieval("bm25", settings=Retrieval(cross_session=False)))
+query("retrieve_session_bm25", sql.retrieval("bm25", session=True))(_from_index(Retrieval(cross_session=False)))
 query("retrieve_guarded", sql.retrieval("fused", guard=True))(_retrieval("fused", records=True, settings=Retrieval(guard_identifiers=True)))
 
 
@@ -154,8 +183,9 @@ _POLICIES = (("plain", 100, False), ("fused_hybrid", 200, True))
 
 
 @query("retrieve_policies", " union all ".join(f"select *, '{p}' as policy, {b}::bigint as budget from ({sql.retrieval('bm25', guard=guard)})" for p, b, guard in _POLICIES))
-def _(spark, d):
-    root, out = new_path(spark, "policies"), None
+@_stored("policies")
+def _(spark, d, root):
+    out = None
     for policy, budget, guard in _POLICIES:
         index.store_for(root, ds.document_events(spark, d, records=guard), policy, budget, {}, tools=False)
         part = index.retrieve_for(root, ds.queries(spark, d, records=guard), policy, budget, {}, "bm25", 5)
@@ -166,12 +196,12 @@ def _(spark, d):
 
 @query("render_index", sql.rendered(sql.retrieval("bm25"), sql.index_line(), render.INDEX_HEADER, RENDER_CHARS, ellipsis=False))
 def _(spark, d):
-    return render.index_context(_retrieval("bm25")(spark, d), RENDER_CHARS)
+    return render.index_context(_from_index()(spark, d), RENDER_CHARS)
 
 
 @query("render_store", sql.rendered(sql.retrieval("bm25"), sql.store_line(), render.STORE_HEADER, RENDER_CHARS, ellipsis=True))
 def _(spark, d):
-    return render.store_context(_retrieval("bm25")(spark, d), RENDER_CHARS)
+    return render.store_context(_from_index()(spark, d), RENDER_CHARS)
 
 
 _TWICE = "twice as (select * from turns union all select * from turns where turn % 2 = 0)"
