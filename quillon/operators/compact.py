@@ -129,28 +129,29 @@ def compact_contents(df: DataFrame, settings: Compaction = Compaction(), key: st
     df: key, order, role, parts and optionally ``current_user_text``. The current message is the last
     user content with that text, or the last one if none is given; it stays as it is, comes last, and
     what follows it is dropped. If the given text is not found, all contents are prior ones. Contents
-    with equal ``order`` have each a place of its own, in any order.
+    with equal ``order`` have each a place of its own, in any order; of those equal to the current one
+    in order, role and text none is a prior one.
     """
     out = [key, "position", "role", "text", "parts", "is_memory", "is_current"]
     df = events(df)
     exact = exact_text()
-    whole = Window.partitionBy(key)
     if settings.recent_events == 0:
         last = recent(df, [key], order, 1)
         return last.select(key, F.lit(0).cast("long").alias("position"), "role", exact.alias("text"), "parts", F.lit(False).alias("is_memory"), F.lit(True).alias("is_current"))
     wanted = tx.normalize("current_user_text") if "current_user_text" in df.columns else F.lit("")
-    df = df.withColumn("_nr", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    order = "_nr"
-    df = df.withColumn("_exact", exact)
+    df = df.withColumn("_exact", exact).withColumn("_tie", F.xxhash64("role", "_exact"))
     is_current = (F.col("role") == "user") & ((wanted == "") | (tx.normalize("_exact") == wanted))
-    df = df.withColumn("_at", F.max(F.when(is_current, F.col(order))).over(whole))
-    df = df.withColumn("_budget", F.greatest(F.lit(LEAST_BUDGET), F.lit(settings.context_chars) - F.coalesce(F.max(F.when(F.col(order) == F.col("_at"), F.length("_exact"))).over(whole), F.lit(0))).cast("long"))
-    current = df.where(F.col(order) == F.col("_at")).select(key, F.lit(1 << 62).alias("position"), "role", F.col("_exact").alias("text"), "parts", F.lit(False).alias("is_memory"), F.lit(True).alias("is_current"))
-    prior = recent(df.where(F.col("_at").isNull() | (F.col(order) < F.col("_at"))), [key], order, settings.recent_events)
+    place = F.struct(order, "_tie")
+    # the current message is an aggregate, which sums up before it is shuffled; of the rest only the newest are sorted
+    latest = df.where(is_current).groupBy(key).agg(F.max(place).alias("_at"), F.max_by(F.struct("role", "_exact", "parts"), place).alias("_cur"))
+    current = latest.select(key, F.lit(1 << 62).alias("position"), "_cur.role", F.col("_cur._exact").alias("text"), "_cur.parts", F.lit(False).alias("is_memory"), F.lit(True).alias("is_current"))
+    rest = df.drop("_exact").join(latest.select(key, "_at", F.length("_cur._exact").alias("_size")), key, "left").where(F.col("_at").isNull() | (place < F.col("_at")))
+    budget = F.greatest(F.lit(LEAST_BUDGET), F.lit(settings.context_chars) - F.coalesce("_size", F.lit(0))).cast("long")
+    prior = recent(rest, [key], order, settings.recent_events, "_place").withColumn("_budget", budget)
     prior = context_text(prior, settings, partial=False, tools=tools).where(F.length("context_text") > 0)
     role = F.when(F.col("role").isin("model", "assistant"), "model").otherwise("user")
     line = F.concat(F.when(role == "model", "- assistant: ").otherwise("- user: "), tx.truncate(tx.normalize("context_text"), LINE_CHARS))
-    item = F.struct(F.col(order).cast("long").alias("place"), F.col("context_text").alias("text"), line.alias("line"), role.alias("role"))
+    item = F.struct(F.col("_place").alias("place"), F.col("context_text").alias("text"), line.alias("line"), role.alias("role"))
     packed = _packed(prior.select(key, "_budget", item.alias("item")), [key], F.col("_budget"), settings.memory_chars, CONTENTS_HEADER, CONTENTS_FALLBACK)
     made = F.struct(F.lit(None).cast("long").alias("place"), F.col("memory").alias("text"), F.lit(None).cast("string").alias("line"), F.lit("user").alias("role"))
     kept = F.filter("items", lambda x: F.array_contains("kept", x["place"]))
