@@ -15,7 +15,8 @@ hold a third of everything, are cut in time: both ends of each range go, as rows
 range partitioning by (client, time), so any client is dealt over as many tasks as it takes. A task
 runs through its chunks; rows that cover all of a chunk enter it as a constant, the totals at the end
 of the chunk before. What a client's earlier partitions amount to is a row of each partition, summed
-before it is added. Items of such clients are ordered by range partitioning down to (client, item, lo).
+before it is added. Items of such clients are ordered by range partitioning down to (client, item, lo),
+of which each has one row.
 
 Times are microseconds since 1970 without a zone, days have 24 hours. Defined cases. Sales without
 client or time are no probe and count nowhere; without arrival they count only for labels. Sales
@@ -49,7 +50,7 @@ COUNTERS = ("n_clicks", "n_purchases", "click_cents", "n_sales", "sale_cents", "
 #: Of each kind of row: the counter of rows, the one of cents.
 _COUNTS = {CLICK: ("n_clicks", "click_cents"), SALE: ("n_sales", "sale_cents"), LINE: ("n_lines", "line_cents")}
 _LEAST = np.iinfo(np.int64).min
-RESULT = "sale_id long, d int, t_us long, label long, " + ", ".join(f"{c} long" for c in COUNTERS) + ", last_ts long, last_click_id long"
+RESULT = "sale_id long, t_us long, label long, last_ts long, last_click_id long, counts array<long>"  # counts: the counters of each window
 PIECE = "client long, part int, open boolean, " + RESULT
 
 
@@ -157,12 +158,11 @@ def _beyond(group: np.ndarray, lo: np.ndarray, ts: np.ndarray, so_far: int = _LE
     return order, np.append(_LEAST, kinds)[np.where(seen > 0, seen, 0)]
 
 
-def _result(label, counters: dict[str, np.ndarray], last, sale, d, t, more=()) -> pa.RecordBatch:
-    ts, click = last
-    some = pa.array(click == _LEAST)
-    arrays = [*more, pc.if_else(pa.array(sale == _LEAST), None, pa.array(sale)), pa.array(np.full(len(sale), d, np.int32)), pa.array(t), pa.array(label), *[pa.array(counters[c]) for c in COUNTERS], pa.array(ts), pc.if_else(some, None, pa.array(click))]
+def _result(label: np.ndarray, counts: list[np.ndarray], last: tuple[np.ndarray, np.ndarray], sale: np.ndarray, t: np.ndarray | pa.Array, more: tuple = ()) -> pa.RecordBatch:
+    null = lambda x: pc.if_else(pa.array(x == _LEAST), None, pa.array(x))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sale) + 1, dtype=np.int32) * len(counts)), pa.array(np.stack(counts, 1).ravel()))
     names = [x.split()[0] for x in (PIECE if len(more) else RESULT).split(", ")]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+    return pa.RecordBatch.from_arrays([*more, null(sale), pa.array(t), pa.array(label), pa.array(last[0]), null(last[1]), lists], names=names)
 
 
 def whole_clients(rows: pa.Table, windows: tuple[int, ...] = WINDOWS, horizon: int = HORIZON_DAYS) -> Iterator[pa.RecordBatch]:
@@ -176,16 +176,17 @@ def whole_clients(rows: pa.Table, windows: tuple[int, ...] = WINDOWS, horizon: i
     some = p.clients[number] == client  # rows of clients without probes affect none
     ranked = probe[p.order]
     soon = p.sums([(p.at(number[probe], ts[probe] - horizon * DAY), 1), (p.at(number[probe], ts[probe]), -1)])
-    counts = some & (lo != _LEAST)
-    clicks = np.flatnonzero(counts & ((kind == CLICK) | (kind == PURCHASE)))
+    arrived = some & (lo != _LEAST)
+    clicks = np.flatnonzero(arrived & ((kind == CLICK) | (kind == PURCHASE)))
     last_ts, last_id = (x[p.place] for x in p.latest(p.at(number[clicks], lo[clicks]), ts[clicks], id_[clicks]))
-    items = np.flatnonzero(counts & (kind == LINE) & (id_ != _LEAST))
+    items = np.flatnonzero(arrived & (kind == LINE) & (id_ != _LEAST))
     order, before = _beyond(_group(number[items], id_[items]), lo[items], ts[items])
     items = items[order]
+    counts = []
     for d in windows:
         out = {}
         for k, (n, money) in _COUNTS.items():
-            own = np.flatnonzero(counts & ((kind == k) | (k == CLICK) & (kind == PURCHASE)) & (lo < ts + d * DAY))
+            own = np.flatnonzero(arrived & ((kind == k) | (k == CLICK) & (kind == PURCHASE)) & (lo < ts + d * DAY))
             begin, end = p.at(number[own], lo[own]), p.at(number[own], ts[own] + d * DAY)
             out[n] = p.sums([(begin, 1), (end, -1)])[p.place]
             out[money] = p.sums([(begin, cents[own]), (end, -cents[own])])[p.place]
@@ -197,7 +198,8 @@ def whole_clients(rows: pa.Table, windows: tuple[int, ...] = WINDOWS, horizon: i
         new = np.flatnonzero(begin < end)
         of = number[items[new]]
         out["n_items"] = p.sums([(p.at(of, begin[new]), 1), (p.at(of, end[new]), -1)])[p.place]
-        yield _result(soon[p.place], out, (last_ts, last_id), id_[ranked], d, t[ranked])
+        counts += [out[c] for c in COUNTERS]
+    yield _result(soon[p.place], counts, (last_ts, last_id), id_[ranked], t[ranked])
 
 
 def _group(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,18 +265,20 @@ def _before(sorted_rows: DataFrame) -> DataFrame:
 
 def _item_ends(lines: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     """Events of the disjoint ranges of the items of clients that are cut in time."""
-    order = ["client", "id", "lo", "ts"]
-    found = materialize(_before(lines.where("id is not null").select(*order).repartitionByRange(partitions(lines.sparkSession), *order).sortWithinPartitions(*order)), "features-items")
+    order = ["client", "id", "lo"]
+    latest = lines.where("id is not null").groupBy(*order).agg(F.max("ts").alias("ts"))  # of lines that count from one time on the last one covers all
+    found = materialize(_before(latest.repartitionByRange(partitions(lines.sparkSession), *order).sortWithinPartitions(*order)), "features-items")
     at_end = Window.partitionBy("client", "id").orderBy("part", "kind").rowsBetween(Window.unboundedPreceding, -1)  # one or two rows of each partition
     carried = found.where(F.col("kind") < ITEM).select("client", "id", "part", "kind", F.max(F.when(F.col("kind") == 1, F.col("ts"))).over(at_end).alias("carry")).where("kind = 0 and carry is not null").select("part", F.lit(True).alias("open"), "carry")
-    rows = found.where(F.col("kind") == ITEM).join(F.broadcast(carried), ["part", "open"], "left").withColumn("before", F.greatest("before", "carry"))
+    rows = found.where(F.col("kind") == ITEM).drop("kind")
+    opened = rows.where("open").join(F.broadcast(carried), ["part", "open"], "left").withColumn("before", F.greatest("before", "carry")).drop("carry")
+    rows = opened.unionByName(rows.where("not open"))
     ends = []
     for i, d in enumerate(windows):
         begin = F.greatest("lo", F.col("before") + d * DAY)
         new = begin < F.col("ts") + d * DAY
         ends += [F.when(new, F.struct(begin.alias("at"), F.lit(1).alias("sign"), F.lit(1 << i).alias("mask"))), F.when(new, F.struct((F.col("ts") + d * DAY).alias("at"), F.lit(-1).alias("sign"), F.lit(1 << i).alias("mask")))]
-    zero = F.lit(None).cast("long")
-    return rows.select("client", F.explode(F.array_compact(F.array(*ends))).alias("e")).select("client", "e.at", F.lit(ITEM).alias("kind"), "e.sign", "e.mask", F.lit(0).cast("long").alias("cents"), zero.alias("ts"), zero.alias("id"))
+    return rows.select("client", "id", F.explode(F.array_compact(F.array(*ends))).alias("e")).select("client", "e.at", F.lit(ITEM).alias("kind"), "e.sign", "e.mask", F.lit(0).cast("long").alias("cents"), F.lit(None).cast("long").alias("ts"), "id")
 
 
 def _ends(rows: DataFrame, windows: tuple[int, ...], horizon: int) -> DataFrame:
@@ -297,7 +301,7 @@ class _Run:
         self.clear()
 
     def clear(self) -> None:
-        self.total = {(c, d): 0 for d in self.windows for c in COUNTERS}
+        self.total = [0] * (len(self.windows) * len(COUNTERS))
         self.label, self.last = 0, (int(_LEAST), int(_LEAST))
 
     def chunk(self, batch: pa.RecordBatch, part: int, first: int) -> Iterator[pa.RecordBatch]:
@@ -319,7 +323,8 @@ class _Run:
         last = seen[0][p.place], seen[1][p.place]
         owner = client[probe][p.order]
         more = [pa.array(owner), pa.array(np.full(len(owner), part, np.int32)), pa.array(owner == first)]
-        for i, d in enumerate(self.windows):
+        counts = []
+        for i in range(len(self.windows)):
             here = (mask >> i & 1).astype(bool)
             full = {}
             for k, (n, money) in _COUNTS.items():
@@ -329,20 +334,18 @@ class _Run:
             for k, n in ((PURCHASE, "n_purchases"), (ITEM, "n_items")):
                 mine = np.flatnonzero(here & (kind == k))
                 full[n] = [(place[mine], sign[mine])]
-            out = {n: p.sums(ends) + np.where(lead, self.total[n, d], 0) for n, ends in full.items()}
-            if len(owner):
-                yield _result(soon[p.place], {n: x[p.place] for n, x in out.items()}, last, sale, d, t, more)
-            self.total |= {(n, d): int(x[end[-1]]) for n, x in out.items()}
+            counts += [p.sums(full[c]) + np.where(lead, self.total[i * len(COUNTERS) + at], 0) for at, c in enumerate(COUNTERS)]
+        if len(owner):
+            yield _result(soon[p.place], [x[p.place] for x in counts], last, sale, t, more)
+        self.total = [int(x[end[-1]]) for x in counts]
         self.label, self.last, self.client = int(soon[end[-1]]), (int(seen[0][end[-1]]), int(seen[1][end[-1]])), client[-1]
 
     def rest(self, part: int, first: int) -> Iterator[pa.RecordBatch]:
-        """What the partition ends with, as rows without t."""
-        none = np.array([_LEAST])
-        for d in self.windows:
-            out = {c: np.array([self.total[c, d]]) for c in COUNTERS}
-            yield _result(np.array([self.label]), out, tuple(np.array([x]) for x in self.last), none, d, pa.nulls(1, pa.int64()), [pa.array([self.client]), pa.array([part], pa.int32()), pa.array([False])])
-            zero = dict.fromkeys(COUNTERS, np.array([0]))
-            yield _result(np.array([0]), zero, (none, none), none, d, pa.nulls(1, pa.int64()), [pa.array([first]), pa.array([part], pa.int32()), pa.array([True])])
+        """What the partition ends with, and where it begins, as rows without t."""
+        none, no_time = np.array([_LEAST]), pa.nulls(1, pa.int64())
+        totals = [np.array([x]) for x in self.total]
+        yield _result(np.array([self.label]), totals, tuple(np.array([x]) for x in self.last), none, no_time, [pa.array([self.client]), pa.array([part], pa.int32()), pa.array([False])])
+        yield _result(np.array([0]), [x * 0 for x in totals], (none, none), none, no_time, [pa.array([first]), pa.array([part], pa.int32()), pa.array([True])])
 
 
 def _hot(rows: DataFrame, windows: tuple[int, ...], horizon: int) -> DataFrame:
@@ -350,7 +353,7 @@ def _hot(rows: DataFrame, windows: tuple[int, ...], horizon: int) -> DataFrame:
     n = partitions(rows.sparkSession)
     events = materialize(_ends(rows, windows, horizon).unionByName(_item_ends(rows.where(F.col("kind") == LINE), windows)), "features-ends")
     later = (F.col("kind") == PROBE).cast("int")  # what begins or ends at a probe's time comes before it
-    order = [F.col("client"), F.col("at"), later, F.col("id"), F.col("ts")]
+    order = [F.col("client"), F.col("at"), later, F.col("kind"), F.col("id"), F.col("cents")]
     dealt = events.repartitionByRange(n, *order).sortWithinPartitions("client", "at", later)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,14 +366,14 @@ def _hot(rows: DataFrame, windows: tuple[int, ...], horizon: int) -> DataFrame:
             yield from state.rest(part, first)
 
     found = materialize(dealt.transform(in_arrow, run, PIECE), "features-hot")
-    sums = ["label", *COUNTERS]
-    earlier = Window.partitionBy("client", "d").orderBy("part", F.col("open").desc()).rowsBetween(Window.unboundedPreceding, -1)  # two rows of each partition
-    last = F.struct("last_ts", "last_click_id")
-    ends = found.where("t_us is null").select("open", "part", "d", *[F.sum(c).over(earlier).alias(f"c_{c}") for c in sums], F.max(last).over(earlier).alias("c_last")).where("open and c_label is not null")
-    rows = found.where("t_us is not null").join(F.broadcast(ends), ["open", "part", "d"], "left")
+    earlier = Window.partitionBy("client").orderBy("part", F.col("open").desc()).rowsBetween(Window.unboundedPreceding, -1)  # two rows of each partition
+    last, size = F.struct("last_ts", "last_click_id"), len(windows) * len(COUNTERS)
+    carried = F.array(*[F.sum(F.col("counts")[i]).over(earlier) for i in range(size)])
+    ends = found.where("t_us is null").select("open", "part", F.sum("label").over(earlier).alias("c_label"), F.max(last).over(earlier).alias("c_last"), carried.alias("c_counts")).where("open and c_label is not null")
+    rows = found.where("t_us is not null").join(F.broadcast(ends), ["open", "part"], "left")
     latest = F.greatest(last, F.col("c_last"))
-    full = [(F.col(c) + F.coalesce(f"c_{c}", F.lit(0))).alias(c) for c in sums]
-    return rows.select("sale_id", "d", "t_us", *full, latest["last_ts"].alias("last_ts"), latest["last_click_id"].alias("last_click_id"))
+    full = F.when(F.col("c_counts").isNull(), F.col("counts")).otherwise(F.zip_with("counts", "c_counts", lambda a, b: a + b))
+    return rows.select("sale_id", "t_us", (F.col("label") + F.coalesce("c_label", F.lit(0))).alias("label"), latest["last_ts"].alias("last_ts"), latest["last_click_id"].alias("last_click_id"), full.alias("counts"))
 
 
 @tidy("features")
@@ -385,6 +388,8 @@ def features(sales: DataFrame, clicks: DataFrame, lines: DataFrame, windows: tup
     found = cold.transform(in_arrow, lambda batches: _cold(batches, windows, horizon), RESULT)
     if n_hot:
         found = found.unionByName(_hot(marked.where("hot").drop("hot"), windows, horizon))
+    each = [F.struct(F.lit(d).alias("d"), *[F.col("counts")[i * len(COUNTERS) + j].alias(c) for j, c in enumerate(COUNTERS)]) for i, d in enumerate(windows)]
+    found = found.select("sale_id", "t_us", "label", "last_ts", "last_click_id", F.explode(F.array(*each)).alias("w")).select("*", "w.*")
     still = F.col("last_ts") > F.col("t_us") - F.col("d") * F.lit(DAY)
     return found.select("sale_id", "d", "t_us", (F.col("label") > 0).alias("label"), *COUNTERS[:3], F.when(still, F.col("last_click_id")).alias("last_click_id"), *COUNTERS[3:])
 
