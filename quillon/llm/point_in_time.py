@@ -30,6 +30,7 @@ their names, play no part.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from pyspark.sql.window import Window
 from quillon.llm.common import clean_columns, in_arrow, materialize, partitions, spread_join, table, tidy
 
 WINDOWS, DELAY_MINUTES, HORIZON_DAYS, SPREAD_SECONDS = (2, 14), 240, 7, 259_200
-HOT_ROWS, MAX_BROADCAST, CHUNK_ROWS = 20_000, 100_000, 200_000
+HOT_ROWS, MAX_BROADCAST, CHUNK_ROWS = 5_000, 100_000, 200_000
 DAY = 86_400_000_000
 CLICK, SALE, LINE, LABEL, PURCHASE, ITEM, PROBE = range(7)
 COUNTERS = ("n_clicks", "n_purchases", "click_cents", "n_sales", "sale_cents", "n_lines", "n_items", "line_cents")
@@ -273,11 +274,15 @@ def _item_ends(lines: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     rows = found.where(F.col("kind") == ITEM).drop("kind")
     opened = rows.where("open").join(F.broadcast(carried), ["part", "open"], "left").withColumn("before", F.greatest("before", "carry")).drop("carry")
     rows = opened.unionByName(rows.where("not open"))
+    begins = [F.greatest("lo", F.col("before") + d * DAY) for d in windows]
+    new = [b < F.col("ts") + d * DAY for b, d in zip(begins, windows, strict=True)]
+    bit = lambda test, i: F.when(test, F.lit(1 << i)).otherwise(0)
     ends = []
     for i, d in enumerate(windows):
-        begin = F.greatest("lo", F.col("before") + d * DAY)
-        new = begin < F.col("ts") + d * DAY
-        ends += [F.when(new, F.struct(begin.alias("at"), F.lit(1).alias("sign"), F.lit(1 << i).alias("mask"))), F.when(new, F.struct((F.col("ts") + d * DAY).alias("at"), F.lit(-1).alias("sign"), F.lit(1 << i).alias("mask")))]
+        alike = [n & (b == begins[i]) for n, b in zip(new, begins, strict=True)]  # windows that begin together
+        first = functools.reduce(lambda a, b: a & ~b, alike[:i], new[i])
+        ends.append(F.when(first, F.struct(begins[i].alias("at"), F.lit(1).alias("sign"), sum((bit(x, k) for k, x in enumerate(alike)), F.lit(0)).alias("mask"))))
+        ends.append(F.when(new[i], F.struct((F.col("ts") + d * DAY).alias("at"), F.lit(-1).alias("sign"), F.lit(1 << i).alias("mask"))))
     return rows.select("client", "id", F.explode(F.array_compact(F.array(*ends))).alias("e")).select("client", "e.at", F.lit(ITEM).alias("kind"), "e.sign", "e.mask", F.lit(0).cast("long").alias("cents"), F.lit(None).cast("long").alias("ts"), "id")
 
 
