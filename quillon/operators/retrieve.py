@@ -7,11 +7,14 @@ guard. Lexical scores are an equi-join on (scope, term) with entry terms that so
 scope has; they never touch entries without a shared term. The ``bm25`` mode without filters reads
 nothing else; other modes score each entry of the scope, as every one can be returned. Of a stored
 index the lexical arm reads inverted lists (``postings``), document frequencies and counts as they
-were written, and in the ``bm25`` mode only ranges of documents that can hold a result.
+were written, and in the ``bm25`` mode only ranges of documents that can hold a result. The ``dense``
+mode without filters compares blocks of vectors and returns no pairs (``dense``).
 
 Entries and queries are written tables (or are written first), so that no text is analysed twice and
 their sizes in bytes are known: which side of a join is broadcast is decided by them, within the
-session's threshold. Hot scopes are left to adaptive skew joins.
+session's threshold. Hot scopes are left to adaptive skew joins. No window holds all of a query's
+rows: the best are cut to k in each task, ranks of those that are returned are counted, and where
+a score is made of ranks, or lists are ranked, sorted pieces are numbered and their counts summed.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
 from quillon.operators import events as ev
+from quillon.operators import dense as dense_blocks
 from quillon.operators import postings
 from quillon.plans.settings import MODES, Retrieval
 from quillon.sources.tables import hadoop_path, materialize, stored
@@ -112,54 +116,70 @@ def lexical(entries: DataFrame, queries: DataFrame, lengths: DataFrame, settings
     return e_terms.join(_weights(q_terms, df, lengths), [*SCOPE, "term"]).groupBy("query_id", "doc_id", *also).agg(postings.total(one).alias("bm25"))
 
 
-def _order(*by: Column) -> Window:
-    return Window.partitionBy("query_id").orderBy(*by)
+def _first(rows: DataFrame, k: int, *by: Column | str, name: str = "_n") -> DataFrame:
+    """The first k rows of each query, numbered from 1. Each task cuts its own rows to k before they are shuffled."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col(name) <= k)
 
 
-def _rank(score: str) -> Column:
-    return (F.row_number().over(_order(F.col(score).desc(), F.col("doc_id"))) - 1).cast("long")
+def placed(rows: DataFrame, score: str, name: str) -> DataFrame:
+    """rows of a written table (query_id, doc_id, ...) with their place among the query's rows by score, from 0.
+
+    Queries are range-partitioned, so one with many rows is ranked by many tasks: each numbers its
+    piece, and the pieces' counts, one row for each query and task, are summed up.
+    """
+    by = [F.col("query_id"), F.col(score).desc(), F.col("doc_id")]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = materialize(rows.select("query_id", "doc_id", score).repartitionByRange(n, *by).sortWithinPartitions(*by).select("query_id", "doc_id", F.monotonically_increasing_id().alias("_at")), "ranks")
+    piece = F.shiftright("_at", 33).alias("_piece")  # the number of the task
+    sizes = at.groupBy("query_id", piece).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("query_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("query_id", "_piece", (before - F.col("_from")).alias("_shift"))
+    places = at.select("*", piece).join(shift, ["query_id", "_piece"]).select("query_id", "doc_id", (F.col("_at") + F.col("_shift")).alias(name))
+    return rows.join(places, ["query_id", "doc_id"])
+
+
+def _counted(chosen: DataFrame, candidates: DataFrame) -> DataFrame:
+    """chosen, a few rows of each query, with their ranks: how many of its candidates come before them, summed up in each task."""
+    mine = chosen.select("query_id", F.col("doc_id").alias("_doc"), F.col("dense").alias("_dense"), F.col("bm25").alias("_bm25"))
+    before = lambda c: (F.col(c) > F.col(f"_{c}")) | ((F.col(c) == F.col(f"_{c}")) & (F.col("doc_id") < F.col("_doc")))
+    ranks = candidates.select("query_id", "doc_id", "dense", "bm25").join(mine, "query_id").groupBy("query_id", "_doc").agg(F.count_if(before("dense")).alias("dense_rank"), F.count_if(before("bm25")).alias("sparse_rank"))
+    return chosen.join(ranks.withColumnRenamed("_doc", "doc_id"), ["query_id", "doc_id"])
 
 
 def scored(candidates: DataFrame, mode: str, settings: Retrieval) -> DataFrame:
-    """Candidates with dense and bm25 columns gain ranks, eligibility and the mode's score."""
-    everything = Window.partitionBy("query_id")
-    rows = (
-        candidates.withColumn("s_max", F.max("bm25").over(everything))
-        .withColumn("now", F.max("created_at").over(everything))
-        .withColumn("dense_rank", _rank("dense"))
-        .withColumn("sparse_rank", _rank("bm25"))
-        .withColumn("dense_eligible", F.col("dense") >= settings.min_score)
-        .withColumn("sparse_eligible", F.col("bm25") > 0)
-    )
+    """Candidates, a written table with dense and bm25 columns, gain eligibility and the mode's score; for rrf ranks too, as it is made of them."""
+    stats = candidates.groupBy("query_id").agg(F.max("bm25").alias("s_max"), F.max("created_at").alias("now"))
+    rows = placed(placed(candidates, "dense", "dense_rank"), "bm25", "sparse_rank") if mode == "rrf" else candidates
+    rows = rows.join(stats, "query_id").withColumn("dense_eligible", F.col("dense") >= settings.min_score).withColumn("sparse_eligible", F.col("bm25") > 0)
     d = F.greatest(F.lit(0.0), F.col("dense"))
     s = F.when(F.col("s_max") > 0, 1.0 / (1.0 + F.exp(-(F.col("bm25") - 0.5 * F.col("s_max"))))).otherwise(0.0)
     decay = F.pow(F.lit(0.5), F.greatest(F.lit(0.0), F.col("now") - F.col("created_at")) / settings.half_life_seconds)
     reciprocal = lambda weight, rank, ok: F.when(F.col(ok), F.lit(weight) / (F.col(rank) + (settings.rrf_k + 1))).otherwise(0.0)
-    both = reciprocal(settings.dense_weight, "dense_rank", "dense_eligible") + reciprocal(settings.sparse_weight, "sparse_rank", "sparse_eligible")
     value = {
-        "dense": d,
-        "bm25": F.col("bm25"),
-        "fused": F.col("w") * d + (1.0 - F.col("w")) * s + 1e-9 * decay,
-        "rrf": both + F.when(F.col("dense_eligible") | F.col("sparse_eligible"), 1e-12 * decay).otherwise(0.0),
-        "cascade": F.when(F.col("s_max") > 0, F.col("bm25")).otherwise(d),
-        "union": F.greatest(d, s),
-    }[mode]
+        "dense": lambda: d,
+        "bm25": lambda: F.col("bm25"),
+        "fused": lambda: F.col("w") * d + (1.0 - F.col("w")) * s + 1e-9 * decay,
+        "rrf": lambda: reciprocal(settings.dense_weight, "dense_rank", "dense_eligible") + reciprocal(settings.sparse_weight, "sparse_rank", "sparse_eligible") + F.when(F.col("dense_eligible") | F.col("sparse_eligible"), 1e-12 * decay).otherwise(0.0),
+        "cascade": lambda: F.when(F.col("s_max") > 0, F.col("bm25")).otherwise(d),
+        "union": lambda: F.greatest(d, s),
+    }[mode]()
     return rows.withColumn("score", value * F.col("importance"))
 
 
-def selected(rows: DataFrame, mode: str, settings: Retrieval, k: int) -> DataFrame:
-    """The mode's threshold, order and cut; ``position`` counts from 0."""
+def selected(rows: DataFrame, mode: str, settings: Retrieval, k: int, candidates: DataFrame | None = None) -> DataFrame:
+    """The mode's threshold, order and cut; ``position`` counts from 0. With ``candidates`` rows have no ranks yet, which are then those among them."""
+    ranks = (lambda chosen: chosen) if candidates is None else (lambda chosen: _counted(materialize(chosen, "chosen"), candidates))
     newest, doc = F.col("created_at").desc(), F.col("doc_id")
     if mode == "union":
-        arm = lambda score: F.row_number().over(_order(F.col(score).desc(), newest, doc)) <= k
-        rows = rows.withColumn("_d", arm("dense")).withColumn("_s", arm("bm25")).where((F.col("_d") & F.col("dense_eligible")) | (F.col("_s") & F.col("sparse_eligible")))
-        order = _order(F.least("dense_rank", "sparse_rank"), F.greatest("dense", "bm25").desc(), doc)
+        arms = [_first(rows, k, F.col(score).desc(), newest, doc).where(ok).drop("_n") for score, ok in (("dense", "dense_eligible"), ("bm25", "sparse_eligible"))]
+        chosen = ranks(arms[0].unionByName(arms[1]).dropDuplicates(["query_id", "doc_id"]))
+        best = _first(chosen, k, F.least("dense_rank", "sparse_rank"), F.greatest("dense", "bm25").desc(), doc)
     else:
         rows = rows.where(F.col("score") >= (settings.rrf_min_score if mode == "rrf" else settings.min_score))
         if mode == "rrf":
             rows = rows.where(F.col("dense_eligible") | F.col("sparse_eligible"))
-        order = _order(F.col("score").desc(), newest, doc)
-    return rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")).where(F.col("position") < k)
+        best = ranks(_first(rows, k, F.col("score").desc(), newest, doc))
+    return best.withColumn("position", (F.col("_n") - 1).cast("long")).drop("_n")
 
 
 def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settings: Retrieval = Retrieval(), top_k: int | None = None, lists: Lists | None = None) -> DataFrame:
@@ -177,8 +197,11 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
         raise ValueError("top_k must not be negative")
     entries, q = stored(entries, "index-entries"), materialize(analysed(queries, settings), "index-queries")
     filtered = not settings.cross_session or settings.guard_identifiers
+    candidates = None
     if mode == "bm25" and not filtered and settings.min_score > 0:
         rows = _lexical_only(entries, q, settings, k, lists)
+    elif mode == "dense" and not filtered and settings.min_score > 0:
+        rows = dense_blocks.best(entries, q, settings, k)
     else:
         slim = [*SCOPE, "session_id", "doc_id", "created_at", "importance", "n_tokens"]
         vectors = mode != "bm25"
@@ -194,9 +217,10 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
         else:
             hits = lexical(entries, q, _lengths(entries, q, candidates if filtered else None, lists), settings, lists=lists)
             candidates = candidates.join(hits, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+        candidates = materialize(candidates, "candidates")
         rows = scored(candidates, mode, settings)
     shown = entries.select(*SCOPE, "doc_id", "text", "source_kind", "session_id")  # texts join the few rows that are returned
-    return selected(rows, mode, settings, k).join(q.select("query_id", *SCOPE), "query_id").join(shown, [*SCOPE, "doc_id"]).select(
+    return selected(rows, mode, settings, k, None if mode == "rrf" else candidates).join(q.select("query_id", *SCOPE), "query_id").join(shown, [*SCOPE, "doc_id"]).select(
         "query_id", "position", "text", "score", F.col("dense").alias("dense_score"), F.col("bm25").alias("sparse_score"), "source_kind", "session_id", "created_at",
         "importance", "doc_id", "dense_rank", "sparse_rank", F.lit(mode).alias("retrieval_mode"), "dense_eligible", "sparse_eligible", F.lit(True).alias("retrieved"),
     )
@@ -211,10 +235,9 @@ def _lexical_only(entries: DataFrame, q: DataFrame, settings: Retrieval, k: int,
         terms = _query_terms(q)
         rows = postings.best(lists.blocks, _weights(terms, lists.df.join(terms.select(*SCOPE, "term").distinct(), [*SCOPE, "term"], "left_semi"), lengths), settings, k)
     return (
-        rows
+        placed(materialize(rows, "lexical"), "bm25", "sparse_rank")
         .withColumn("dense", F.lit(0.0))
         .withColumn("dense_rank", F.col("doc_id"))
-        .withColumn("sparse_rank", _rank("bm25"))
         .withColumn("dense_eligible", F.lit(0.0) >= settings.min_score)
         .withColumn("sparse_eligible", F.col("bm25") > 0)
         .withColumn("score", F.col("bm25") * F.col("importance"))
