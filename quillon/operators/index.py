@@ -24,7 +24,7 @@ from quillon.operators import postings
 from quillon.operators import retrieve as rt
 from quillon.operators.hashed import bucket
 from quillon.plans.settings import Retrieval, retrieval_for
-from quillon.sources.tables import hadoop_path, materialize, release
+from quillon.sources.tables import committed, hadoop_path, materialize, release
 
 SCOPE = ev.SCOPE
 STATS = "app_name string, user_id string, n_docs long, n_tokens long"
@@ -33,11 +33,7 @@ TERMS = "app_name string, user_id string, term string, df long"
 
 def batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the batches that are wholly written."""
-    fs, p = hadoop_path(spark, f"{path}/scopes")
-    if not fs.exists(p):
-        return []
-    found = [s.getPath() for s in fs.listStatus(p)]
-    return sorted(int(f.getName()[6:]) for f in found if f.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+    return committed(spark, f"{path}/scopes")
 
 
 def _read(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame | None:

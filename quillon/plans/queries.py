@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.functions import tooljson
-from quillon.operators import compact, hashed, index, render, retrieve
+from quillon.operators import compact, embed, hashed, index, render, retrieve
 from quillon.operators import events as ev
 from quillon.plans import sql
 from quillon.plans.settings import Compaction, Hashed, Retrieval
@@ -179,6 +179,18 @@ query("retrieve_session_bm25", sql.retrieval("bm25", session=True))(_from_index(
 query("retrieve_guarded", sql.retrieval("fused", guard=True))(_retrieval("fused", records=True, settings=Retrieval(guard_identifiers=True)))
 
 
+@query("retrieve_embedded", sql.retrieval("dense", encoded=True))
+@_stored("embeddings")
+def _(spark, d, folder):
+    """Texts encoded on the way; what two calls need twice is encoded once."""
+    e, q = ds.entries(spark, d), ds.queries(spark, d)
+    middle = F.col("doc_id") % 2 == 0
+    load = embed.Loader("letter-counts", lambda: ds.letter_counts)
+    embed.embedded_entries(e.where(middle), load, f"{folder}/entries")
+    entries = embed.embedded_entries(e, load, f"{folder}/entries")
+    return _rounded(retrieve.retrieve(entries, embed.embedded_queries(q, load, cache=f"{folder}/queries"), "dense"))
+
+
 _POLICIES = (("plain", 100, False), ("fused_hybrid", 200, True))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quillon.functions import text as tx
 from quillon.operators import compact, render
 from quillon.plans.settings import Compaction, Hashed, Retrieval
-from quillon.sources.datasets import RECORDS, USERS
+from quillon.sources.datasets import LETTERS, RECORDS, USERS
 
 
 def lit(s: str) -> str:
@@ -77,18 +77,22 @@ def importance(text: str, kind: str) -> str:
 DOCS = "doc_id as seq, 'app' as app_name, lang as user_id, source as session_id, (doc_id + 1)::double as created_at, case doc_id % 3 when 0 then 'user' when 1 then 'tool' else 'helper' end as author, case when doc_id % 3 = 0 then 'user' else 'model' end as role"
 
 
-def entries_cte(vectors: bool = False, records: bool = False, chars: int = Retrieval().entry_chars) -> str:
+def letter_counts(x: str) -> str:
+    return "[" + ", ".join(f"(length({x}) - length(replace({x}, '{c}', '')))::double" for c in LETTERS) + ", 1.0::double]"
+
+
+def entries_cte(vectors: bool = False, records: bool = False, chars: int = Retrieval().entry_chars, encoded: bool = False) -> str:
     text = f"concat('Patient/SYN-', doc_id % {RECORDS}, ' ', text)" if records else "text"
     vec = ", embedding::double[] as embedding" if vectors else ""
     join = " join embeddings on vec_id = doc_id % (select count(*) from embeddings)" if vectors else ""
     return f"""
 m as (select {DOCS}, {strip(trunc(norm(text), chars))} as mt{vec} from documents{join}),
 e0 as (select *, {norm('mt')} as text, row_number() over (partition by user_id order by seq) - 1 as doc_id from m where length(mt) >= {tx.MIN_ENTRY_CHARS}),
-e1 as (select *, {kind('text', 'author', 'role')} as source_kind from e0),
+e1 as (select *, {kind('text', 'author', 'role')} as source_kind{f", {letter_counts('text')} as embedding" if encoded else ""} from e0),
 e as (select *, {importance('text', 'source_kind')} as importance, {tokens('text')} as tokens from e1)"""
 
 
-def queries_cte(vectors: bool = False, records: bool = False) -> str:
+def queries_cte(vectors: bool = False, records: bool = False, encoded: bool = False) -> str:
     text = f"concat('Patient/SYN-', item_id % {RECORDS}, ' ', text)" if records else "text"
     users = ", ".join(f"({i}, '{u}')" for i, u in enumerate(USERS))
     vec = ", embedding::double[] as q_embedding" if vectors else ""
@@ -97,19 +101,19 @@ def queries_cte(vectors: bool = False, records: bool = False) -> str:
     s = Retrieval()
     return f"""
 q0 as (select item_id * 10 + i as query_id, u.user_id, concat('src', item_id % 20) as q_session, {text} as q_text{vec} from benchmark{join}, (values {users}) as u(i, user_id)),
-q as (select *, {tokens('q_text')} as q_tokens, case when {precise} then {s.dense_weight}::double else {s.semantic_dense_weight}::double end as w from q0 where length({norm('q_text')}) > 0)"""
+q as (select *{f", {letter_counts(lit(s.query_prefix) + ' || q_text')} as q_embedding" if encoded else ""}, {tokens('q_text')} as q_tokens, case when {precise} then {s.dense_weight}::double else {s.semantic_dense_weight}::double end as w from q0 where length({norm('q_text')}) > 0)"""
 
 
-def retrieval(mode: str, session: bool = False, guard: bool = False, k: int = 5, s: Retrieval = Retrieval()) -> str:
+def retrieval(mode: str, session: bool = False, guard: bool = False, k: int = 5, s: Retrieval = Retrieval(), encoded: bool = False) -> str:
     """The whole ranking of one mode; columns as the operator's, scores rounded."""
-    vectors = mode != "bm25"
+    vectors = mode != "bm25" and not encoded
     d = lambda x: f"{x!r}::double"
     where = []
     if session:
         where.append("session_id = q_session")
     if guard:
         where += [f"(len({keys('q_text', n)}) = 0 or list_has_any({keys('q_text', n)}, {keys('text', n)}))" for n in tx.NAMESPACES]
-    cos = "list_cosine_similarity(embedding, q_embedding)" if vectors else "0.0::double"
+    cos = "list_cosine_similarity(embedding, q_embedding)" if vectors or encoded else "0.0::double"
     bm = "0.0::double" if mode == "dense" else "coalesce(bm, 0.0::double)"
     value = {
         "dense": "greatest(0.0::double, dense)",
@@ -127,7 +131,7 @@ sel as (select *, row_number() over (partition by query_id order by least(dense_
     else:
         least = s.rrf_min_score if mode == "rrf" else s.min_score
         chosen = f"sel as (select *, row_number() over (partition by query_id order by score desc, created_at desc, doc_id) - 1 as position from sc where score >= {d(least)}{' and (dense_eligible or sparse_eligible)' if mode == 'rrf' else ''})"
-    return f"""with {entries_cte(vectors, guard)}, {queries_cte(vectors, guard)},
+    return f"""with {entries_cte(vectors, guard, encoded=encoded)}, {queries_cte(vectors, guard, encoded)},
 et as (select user_id, doc_id, term, count(*) as tf from (select user_id, doc_id, unnest(tokens) as term from e) group by all),
 df as (select user_id, term, count(*) as df from et group by all),
 n as (select user_id, count(*) as n from e group by all),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,14 @@ USERS = ("en", "de", "fr", "es")
 RECORDS = 7
 
 
+LETTERS = "aeiourst"
+
+
+def letter_counts(texts: pd.Series) -> pd.Series:
+    """The registered queries' encoder, which SQL can express: how often each of LETTERS occurs in a text, and 1."""
+    return pd.Series([[*(float(t.count(c)) for c in LETTERS), 1.0] for t in texts])
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

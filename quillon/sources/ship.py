@@ -38,6 +38,8 @@ def ship_package(spark: SparkSession) -> None:
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
         out.write(_archive())
         out.close()
+    elif not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     else:
         name = os.path.join(tempfile.mkdtemp(prefix="quillon-"), "src.zip")
         Path(name).write_bytes(_archive())

@@ -57,6 +57,15 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders batch=N under path that are wholly written."""
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s.getPath() for s in fs.listStatus(p)]
+    return sorted(int(f.getName()[6:]) for f in found if f.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that no later step reads."""
     for df in tables:

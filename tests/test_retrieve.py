@@ -1,12 +1,14 @@
 """Retrieval through small in-memory indexes: guards, isolation, ties, populations."""
 
 import math
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.operators import embed
 from quillon.operators import events as ev
 from quillon.operators import retrieve as rt
 from quillon.plans.queries import QUERIES
@@ -107,7 +109,7 @@ def test_policies_are_separate_indexes(spark):
 
 def test_distinct_texts_are_encoded_once(spark):
     df = spark.createDataFrame([("a",), ("a",), ("bb",), (None,)], "text string")
-    out = rt.embedded(df, lambda s: s.map(lambda t: [float(len(t))]), prefix="x").collect()
+    out = embed.embedded(df, lambda s: s.map(lambda t: [float(len(t))]), prefix="x").collect()
     assert sorted((r.text or "", r.embedding[0]) for r in out) == [("", 1.0), ("a", 2.0), ("a", 2.0), ("bb", 3.0)]
 
 
@@ -180,10 +182,28 @@ def test_embeddings_are_kept_between_calls(spark, tmp_path):
         return s.map(lambda t: [float(len(t))])
 
     df = lambda *texts: spark.createDataFrame([(t,) for t in texts], "text string")
-    assert sorted(r.q_embedding[0] for r in rt.embedded_queries(df("a", "a", "bb"), encode, Retrieval(query_prefix="x"), cache).collect()) == [2.0, 2.0, 3.0]
-    assert sorted(r.q_embedding[0] for r in rt.embedded_queries(df("ccc", "bb"), encode, Retrieval(query_prefix="x"), cache).collect()) == [3.0, 4.0]
+    assert sorted(r.q_embedding[0] for r in embed.embedded_queries(df("a", "a", "bb"), encode, Retrieval(query_prefix="x"), cache).collect()) == [2.0, 2.0, 3.0]
+    assert sorted(r.q_embedding[0] for r in embed.embedded_queries(df("ccc", "bb"), encode, Retrieval(query_prefix="x"), cache).collect()) == [3.0, 4.0]
     assert sorted(open(log).read().split()) == ["xa", "xbb", "xccc"]
-    assert rt.embedded_entries(df("a"), encode).first().embedding == [1.0]
+    os.remove(f"{tmp_path}/cache/batch=2/_SUCCESS")  # as a job leaves it that failed: its texts are encoded again, none is there twice
+    again = embed.embedded_queries(df("ccc", "bb", "dddd"), encode, Retrieval(query_prefix="x"), cache)
+    assert sorted(r.q_embedding[0] for r in again.collect()) == [3.0, 4.0, 5.0]
+    assert sorted(open(log).read().split()) == ["xa", "xbb", "xccc", "xccc", "xdddd"]
+    assert embed.embedded_entries(df("a"), encode).first().embedding == [1.0]
+
+
+def test_a_loader_runs_once_a_worker(spark, tmp_path):
+    log = f"{tmp_path}/log"
+
+    def load():
+        with open(log, "a") as f:
+            f.write("x")
+        return lambda s: s.map(lambda t: [float(len(t))])
+
+    df = spark.range(200).select(F.col("id").cast("string").alias("text")).repartition(8)
+    out = embed.embedded(df, embed.Loader("test-lengths", load))
+    assert out.agg(F.sum(F.element_at("embedding", 1))).first()[0] == 10 + 2 * 90 + 3 * 100
+    assert 1 <= len(open(log).read()) <= 4  # workers, not tasks
 
 
 def test_large_scopes_are_numbered_in_sequence(spark):
