@@ -388,11 +388,14 @@ def features(sales: DataFrame, clicks: DataFrame, lines: DataFrame, windows: tup
     rows = materialize(records(sales, clicks, lines, max(windows), delay), "features-records")
     big = materialize(rows.groupBy("client").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("client", F.lit(True).alias("hot")), "features-hot-clients")
     n_hot = big.count()
-    marked = rows.join(F.broadcast(big) if n_hot <= MAX_BROADCAST else big.hint("merge"), "client", "left") if n_hot else rows.withColumn("hot", F.lit(None).cast("boolean"))
-    cold = marked.where("hot is null").drop("hot").repartition(partitions(spark), "client").sortWithinPartitions("client")
+    if n_hot:
+        marked = rows.join(F.broadcast(big) if n_hot <= MAX_BROADCAST else big.hint("merge"), "client", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        rows = materialize(marked, "features-marked")
+    cold = rows.where("not hot").drop("hot") if n_hot else rows
+    cold = cold.repartition(partitions(spark), "client").sortWithinPartitions("client")
     found = cold.transform(in_arrow, lambda batches: _cold(batches, windows, horizon), RESULT)
     if n_hot:
-        found = found.unionByName(_hot(marked.where("hot").drop("hot"), windows, horizon))
+        found = found.unionByName(_hot(rows.where("hot").drop("hot"), windows, horizon))
     each = [F.struct(F.lit(d).alias("d"), *[F.col("counts")[i * len(COUNTERS) + j].alias(c) for j, c in enumerate(COUNTERS)]) for i, d in enumerate(windows)]
     found = found.select("sale_id", "t_us", "label", "last_ts", "last_click_id", F.explode(F.array(*each)).alias("w")).select("*", "w.*")
     still = F.col("last_ts") > F.col("t_us") - F.col("d") * F.lit(DAY)
