@@ -292,3 +292,25 @@ def _(spark, d):
 @query("tool_arguments", f"select event_id, {sql.trunc(sql.norm(_FLAT % 'true'), 60)} as args from events")
 def _(spark, d):
     return ds.read(spark, d, "events").select("event_id", F.get(tooljson.arguments(F.array("props"), 60), F.lit(0)).alias("args"))
+
+
+def _parts_sql(name: str, args: int, answer: str, arrow: str, result: int, chars: int) -> str:
+    """Of the events as ``part_events`` makes them; their texts are shorter than any limit."""
+    said = f"case when event_id % 4 = 1 then '' else {sql.norm("concat('  Note on ', event_type, '  number ', event_id, ' ')")} end"
+    asked = f"case when event_id % 3 <> 0 then concat('{ev.CALL}', event_type, ' args=', {sql.trunc(sql.norm(_FLAT % 'true'), args)}) else '' end"
+    told = f"concat('{answer}', case when event_id % 5 <> 0 then event_type else 'tool' end, '{arrow}', {sql.trunc(sql.norm(_FLAT % _FULL), result)})"
+    joined = f"array_to_string(list_filter([{said}, {asked}, {told}], lambda x: length(x) > 0), chr(10))"
+    return f"select event_id, case when event_id % 7 = 6 then '' else {sql.trunc('t', chars)} end as {name} from (select event_id, {joined} as t from events)"
+
+
+_PART_CHARS = Compaction(text_chars=200, event_chars=170, result_chars=90)
+
+
+@query("event_parts_memory", _parts_sql("memory_text", ev.MEMORY_ARGS, ev.MEMORY_ANSWER, " summary=", ev.MEMORY_RESULT, 150))
+def _(spark, d):
+    return ev.memory_text(ev.events(ds.part_events(spark, d)), 150).select(long("event_id").alias("event_id"), "memory_text")
+
+
+@query("event_parts_context", _parts_sql("context_text", ev.CONTEXT_ARGS, ev.CONTEXT_ANSWER, " -> ", _PART_CHARS.result_chars, _PART_CHARS.event_chars))
+def _(spark, d):
+    return ev.context_text(ev.events(ds.part_events(spark, d)), _PART_CHARS).select(long("event_id").alias("event_id"), "context_text")

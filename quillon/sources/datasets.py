@@ -91,3 +91,15 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("app").alias("app_name"), F.col("user_id").cast("string").alias("user_id"), F.lit("s").alias("session_id"), F.col("event_id").cast("string").alias("event_id"), F.lit("tool").alias("author"),
         F.lit("model").alias("role"), (F.col("event_id") + 1).cast("double").alias("timestamp"), F.col("event_id").alias("seq"), F.array(part).cast(ev.PARTS).alias("parts"),
     )
+
+
+def part_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as events of three parts: a text, some of them thoughts, a tool call or nothing, and a tool result, some without name; some events are partial."""
+    e = read(spark, sf_dir, "events")
+    none, at = (lambda kind: F.lit(None).cast(f"struct<name:string,{kind}:string>")), F.col("event_id")
+    plain = lambda text, thought, call, answer: F.struct(text.alias("text"), thought.alias("thought"), call.alias("function_call"), answer.alias("function_response"))
+    no_text = F.lit(None).cast("string")
+    said = plain(F.concat(F.lit("  Note on "), "event_type", F.lit("  number "), at.cast("string"), F.lit(" ")), at % 4 == 1, none("args_json"), none("response_json"))
+    asked = plain(no_text, F.lit(False), F.when(at % 3 != 0, F.struct(F.col("event_type").alias("name"), F.col("props").alias("args_json"))), none("response_json"))
+    told = plain(no_text, F.lit(None).cast("boolean"), none("args_json"), F.struct(F.when(at % 5 != 0, F.col("event_type")).alias("name"), F.col("props").alias("response_json")))
+    return e.select(at.cast("string").alias("event_id"), (at % 7 == 6).alias("partial"), F.array(said, asked, told).cast(ev.PARTS).alias("parts"))
