@@ -283,19 +283,24 @@ def _item_ends(lines: DataFrame, windows: tuple[int, ...]) -> DataFrame:
         first = functools.reduce(lambda a, b: a & ~b, alike[:i], new[i])
         ends.append(F.when(first, F.struct(begins[i].alias("at"), F.lit(1).alias("sign"), sum((bit(x, k) for k, x in enumerate(alike)), F.lit(0)).alias("mask"))))
         ends.append(F.when(new[i], F.struct((F.col("ts") + d * DAY).alias("at"), F.lit(-1).alias("sign"), F.lit(1 << i).alias("mask"))))
-    return rows.select("client", "id", F.explode(F.array_compact(F.array(*ends))).alias("e")).select("client", "e.at", F.lit(ITEM).alias("kind"), "e.sign", "e.mask", F.lit(0).cast("long").alias("cents"), F.lit(None).cast("long").alias("ts"), "id")
+    return rows.select("client", "id", F.explode(F.array_compact(F.array(*ends))).alias("e")).select("client", "e.at", F.lit(ITEM).alias("kind"), "e.sign", "e.mask", F.lit(1).alias("n"), F.lit(0).cast("long").alias("cents"), F.lit(None).cast("long").alias("ts"), "id")
 
 
 def _ends(rows: DataFrame, windows: tuple[int, ...], horizon: int) -> DataFrame:
-    """(client, at, kind, sign, mask, cents, ts, id): both ends of each record's ranges, and the probes; mask has a bit for each window."""
+    """(client, at, kind, sign, mask, n, cents, ts, id): both ends of each record's ranges, and the probes; mask has a bit for each window.
+
+    Records that begin and end together are one first, with their number, sum of cents and greatest id.
+    """
+    rows = rows.groupBy("client", "kind", "lo", "ts", "t", F.when(F.col("kind") == SALE, F.col("id")).alias("sale")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("cents").alias("cents"), F.max("id").alias("id"))
     all_ = F.lit((1 << len(windows)) - 1)
     covers = [F.col("lo") < F.col("ts") + d * DAY for d in windows]
     end = lambda at, sign, mask, kind="kind": F.struct(at.alias("at"), (F.col(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(sign).alias("sign"), mask.cast("int").alias("mask"))
     some = sum((F.when(c, F.lit(1 << i)).otherwise(0) for i, c in enumerate(covers)), F.lit(0))
     ends = [F.when(some > 0, end(F.col("lo"), 1, some))] + [F.when(c, end(F.col("ts") + d * DAY, -1, F.lit(1 << i))) for i, (c, d) in enumerate(zip(covers, windows, strict=True))]
     sale = F.col("kind") == SALE
-    ends += [F.when(sale, end(F.col("ts") - horizon * DAY, 1, all_, F.lit(LABEL))), F.when(sale, end(F.col("ts"), -1, all_, F.lit(LABEL))), F.when(sale, end(F.col("t"), 0, all_, F.lit(PROBE)))]
-    return rows.select("client", "cents", "ts", "id", F.explode(F.array_compact(F.array(*ends))).alias("e")).select("client", "e.at", "e.kind", "e.sign", "e.mask", "cents", "ts", "id")
+    ends += [F.when(sale, end(F.col("ts") - horizon * DAY, 1, all_, F.lit(LABEL))), F.when(sale, end(F.col("ts"), -1, all_, F.lit(LABEL)))]
+    probes = F.array_repeat(end(F.col("t"), 0, all_, F.lit(PROBE)), F.when(sale, F.col("n")).otherwise(0))
+    return rows.select("client", "n", "cents", "ts", "id", F.explode(F.concat(F.array_compact(F.array(*ends)), probes)).alias("e")).select("client", "e.at", "e.kind", "e.sign", "e.mask", "n", "cents", "ts", "id")
 
 
 class _Run:
@@ -311,7 +316,7 @@ class _Run:
 
     def chunk(self, batch: pa.RecordBatch, part: int, first: int) -> Iterator[pa.RecordBatch]:
         """Results of the probes of sorted events; rows that cover the chunk are the totals so far, added as constants."""
-        client, at, kind, sign, mask, cents, ts, id_ = _columns(batch, "client", "at", "kind", "sign", "mask", "cents", "ts", "id")
+        client, at, kind, sign, mask, n_rows, cents, ts, id_ = _columns(batch, "client", "at", "kind", "sign", "mask", "n", "cents", "ts", "id")
         if client[0] != self.client:
             self.clear()
         probe = kind == PROBE
@@ -334,11 +339,11 @@ class _Run:
             full = {}
             for k, (n, money) in _COUNTS.items():
                 mine = np.flatnonzero(here & ((kind == k) | (k == CLICK) & (kind == PURCHASE)))
-                full[n] = [(place[mine], sign[mine])]
+                full[n] = [(place[mine], sign[mine] * n_rows[mine])]
                 full[money] = [(place[mine], sign[mine] * cents[mine])]
             for k, n in ((PURCHASE, "n_purchases"), (ITEM, "n_items")):
                 mine = np.flatnonzero(here & (kind == k))
-                full[n] = [(place[mine], sign[mine])]
+                full[n] = [(place[mine], sign[mine] * n_rows[mine])]
             counts += [p.sums(full[c]) + np.where(lead, self.total[i * len(COUNTERS) + at], 0) for at, c in enumerate(COUNTERS)]
         if len(owner):
             yield _result(soon[p.place], [x[p.place] for x in counts], last, sale, t, more)

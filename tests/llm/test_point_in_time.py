@@ -55,6 +55,7 @@ def made(seed, n_clients, n):
     for i in range(n):
         t = maybe(when())
         sales.append((maybe(i if r.random() < 0.9 else r.randrange(n)), client(), "x", money(), t, arrived(t), 1))
+    sales += r.choices(sales, k=n // 8)
     clicks = []
     for i in range(2 * n):
         t = maybe(when())
