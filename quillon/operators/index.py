@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillon.operators import events as ev
 from quillon.operators import postings
 from quillon.operators import retrieve as rt
-from quillon.operators.hashed import bucket
+from quillon.operators.scopes import asked, bucket, only
 from quillon.plans.settings import Retrieval, retrieval_for
 from quillon.sources.tables import committed, hadoop_path, materialize, release
 
@@ -67,17 +67,15 @@ def append(path: str, events: DataFrame, settings: Retrieval = Retrieval(), orde
     return batch
 
 
-def entries(spark: SparkSession, path: str, scopes: list[tuple[str, str]] | None = None) -> DataFrame | None:
-    """The entries of all batches, for ``retrieve``; None if there are none. With ``scopes`` only their partitions are read."""
+def entries(spark: SparkSession, path: str, scopes: list[tuple[str, str]] | None = None, queries: DataFrame | None = None) -> DataFrame | None:
+    """The entries of all batches, for ``retrieve``; None if there are none. With ``scopes`` only these; with ``queries`` only the partitions of their scopes."""
     rows = _read(spark, path, "entries")
     if rows is None:
         return None
     if scopes is not None:
-        held = [r.b for r in spark.createDataFrame(list(scopes), "app_name string, user_id string").select(bucket().alias("b")).distinct().collect()]
-        of = F.lit(False)
-        for app, user in scopes:
-            of = of | ((F.col("app_name") == app) & (F.col("user_id") == user))
-        rows = rows.where(F.col("bucket").isin(held) & of)
+        rows = only(rows, scopes)
+    if queries is not None:
+        rows = asked(rows, queries)
     rows = rows.drop("bucket", "batch")
     rows._quillon_path = None
     rows._quillon_stored = True
@@ -101,7 +99,8 @@ def lists(spark: SparkSession, path: str) -> rt.Lists:
 
 def retrieve(path: str, queries: DataFrame, mode: str = "fused", settings: Retrieval = Retrieval(), top_k: int | None = None) -> DataFrame:
     """As ``retrieve.retrieve``, of the index at path; one without batches returns nothing."""
-    held = entries(queries.sparkSession, path)
+    scopes = materialize(queries.select(*SCOPE).distinct(), "index-scopes")
+    held = entries(queries.sparkSession, path, queries=scopes)
     if held is None:
         empty = queries.sparkSession.createDataFrame([], "app_name string, user_id string, session_id string, doc_id long, text string, source_kind string, importance double, created_at double, tokens array<string>, n_tokens long, embedding array<double>")
         return rt.retrieve(empty, queries, mode, settings, top_k)

@@ -242,6 +242,16 @@ def _(spark, d):
     return _plain(hashed.retain(hashed.rows(ds.turns(spark, d), tools=False, vectors=False).dropDuplicates(["id"]), RETENTION))
 
 
+@query("store_append", f"with {sql.TURNS}, {_TWICE}, {sql.stored('twice')}, u as (select distinct * from s) select {_STORED} from u order by created_at desc, id limit {RETENTION}")
+@_stored("store")
+def _(spark, d, path):
+    """The same by writes of turns in four batches, each of which repeats some of the one before."""
+    settings = Hashed(enabled=True, path=path, max_entries=RETENTION)
+    for part in range(4):
+        hashed.store(_twice(spark, d).where(((F.col("seq") + part) % 4 < 2)), settings, tools=False)
+    return _plain(hashed.read_store(spark, settings))
+
+
 _SCAN = Hashed(enabled=True, scan_rows=40)
 
 
@@ -259,9 +269,11 @@ def _(spark, d):
 
 
 @query("store_retrieve")
-def _(spark, d):
-    store = hashed.rows(ds.document_events(spark, d), tools=False).dropDuplicates(["id"])
-    return hashed.retrieve(store, ds.queries(spark, d), Hashed(enabled=True, min_score=0.01)).withColumn("score", F.round("score", 6))
+@_stored("store")
+def _(spark, d, path):
+    settings = Hashed(enabled=True, path=path, min_score=0.01, max_entries=0)
+    hashed.store(ds.document_events(spark, d), settings, tools=False)
+    return hashed.retrieve_stored(ds.queries(spark, d), settings).withColumn("score", F.round("score", 6))
 
 
 @query("history_recent", "with r as (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) select conv_id, turn, role, text from r where n <= 3")

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,48 @@ def test_store_round_trip(spark, tmp_path):
     assert hashed.read_store(spark, s).count() == 3
 
 
+def _files(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("merged", [2, 32])
+def test_store_in_batches_equals_rewriting_it(spark, tmp_path, monkeypatch, merged):
+    """Sizes that change, late rows, repeats, ties of time, rows that come again after they were dropped."""
+    monkeypatch.setattr(hashed, "MERGED", merged)
+    path = f"file://{tmp_path}/store"
+    r = random.Random(5)
+    want = spark.createDataFrame([], hashed.COLUMNS)
+    known = {}
+    for step, size in enumerate([6, 6, 3, 9, 9, 0, 4]):
+        rows = [(r.choice("uv"), "s", str(r.randrange(12)), f"a text of some length, number {r.randrange(4)}", float(r.randrange(1, 6))) for _ in range(r.randint(0, 6))]
+        rows = [(u, s, e, t, known.setdefault((u, s, e, t), at)) for u, s, e, t, at in rows]
+        s = Hashed(enabled=True, path=path, max_entries=size)
+        events = _events(spark, rows)
+        before = _files(tmp_path / "store" / "rows") if step else {}
+        hashed.store(events, s, tools=False)
+        kept = hashed.retain(hashed.insert_ignore(want, hashed.rows(events, s, tools=False)), size).drop("vector").collect()
+        got = hashed.read_store(spark, s).drop("vector").collect()
+        assert sorted(got) == sorted(kept)
+        want = spark.createDataFrame(kept, want.drop("vector").schema).withColumn("vector", F.lit(None).cast("map<int,double>")).select(want.columns)
+        if merged == 32:
+            after = _files(tmp_path / "store" / "rows")
+            assert before == {f: t for f, t in after.items() if f in before}  # nothing is written again
+            assert all(f"batch={step + 1}/" in str(f) for f in after.keys() - before.keys())
+    if merged == 2:
+        assert len(list((tmp_path / "store" / "rows").iterdir())) <= 2 * (merged + 2)
+
+
+def test_questions_to_a_store_prune_its_partitions(spark, tmp_path):
+    s = Hashed(enabled=True, path=f"file://{tmp_path}/store", min_score=0.01)
+    hashed.store(_events(spark, [(f"u{i}", "s", "1", f"the blue plan number {i}", 1.0) for i in range(40)]), s, tools=False)
+    q = spark.createDataFrame([(1, "app", "u7", "s", "blue plan number 7"), (2, "app", None, "s", "blue plan"), (3, "app", "none", "s", "blue plan")], "query_id long, app_name string, user_id string, session_id string, text string")
+    rows = hashed.asked(hashed._rows(spark, s.path, hashed._batches(spark, s.path)), q)
+    assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString().lower()
+    assert "u7" in {r.user_id for r in rows.collect()} and rows.count() < 40
+    assert [tuple(r) for r in hashed.retrieve_stored(q, s).collect()] == [tuple(r) for r in hashed.retrieve(hashed.read_store(spark, s), q, s).collect()] != []
+    assert hashed.retrieve_stored(q, Hashed(enabled=True, path=s.path + "-none")).count() == 0
+
+
 def test_scan_dedupes_after_the_cap(spark):
     rows = [("u", "s", str(i), f"same text of many rows {i % 2}", i + 1.0) for i in range(10)]
     store = hashed.rows(_events(spark, rows), tools=False, vectors=False)
