@@ -118,6 +118,23 @@ def compatible(query_keys: Column, entry_keys: Column) -> Column:
     return out
 
 
+def identifier_list(keys: Column) -> Column:
+    """Identifiers of all namespaces as array<struct<space, key>>; a space is a power of 2, so those found sum up by bits."""
+
+    def of(space: int, found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(space).alias("space"), x.alias("key")))
+
+    return F.concat(*[of(1 << i, keys[k]) for i, k in enumerate(NAMESPACES)])
+
+
+def named_spaces(keys: Column) -> Column:
+    """The spaces that have an identifier, summed."""
+    out = F.lit(0)
+    for i, k in enumerate(NAMESPACES):
+        out = out + F.when(F.size(keys[k]) > 0, 1 << i).otherwise(0)
+    return out
+
+
 def has_identifier(keys: Column) -> Column:
     out = F.lit(False)
     for k in NAMESPACES:

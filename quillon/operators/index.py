@@ -1,7 +1,7 @@
 """The retrieval index as tables under a folder: batches of events are appended, numbered on and counted.
 
 ``entries`` is partitioned by batch and by a hash of the scope, ``lists`` are inverted lists by batch and
-a hash of scope and term, ``terms`` holds the document frequencies and ``scopes`` the numbers of
+a hash of scope and term, ``identifiers`` are those that entries name, ``terms`` holds the document frequencies and ``scopes`` the numbers of
 entries and tokens that each batch adds. A batch counts
 once its ``scopes`` are written, which is done last; nothing that was written is written again. So
 an append costs what it adds, a replayed batch changes nothing, and a question about few scopes
@@ -28,6 +28,7 @@ from quillon.sources.tables import committed, hadoop_path, materialize, release
 
 SCOPE = ev.SCOPE
 STATS = "app_name string, user_id string, n_docs long, n_tokens long"
+IDENTIFIERS = "app_name string, user_id string, doc_id long, space int, key string"
 TERMS = "app_name string, user_id string, term string, df long"
 
 
@@ -60,6 +61,7 @@ def append(path: str, events: DataFrame, settings: Retrieval = Retrieval(), orde
     laid = new.drop("_seq").withColumn("bucket", bucket()).repartitionByRange(*by).sortWithinPartitions(*by)
     laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/entries/batch={batch}")
     postings.write(new, f"{path}/lists/batch={batch}")
+    rt.identifiers(new).withColumn("bucket", bucket()).repartitionByRange("bucket", *SCOPE, "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/identifiers/batch={batch}")
     ev.document_frequency(new).write.mode("overwrite").parquet(f"{path}/terms/batch={batch}")
     counts = new.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     counts.write.mode("overwrite").parquet(f"{path}/scopes/batch={batch}")
@@ -92,9 +94,11 @@ def document_frequency(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "terms", TERMS).groupBy(*SCOPE, "term").agg(F.sum("df").alias("df"))
 
 
-def lists(spark: SparkSession, path: str) -> rt.Lists:
-    """Inverted lists, document frequencies and counts of an index that has batches."""
-    return rt.Lists(_read(spark, path, "lists").drop("batch"), document_frequency(spark, path), scope_counts(spark, path))
+def lists(spark: SparkSession, path: str, queries: DataFrame | None = None) -> rt.Lists:
+    """Inverted lists, document frequencies, counts and identifiers of an index that has batches; of the last with ``queries`` only the partitions of their scopes."""
+    named = _read(spark, path, "identifiers", IDENTIFIERS + ", batch int, bucket int")
+    named = (named if queries is None else asked(named, queries)).drop("bucket", "batch")
+    return rt.Lists(_read(spark, path, "lists").drop("batch"), document_frequency(spark, path), scope_counts(spark, path), named)
 
 
 def retrieve(path: str, queries: DataFrame, mode: str = "fused", settings: Retrieval = Retrieval(), top_k: int | None = None) -> DataFrame:
@@ -104,7 +108,7 @@ def retrieve(path: str, queries: DataFrame, mode: str = "fused", settings: Retri
     if held is None:
         empty = queries.sparkSession.createDataFrame([], "app_name string, user_id string, session_id string, doc_id long, text string, source_kind string, importance double, created_at double, tokens array<string>, n_tokens long, embedding array<double>")
         return rt.retrieve(empty, queries, mode, settings, top_k)
-    return rt.retrieve(held, queries, mode, settings, top_k, lists(queries.sparkSession, path))
+    return rt.retrieve(held, queries, mode, settings, top_k, lists(queries.sparkSession, path, scopes))
 
 
 def policy_path(root: str, policy: str, budget: int) -> str:

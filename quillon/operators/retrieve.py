@@ -37,11 +37,12 @@ SCOPE = ev.SCOPE
 
 @dataclass(frozen=True)
 class Lists:
-    """What a stored index has beside its entries: ``postings`` blocks, (*SCOPE, term, df), (*SCOPE, n_docs, n_tokens)."""
+    """What a stored index has beside its entries: ``postings`` blocks, (*SCOPE, term, df), (*SCOPE, n_docs, n_tokens), ``identifiers``."""
 
     blocks: DataFrame
     df: DataFrame
     scopes: DataFrame
+    identifiers: DataFrame | None = None
 
 
 def analysed(queries: DataFrame, settings: Retrieval) -> DataFrame:
@@ -57,12 +58,28 @@ def analysed(queries: DataFrame, settings: Retrieval) -> DataFrame:
 
 
 def _admitted(settings: Retrieval) -> Column:
-    ok = F.lit(True)
-    if not settings.cross_session:
-        ok = ok & ((F.coalesce("q_session", F.lit("")) == "") | (F.col("session_id") == F.col("q_session")))
-    if settings.guard_identifiers:
-        ok = ok & tx.compatible(F.col("q_keys"), F.col("e_keys"))
-    return ok
+    return F.lit(True) if settings.cross_session else (F.coalesce("q_session", F.lit("")) == "") | (F.col("session_id") == F.col("q_session"))
+
+
+def identifiers(entries: DataFrame) -> DataFrame:
+    """(*SCOPE, doc_id, space, key): the identifiers that each entry names, once each."""
+    return entries.select(*SCOPE, "doc_id", F.explode(tx.identifier_list(tx.identifier_keys("text"))).alias("x")).select(*SCOPE, "doc_id", "x.space", "x.key")
+
+
+def _paired(e: DataFrame, q: DataFrame, named: DataFrame | None) -> DataFrame:
+    """Entries and queries of equal scope; with ``named``, the entries' identifiers, those that the guard lets pass.
+
+    A query that names identifiers meets the entries that share one in each space it names: an equi-join,
+    and the spaces found are summed up. Only queries that name none meet their whole scope.
+    """
+    if named is None:
+        return e.join(q, SCOPE)
+    q = q.withColumn("_spaces", tx.named_spaces(F.col("q_keys")))
+    wanted = q.select("query_id", *SCOPE, "_spaces", F.explode(tx.identifier_list(F.col("q_keys"))).alias("x")).select("query_id", *SCOPE, "_spaces", "x.space", "x.key")
+    shared = wanted.join(named, [*SCOPE, "space", "key"]).groupBy("query_id", *SCOPE, "doc_id", "_spaces").agg(F.bit_or("space").alias("_found")).where(F.col("_found") == F.col("_spaces"))
+    those = e.join(shared.select("query_id", *SCOPE, "doc_id"), [*SCOPE, "doc_id"]).join(q, ["query_id", *SCOPE])
+    free = e.join(q.where(F.col("_spaces") == 0), SCOPE)
+    return free.unionByName(those.select(free.columns))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -205,10 +222,13 @@ def retrieve(entries: DataFrame, queries: DataFrame, mode: str = "fused", settin
     else:
         slim = [*SCOPE, "session_id", "doc_id", "created_at", "importance", "n_tokens"]
         vectors = mode != "bm25"
-        e = entries.select(*slim, *(["embedding", norm("embedding").alias("e_norm")] if vectors else []), *([tx.identifier_keys("text").alias("e_keys")] if settings.guard_identifiers else []))
+        e = entries.select(*slim, *(["embedding", norm("embedding").alias("e_norm")] if vectors else []))
+        named = None
+        if settings.guard_identifiers:
+            named = lists.identifiers if lists is not None and lists.identifiers is not None else identifiers(entries)
         dense = dot(F.col("embedding"), F.col("q_embedding")) / (F.col("e_norm") * F.col("q_norm")) if vectors else F.lit(0.0)
         candidates = (
-            e.join(q.withColumn("q_norm", norm("q_embedding")) if vectors else q, SCOPE)
+            _paired(e, q.withColumn("q_norm", norm("q_embedding")) if vectors else q, named)
             .where(_admitted(settings))
             .select("query_id", "doc_id", "created_at", "importance", "w", F.col("n_tokens").alias("dl"), dense.alias("dense"))
         )

@@ -132,9 +132,9 @@ def _(spark, d):
     return ev.scope_stats(ds.entries(spark, d)).select("user_id", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _halves(spark, d):
+def _halves(spark, d, vectors=False, records=False):
     """Documents as events, in two batches by their sequence, the second from the middle of the ids on."""
-    rows = ds.document_events(spark, d)
+    rows = ds.document_events(spark, d, records, vectors)
     middle = F.lit(ds.read(spark, d, "documents").agg(F.expr("max(doc_id) div 2")).first()[0])
     return rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)
 
@@ -155,28 +155,29 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("score", "dense_score", "sparse_score", "importance")})
 
 
-def _from_index(settings: Retrieval = Retrieval(), mode: str = "bm25") -> Query:
+def _from_index(settings: Retrieval = Retrieval(), mode: str = "bm25", records: bool = False) -> Query:
     """A question to a stored index of the documents, which has inverted lists; two batches."""
+    vectors = mode != "bm25"
 
     @_stored("index")
     def ask(spark, d, path):
-        for batch in _halves(spark, d):
+        for batch in _halves(spark, d, vectors, records):
             index.append(path, batch, settings, tools=False)
-        return _rounded(index.retrieve(path, ds.queries(spark, d), mode, settings))
+        return _rounded(index.retrieve(path, ds.queries(spark, d, vectors, records), mode, settings))
 
     return ask
 
 
-def _retrieval(mode: str, records: bool = False, settings: Retrieval = Retrieval()) -> Query:
+def _retrieval(mode: str, settings: Retrieval = Retrieval()) -> Query:
     vectors = mode != "bm25"
-    return lambda spark, d: _rounded(retrieve.retrieve(ds.entries(spark, d, vectors, records), ds.queries(spark, d, vectors, records), mode, settings))
+    return lambda spark, d: _rounded(retrieve.retrieve(ds.entries(spark, d, vectors), ds.queries(spark, d, vectors), mode, settings))
 
 
 for _mode in ("bm25", "dense", "fused", "rrf", "cascade", "union"):
     query(f"retrieve_{_mode}", sql.retrieval(_mode))(_from_index() if _mode == "bm25" else _retrieval(_mode))
 query("retrieve_session", sql.retrieval("fused", session=True))(_retrieval("fused", settings=Retrieval(cross_session=False)))
 query("retrieve_session_bm25", sql.retrieval("bm25", session=True))(_from_index(Retrieval(cross_session=False)))
-query("retrieve_guarded", sql.retrieval("fused", guard=True))(_retrieval("fused", records=True, settings=Retrieval(guard_identifiers=True)))
+query("retrieve_guarded", sql.retrieval("fused", guard=True))(_from_index(Retrieval(guard_identifiers=True), "fused", records=True))
 
 
 @query("retrieve_embedded", sql.retrieval("dense", encoded=True))

@@ -31,16 +31,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def document_events(spark: SparkSession, sf_dir: str, records: bool = False) -> DataFrame:
-    """Documents as events: user = lang, session = source, authors in turn, time = doc_id + 1; with ``records`` each names one."""
+def document_events(spark: SparkSession, sf_dir: str, records: bool = False, vectors: bool = False) -> DataFrame:
+    """Documents as events: user = lang, session = source, authors in turn, time = doc_id + 1; with ``records`` each names one, with ``vectors`` each has an embedding."""
     d = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     text = F.concat(F.lit("Patient/SYN-"), (F.col("doc_id") % RECORDS).cast("string"), F.lit(" "), F.col("text")) if records else F.col("text")
     turn = F.col("doc_id") % 3
-    return d.select(
+    rows = d.select(
         F.lit("app").alias("app_name"), F.col("lang").alias("user_id"), F.col("source").alias("session_id"), F.col("doc_id").cast("string").alias("event_id"),
         F.when(turn == 0, "user").when(turn == 1, "tool").otherwise("helper").alias("author"), F.when(turn == 0, "user").otherwise("model").alias("role"),
         (F.col("doc_id") + 1).cast("double").alias("timestamp"), F.col("doc_id").alias("seq"), ev.text_part(text).alias("parts"),
     )
+    return _with_vector(spark, sf_dir, rows, "seq", "embedding") if vectors else rows
 
 
 def _with_vector(spark: SparkSession, sf_dir: str, rows: DataFrame, number: str, name: str) -> DataFrame:
@@ -51,10 +52,7 @@ def _with_vector(spark: SparkSession, sf_dir: str, rows: DataFrame, number: str,
 
 def entries(spark: SparkSession, sf_dir: str, vectors: bool = False, records: bool = False, settings: Retrieval = Retrieval()) -> DataFrame:
     """Index entries of the documents; with ``vectors`` each has one of the embeddings."""
-    rows = document_events(spark, sf_dir, records)
-    if vectors:
-        rows = _with_vector(spark, sf_dir, rows, "seq", "embedding")
-    return ev.entries(rows, settings, tools=False)
+    return ev.entries(document_events(spark, sf_dir, records, vectors), settings, tools=False)
 
 
 def queries(spark: SparkSession, sf_dir: str, vectors: bool = False, records: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import text as tx
 from quillon.operators import events as ev
 from quillon.operators import index, postings
 from quillon.operators import retrieve as rt
@@ -79,3 +80,35 @@ def test_blocks_bound_what_they_hold(spark, stored):
     held = b.select("user_id", "term", F.explode("docs").alias("p")).groupBy("user_id", "term").agg(F.sum("p.tf").alias("n"))
     assert terms.exceptAll(held).count() == held.exceptAll(terms).count() == 0
     assert postings.of_terms(b, spark.createDataFrame([("app", "a", "w1")], "app_name string, user_id string, term string")).select("term").distinct().collect()[0].term == "w1"
+
+
+@pytest.mark.parametrize("mode, session", [("bm25", True), ("fused", False), ("rrf", False)])
+def test_guard_as_a_join_equals_the_test_of_each_pair(spark, tmp_path, mode, session):
+    """Queries that name none, one or several spaces, repeats of an identifier, other scopes; stored and not."""
+    r = random.Random(9)
+    names = [lambda: f"Patient/SYN-{r.randrange(3)}", lambda: f"PMID: {r.randrange(3)}", lambda: f"topic T{r.randrange(2)}"]
+    named = lambda n: " ".join(x for _ in range(n) for x in [r.choice(names)()] * r.randint(1, 2))
+    rows = [(u, s, a, f"{t} {named(r.randint(0, 4))}") for u, s, a, t in corpus(80)]
+    asked = [(i, "app", r.choice(["a", "b", "none"]), "s1" if i % 3 else None, f"start w{r.randrange(5)} {named(i % 4)}", [1.0, 0.0]) for i in range(16)]
+    q = spark.createDataFrame(asked, "query_id long, app_name string, user_id string, session_id string, text string, q_embedding array<float>")
+    e = events(spark, rows).withColumn("embedding", F.array(F.lit(1.0), F.col("seq") % 7))
+    settings = Retrieval(guard_identifiers=True, cross_session=not session, top_k=100)
+    path = str(tmp_path / "index")
+    for part in (e.where("seq < 30"), e.where("seq >= 30")):
+        index.append(path, part, settings, tools=False)
+    got, plain = index.retrieve(path, q, mode, settings), rt.retrieve(index.entries(spark, path), q, mode, settings)
+    assert rows_of(got) == rows_of(plain)
+    best = rt.retrieve(index.entries(spark, path), q, "fused", Retrieval(cross_session=not session, top_k=100, min_score=0.0)).select("query_id", "doc_id", F.col("text").alias("e_text"))
+    pairs = best.join(q.select("query_id", "text"), "query_id").where(tx.compatible(tx.identifier_keys("text"), tx.identifier_keys("e_text"))).select("query_id", "doc_id")
+    every = rt.retrieve(index.entries(spark, path), q, "fused", Retrieval(guard_identifiers=True, cross_session=not session, top_k=100, min_score=0.0)).select("query_id", "doc_id")
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, pairs.collect())) != []
+
+
+def test_questions_to_an_index_prune_its_partitions(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.append(path, events(spark, [(f"u{i}", "s", "user", f"a note of user {i}, PMID: {i}") for i in range(30)]), tools=False)
+    q = spark.createDataFrame([("app", "u7")], "app_name string, user_id string")
+    held = index.entries(spark, path, queries=q)
+    assert "dynamicpruning" in held._jdf.queryExecution().executedPlan().toString().lower()
+    assert "u7" in {r.user_id for r in held.collect()} and held.count() < 30
+    assert "dynamicpruning" in index.lists(spark, path, q).identifiers._jdf.queryExecution().executedPlan().toString().lower()
