@@ -302,6 +302,22 @@ def _(spark, d):
     return ev.memory_text(ev.events(ds.tool_events(spark, d)), 900).select(long("event_id").alias("event_id"), "memory_text")
 
 
+def _nested_sql() -> str:
+    """Compact forms of ``ds.nested_payload``."""
+    flat = _FLAT % _FULL
+    deep = [f"""'{{"list": {{"count": 4, "first_items": [', {flat}, ', 1, 2]}}, "nested": {{"deep": {{"deeper": {{"summary": "{{\\"deepest\\": {{\\"x\\": ', event_id, '}}}}"}}}}}}, '"""]
+    deep += ["""'"patients": {"count": 4, "first_ids": ["', event_id, '", "', event_id, '"], "first_names": ["N', event_id, '"]}, "status": "ok", "timeline": {"count": 4, "first_items": [{"at": ', event_id, '}, {"at": 1}]}}'"""]
+    listed = f"""concat('{{"count": 6, "first_items": [', {flat}, ', ', event_id, ', "text of a list", null, [1]]}}')"""
+    compact_ = f"""case event_id % 5 when 0 then {flat} when 1 then {flat} when 2 then {listed} when 3 then concat({", ".join(deep)}) else concat('"some text ', event_id, '"') end"""
+    rows = "(select event_id, event_type, coalesce(props, '{}') as props from events)"
+    return f"select event_id, {sql.strip(sql.trunc(sql.norm('m'), 900))} as memory_text from (select event_id, concat('Tool result: ', event_type, ' summary=', {sql.trunc(sql.norm('x'), 500)}) as m from (select *, {compact_} as x from {rows}))"
+
+
+@query("tool_results_nested", _nested_sql())
+def _(spark, d):
+    return ev.memory_text(ev.events(ds.tool_events(spark, d, nested=True)), 900).select(long("event_id").alias("event_id"), "memory_text")
+
+
 @query("tool_arguments", f"select event_id, {sql.trunc(sql.norm(_FLAT % 'true'), 60)} as args from events")
 def _(spark, d):
     return ds.read(spark, d, "events").select("event_id", F.get(tooljson.arguments(F.array("props"), 60), F.lit(0)).alias("args"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import events as ev
@@ -82,9 +82,26 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("pos"), "role", ev.text_part("text").alias("parts"))
 
 
-def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as tool results."""
-    part = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("thought"), F.lit(None).cast("struct<name:string,args_json:string>").alias("function_call"), F.struct(F.col("event_type").alias("name"), F.col("props").alias("response_json")).alias("function_response"))
+def nested_payload() -> Column:
+    """Payloads around the events' own: wrapped, inside a list of texts, lists, patients and timelines with deep objects, plain texts."""
+    p, at = F.coalesce("props", F.lit("{}")), F.col("event_id").cast("string")
+    deep = ['{"patients": [{"reference": "Patient/', at, '", "name": " N', at, ' "}, {"id": ', at, '}, {"name": ""}, 7], "status": "ok", "timeline": [{"at": ', at, ', "none": null}, 5, {"at": 1}, {"at": 0}], ']
+    deep += ['"nested": {"deep": {"deeper": {"deepest": {"x": ', at, '}}}}, "raw_blob": "zz", "note": "", "list": [', p, ", 1, 2, 3]}"]
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    kind = F.col("event_id") % 5
+    return (
+        F.when(kind == 0, text('{"result": {"data": {"output": ', p, '}}, "other": 1}'))
+        .when(kind == 1, F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), p.alias("text"))).alias("content"))))
+        .when(kind == 2, text("[", p, ", ", at, ', "  text   of a list ", null, [1], "x"]'))
+        .when(kind == 3, text(*deep))
+        .otherwise(text('"  some   text ', at, ' "'))
+    )
+
+
+def tool_events(spark: SparkSession, sf_dir: str, nested: bool = False) -> DataFrame:
+    """The events table as tool results, with ``nested`` around its payloads."""
+    payload = nested_payload() if nested else F.col("props")
+    part = F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("thought"), F.lit(None).cast("struct<name:string,args_json:string>").alias("function_call"), F.struct(F.col("event_type").alias("name"), payload.alias("response_json")).alias("function_response"))
     return read(spark, sf_dir, "events").select(
         F.lit("app").alias("app_name"), F.col("user_id").cast("string").alias("user_id"), F.lit("s").alias("session_id"), F.col("event_id").cast("string").alias("event_id"), F.lit("tool").alias("author"),
         F.lit("model").alias("role"), (F.col("event_id") + 1).cast("double").alias("timestamp"), F.col("event_id").alias("seq"), F.array(part).cast(ev.PARTS).alias("parts"),
