@@ -157,10 +157,11 @@ def store(df: DataFrame, settings: Hashed, tools: bool = True) -> None:
     spark, path = df.sparkSession, settings.path
     batches = _batches(spark, path)
     number = batches[-1].number + 1 if batches else 1
-    new = materialize(rows(df, settings, tools).withColumn("bucket", bucket()), "store-rows")
-    _write(fresh(asked(_rows(spark, path, batches), new), new), f"{path}/rows/batch={number}")
-    added = spark.read.schema(COLUMNS).parquet(f"{path}/rows/batch={number}").count()
-    alive, cut = (batches[-1].alive if batches else 0) + added, (None, None)
+    new = materialize(rows(df, settings, tools, vectors=False).withColumn("bucket", bucket()), "store-rows")
+    added = fresh(asked(_rows(spark, path, batches), new), new).withColumn("vector", hashing.hashed_vector(tx.hash_tokens("text"), settings.dimensions))  # of known rows no vector is made again
+    _write(added, f"{path}/rows/batch={number}")
+    alive = (batches[-1].alive if batches else 0) + spark.read.schema(COLUMNS).parquet(f"{path}/rows/batch={number}").count()
+    cut = (None, None)
     if 0 < settings.max_entries < alive:
         whole = _rows(spark, path, [*batches, Batch(number, False, alive, None, None)])
         alive, cut = settings.max_entries, oldest_kept(whole, settings.max_entries)
