@@ -342,3 +342,25 @@ def test_templates_of_a_folder(tmp_path, docs, prose):
     assert sorted(found) == ["OWN-1#1", "OWN-1#2", "OWN-1#3"]
     got = license_scan.find(docs([(1, " ".join(prose(2, 50) + prose(1, 12_000)))]), found).collect()
     assert sorted(x.license for x in got) == sorted(found)
+
+
+def test_short_lines_meet_with_an_edit_if_asked(docs, prose, monkeypatch):
+    """edit_words=1 compares lines of any length, as by brute force; counts are those of the texts that were cut."""
+    r = random.Random(6)
+    pool = [prose(500 + k, r.choice([1, 2, 2, 3, 4, 5, 6])) for k in range(20)]
+    pool += [[*w[:-1], "x"] for w in pool if len(w) > 2]
+    rows = [(i, "\n".join(" ".join(r.choice(pool)) for _ in range(4))) for i in range(12)]
+    got = {x.doc_id: (x.n_lines, x.n_kept, x.n_exact) for x in line_dedup.summary(docs(rows), edit_words=1).collect()}
+    texts = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(rows), edit_words=1).collect()}
+    monkeypatch.setattr(line_dedup, "MIN_WORDS", 1)
+    assert got == brute_lines(rows)
+    assert {i: len(t.split("\n")) if t else 0 for i, t in texts.items()} == {i: x[1] for i, x in got.items()}
+
+
+def test_the_query_cuts_the_texts(docs, prose, monkeypatch):
+    """The query's counts are taken from the operator's cut texts, not from a way of their own."""
+    rows, real, cut = [(1, " ".join(prose(1, 9))), (2, " ".join(prose(1, 9)) + "\nanother line")], line_dedup._cut, []
+    monkeypatch.setattr(line_dedup, "_cut", lambda *a: cut.append(real(*a)) or cut[-1])
+    monkeypatch.setattr(line_dedup, "table", lambda *a: docs(rows))
+    assert {x.doc_id: (x.n_kept, x.n_exact) for x in line_dedup.query(None, "").collect()} == {1: (1, 0), 2: (1, 1)}
+    assert len(cut) == 1 and "text" in cut[0][0].columns
