@@ -58,3 +58,14 @@ def test_case_folding_is_that_of_python(spark):
     assert [(r.c, r.f) for r in got if r.f != f"a{r.c}b".casefold()] == []
     assert [(r.c, r.k) for r in got if r.k != py_tokens(f"a{r.c}b")] == []
     assert spark.createDataFrame([("ŉab ΣΑΣ",)], "t string").select(tx.tokens("t").alias("k")).first().k == ["nab"]
+
+
+def test_tokens_in_pieces_and_runs_of_space(spark, monkeypatch):
+    """Texts beyond a piece, nulls and empty ones keep their places; a single space is no run, all others become one."""
+    import pyarrow as pa
+
+    texts = [None, "", "Alpha-Beta the x/y", "word " * 50, None, "PMID:12."]
+    monkeypatch.setattr(tx, "PIECE", 8)
+    assert tx._in_pieces(pa.array(texts, pa.string()), tx._index_tokens).to_pylist() == [py_tokens(t or "") for t in texts]
+    assert tx._in_pieces(pa.array([], pa.string()), tx._index_tokens).to_pylist() == []
+    check(spark, ["a \n b", "\n a", "a b", "   a  b ", "a b c", "  ", "a\tb \x1fc\x1f"])
